@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles
+from . import language_id, oracles
 from .decontaminate import decontaminate
 
 
+def _fold(doc_id: str, parts: int):
+    """crc32 of the id as text, modulo ``parts``."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,8 +32,16 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    model = language_id.fit(docs, _fold("doc_id", 4) != 2)
+    marked = docs.select("doc_id", (_fold("doc_id", 4) == 2).alias("held_out"), "text")
+    return language_id.predict(marked, model, ["doc_id", "held_out"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_language_id": op2_language_id,
 }
 
 ORACLES: dict[str, str] = oracles.SQL
