@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, oracles
+from . import language_id, oracles, personal_data
 from .decontaminate import decontaminate
 
 
@@ -39,9 +39,26 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(marked, model, ["doc_id", "held_out"])
 
 
+def _joined(spans: str):
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _same(kind: str):
+    return lambda k: F.when(k == kind, 1)
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal_data.find(docs, personal_data.fit(docs), ["doc_id"])
+    counts = [F.size(F.array_compact(F.transform("base.kind", _same(k)))).cast("long").alias(f"n_{k}") for k in personal_data.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
+    "op4_personal_data": op4_personal_data,
 }
 
 ORACLES: dict[str, str] = oracles.SQL
