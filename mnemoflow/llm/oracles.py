@@ -34,3 +34,36 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(w.n_hit, 0)
   coalesce(w.n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN words w USING (rid) LEFT JOIN found f USING (rid)
 """
+
+SQL["op6_mixing"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, source,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key
+  FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
+  FROM docs GROUP BY source
+), filled AS (
+  SELECT *, 3 * size / w AS ratio,
+    CAST((SELECT sum(size) FROM sources) AS BIGINT) - CAST(coalesce(sum(3 * size) OVER o, 0) AS BIGINT) AS rest,
+    (SELECT sum(w) FROM sources) - coalesce(sum(w) OVER o, 0) AS weight
+  FROM sources
+  WINDOW o AS (ORDER BY 3 * size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (
+  SELECT CAST(rest AS DOUBLE) / CAST(weight AS DOUBLE) AS lvl FROM filled
+  WHERE CAST(rest AS DOUBLE) / CAST(weight AS DOUBLE) * w <= 3 * size ORDER BY ratio, source NULLS LAST LIMIT 1
+), targets AS (
+  SELECT source, size, CASE WHEN lvl * w <= 3 * size THEN lvl * w ELSE CAST(3 * size AS DOUBLE) END AS target
+  FROM sources, level
+), line AS (
+  SELECT d.rid, d.doc_id, d.size, t.size AS source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS wanted,
+    CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size, d.rid
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  CASE WHEN size = 0 THEN 0 ELSE (wanted // source_size) * size
+    + greatest(0, least(size, wanted % source_size - start)) END AS taken
+FROM line
+"""
