@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, oracles, personal_data
+from . import language_id, licenses, mixing, oracles, personal_data
 from .decontaminate import decontaminate
 
 
@@ -59,11 +59,27 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).documents
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"), ["doc_id"])
+    labels = lambda *cols: F.array_join(F.array_sort(F.array_distinct(F.concat(*cols))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.start").cast("long").alias("first_word"),
+        F.array_max("places.start").cast("long").alias("last_word"),
+        labels("places.label").alias("base_labels"),
+        labels("places.label", "matches.label").alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max("matches.containment"), F.lit(0.0))).alias("score"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
     "op4_personal_data": op4_personal_data,
     "op6_mixing": op6_mixing,
+    "op7_licenses": op7_licenses,
 }
 
 ORACLES: dict[str, str] = oracles.SQL

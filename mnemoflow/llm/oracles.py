@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licenses import PHRASES, TEMPLATES, THRESHOLD
+
 SQL: dict[str, str] = {}
 
 SQL["op1_decontaminate"] = r"""
@@ -67,3 +69,39 @@ SELECT doc_id, size, source_size, target,
     + greatest(0, least(size, wanted % source_size - start)) END AS taken
 FROM line
 """
+
+_PHRASE_ROWS = ", ".join(f"({p.split()!r}, '{label}')" for p, label in PHRASES)
+_TEMPLATE_ROWS = ", ".join(f"({sorted(set(t.replace('.', ' ').split()))!r}, '{label}')" for t, label in TEMPLATES)
+
+SQL["op7_licenses"] = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), tokens AS (
+  SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM docs
+), phrases AS (SELECT * FROM (VALUES {_PHRASE_ROWS}) p(p, label)
+), templates AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) p(words, label)
+), places AS (
+  SELECT rid, label, i - 1 AS start FROM
+    (SELECT rid, w, label, p, unnest(range(1, len(w) - len(p) + 2)) AS i FROM tokens, phrases WHERE list_has_all(w, p))
+  WHERE w[i:i + len(p) - 1] = p
+), base AS (
+  SELECT rid, count(*) AS n, min(start) AS first_word, max(start) AS last_word FROM places GROUP BY rid
+), blocks AS (
+  SELECT rid, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM docs)
+), matches AS (
+  SELECT rid, label, CAST(len(list_intersect(b.w, x.words)) AS DOUBLE) / len(x.words) AS containment
+  FROM blocks b, templates x WHERE len(list_intersect(b.w, x.words)) >= ceil({THRESHOLD} * len(x.words) - 1e-9)
+), best AS (SELECT rid, max(containment) AS c FROM matches GROUP BY rid
+), all_labels AS (
+  SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE own) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT rid, label, TRUE AS own FROM places UNION ALL SELECT rid, label, FALSE FROM matches) GROUP BY rid
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base,
+  CAST(b.first_word AS BIGINT) AS first_word, CAST(b.last_word AS BIGINT) AS last_word,
+  coalesce(l.base_labels, '') AS base_labels, coalesce(l.labels, '') AS labels,
+  CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(m.c, 0.0::DOUBLE) END AS score
+FROM tokens d LEFT JOIN base b USING (rid) LEFT JOIN all_labels l USING (rid) LEFT JOIN best m USING (rid)
+"""
