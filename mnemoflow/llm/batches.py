@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -48,3 +49,75 @@ def lower_words(text: bytes) -> list[bytes]:
 
 def arrow(rows: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
+
+#: Bytes of [\x20\x09-\x0D], which part words that are kept unchanged.
+BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+SAME = np.arange(256, dtype=np.uint8)
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+_RANDOM = np.random.Generator(np.random.PCG64(20240101))
+_OF_BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_OF_PLACE = _RANDOM.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective hash of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a text column and the n + 1 offsets of its rows, without a copy; a null is empty."""
+    n = len(column)
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, at, data = column.buffers()
+    offsets = np.frombuffer(at, width)[column.offset : column.offset + n + 1].astype(np.int64)
+    held = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return held[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+@dataclass
+class Words:
+    """Words of several texts: where each starts and ends in the bytes, its 64-bit hash, its text's number; how many each text has."""
+
+    start: np.ndarray
+    end: np.ndarray
+    hash: np.ndarray
+    text: np.ndarray
+    count: np.ndarray
+
+
+def words_of(column: pa.Array, fold: np.ndarray = SAME) -> Words:
+    """Runs of bytes that aren't BLANK; ``fold`` maps each byte before it's hashed."""
+    data, offsets = byte_view(column)
+    n = len(offsets) - 1
+    solid = ~BLANK[data]
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
+    inner = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
+    first[inner] = solid[inner]
+    last[inner - 1] = solid[inner - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    text = np.searchsorted(offsets, start, side="right") - 1
+    if not len(start):
+        return Words(start, end, np.zeros(0, np.uint64), text, np.zeros(n, np.int64))
+    place = np.arange(len(data)) - np.repeat(np.concatenate([[0], start[1:]]), np.diff(np.concatenate([[0], start[1:], [len(data)]])))
+    value = _OF_BYTE[fold[data]] * (_OF_PLACE[place & 63] + (place >> 6).astype(np.uint64) * np.uint64(2))
+    value[~solid] = 0
+    return Words(start, end, mixed(np.add.reduceat(value, start)), text, np.bincount(text, minlength=n))
+
+
+def window_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of ``size`` consecutive words of one text, and the number of the word where each starts."""
+    n = len(words.hash) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    out = np.zeros(n, np.uint64)
+    factor = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            out = out * factor + words.hash[k : k + n]
+    at = np.flatnonzero(words.text[:n] == words.text[size - 1 :])
+    return mixed(out[at]), at

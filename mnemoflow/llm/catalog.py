@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, licenses, mixing, oracles, personal_data
+from . import language_id, licenses, mixing, oracles, personal_data, quality
 from .decontaminate import decontaminate
 
 
@@ -74,12 +74,24 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Documents with a score below it are rejected.
+QUALITY = 0.3
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    voters = quality.fit(docs, _table(spark, sf_dir, "labels").where(_fold("doc_id", 5) != 0))
+    marked = docs.select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "text")
+    return quality.score(marked, voters, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= QUALITY).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
     "op4_personal_data": op4_personal_data,
     "op6_mixing": op6_mixing,
     "op7_licenses": op7_licenses,
+    "op8_quality": op8_quality,
 }
 
 ORACLES: dict[str, str] = oracles.SQL

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import chunks
+from .batches import chunks, mixed
 
 ORDER = 4
 #: Characters of each language, at about, that the model learns from.
@@ -77,13 +77,6 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key[real], text[real], has
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective hash, so that sorted hashes are spread evenly."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 @dataclass
 class HashArray:
     """Sorted hashes and a row of values for each; an index over the top bits shortens the search."""
