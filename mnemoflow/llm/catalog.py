@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, licenses, mixing, oracles, personal_data, quality
+from . import language_id, licenses, mixing, neighbours, oracles, personal_data, quality
 from .decontaminate import decontaminate
 
 
@@ -85,6 +85,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(marked, voters, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= QUALITY).cast("int"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_licenses": op7_licenses,
     "op8_quality": op8_quality,
+    "op9_nearest": op9_nearest,
 }
 
 ORACLES: dict[str, str] = oracles.SQL
