@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, licenses, mixing, neighbours, oracles, personal_data, quality
+from . import language_id, licenses, mixing, neighbours, ngram_join, oracles, personal_data, quality
 from .decontaminate import decontaminate
 
 
@@ -90,6 +90,10 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_licenses": op7_licenses,
     "op8_quality": op8_quality,
     "op9_nearest": op9_nearest,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLES: dict[str, str] = oracles.SQL

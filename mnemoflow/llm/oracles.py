@@ -119,3 +119,29 @@ WITH usable AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM pairs QUALIFY rank <= 10
 """
+
+SQL["op10_ngram_join"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), members AS (
+  SELECT DISTINCT rid, hash(array_to_string(w[i:i + 2], ' ')) AS s
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM docs WHERE len(w) > 0)
+), sizes AS (SELECT rid, count(*) AS n FROM members GROUP BY rid
+), shared AS (
+  SELECT a.rid AS a, b.rid AS b, count(*) AS i FROM members a JOIN members b ON a.s = b.s AND a.rid <> b.rid GROUP BY ALL
+), links AS (
+  SELECT a, b, i, x.n AS na, y.n AS nb FROM shared JOIN sizes x ON x.rid = a JOIN sizes y ON y.rid = b
+  WHERE 100 * i >= 90 * (x.n + y.n - i)
+), classes AS (
+  SELECT rid, least(rid, coalesce((SELECT min(b) FROM links WHERE a = rid AND i = na AND i = nb), rid)) AS class FROM docs
+), degrees AS (
+  SELECT x.rid, count(DISTINCT y.class) AS n_links FROM links JOIN classes x ON x.rid = a JOIN classes y ON y.rid = b
+  WHERE x.class <> y.class GROUP BY x.rid
+), reach AS (
+  SELECT rid, rid AS r FROM docs UNION SELECT reach.rid, links.b FROM reach JOIN links ON links.a = reach.r
+), least_id AS (SELECT reach.rid, min(d.doc_id) AS c FROM reach JOIN docs d ON d.rid = r GROUP BY reach.rid)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, c AS component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM docs d JOIN least_id USING (rid) LEFT JOIN sizes s USING (rid) LEFT JOIN degrees USING (rid)
+"""
