@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, licenses, mixing, neighbours, ngram_join, oracles, personal_data, quality
+from . import language_id, licenses, mixing, neighbours, ngram_join, oracles, personal_data, quality, substrings
 from .decontaminate import decontaminate
 
 
@@ -94,10 +94,16 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.deduplicate(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
     "op4_personal_data": op4_personal_data,
+    "op5_substrings": op5_substrings,
     "op6_mixing": op6_mixing,
     "op7_licenses": op7_licenses,
     "op8_quality": op8_quality,

@@ -145,3 +145,18 @@ WITH RECURSIVE docs AS (
 SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, c AS component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
 FROM docs d JOIN least_id USING (rid) LEFT JOIN sizes s USING (rid) LEFT JOIN degrees USING (rid)
 """
+
+SQL["op5_substrings"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT rid, doc_id, i, array_to_string(w[i:i + 12], ' ') AS win
+  FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 12 + 1)) AS i FROM docs)
+), repeats AS (
+  SELECT rid, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY win) AS least FROM windows) WHERE least < doc_id
+), removed AS (SELECT DISTINCT rid, unnest(range(i, i + 13)) AS k FROM repeats
+), gone AS (SELECT rid, list(k) AS ks, count(*) AS n FROM removed GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(ks, k)) END, ' ')) AS kept_sha256
+FROM docs LEFT JOIN gone USING (rid)
+"""
