@@ -11,7 +11,7 @@ from . import language_id, licenses, mixing, neighbours, ngram_join, oracles, pe
 from .decontaminate import decontaminate
 
 
-def _fold(doc_id: str, parts: int):
+def fold(doc_id: str, parts: int):
     """crc32 of the id as text, modulo ``parts``."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts
 
@@ -34,8 +34,8 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    model = language_id.fit(docs, _fold("doc_id", 4) != 2)
-    marked = docs.select("doc_id", (_fold("doc_id", 4) == 2).alias("held_out"), "text")
+    model = language_id.fit(docs, fold("doc_id", 4) != 2)
+    marked = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "text")
     return language_id.predict(marked, model, ["doc_id", "held_out"])
 
 
@@ -80,8 +80,8 @@ QUALITY = 0.3
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    voters = quality.fit(docs, _table(spark, sf_dir, "labels").where(_fold("doc_id", 5) != 0))
-    marked = docs.select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "text")
+    voters = quality.fit(docs, _table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
+    marked = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "text")
     return quality.score(marked, voters, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= QUALITY).cast("int"))
 
 

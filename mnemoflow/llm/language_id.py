@@ -250,7 +250,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text",
     """``keep`` columns with ``lang_pred``, ``score`` (posterior of that language), ``rejected`` (its
     cross-entropy is above the threshold) and ``cross_entropy``; with ``entropies``, those of all languages."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.select(*keep, F.col(text).alias("__text"))
+    base, own = (docs.select(*keep), text) if text in keep else (docs.select(*keep, F.col(text).alias("__text")), "__text")
     fields = [f for f in base.schema.fields if f.name != "__text"]
     made = "lang_pred string, score double, rejected boolean, cross_entropy double, entropies array<double>"
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), made])
@@ -258,9 +258,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         limits = m.thresholds if m.thresholds is not None else np.full(len(m.languages), np.inf)
-        for batch in chunks(batches, "__text", _CHUNK):
+        for batch in chunks(batches, own, _CHUNK):
             n = batch.num_rows
-            texts = batch.column("__text").to_pylist()
+            texts = batch.column(own).to_pylist()
             if m.languages:
                 ce, has = m.cross_entropies(texts)
                 best = ce.argmin(1)

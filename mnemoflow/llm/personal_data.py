@@ -270,7 +270,7 @@ def all_spans(t: str, accepted: dict[str, bool], classifier: SpanClassifier) ->
 def find(docs: DataFrame, classifier: SpanClassifier, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns with ``base`` and ``spans``, arrays of (kind, start, end), and ``masked``, the
     text with each span replaced by its kind in brackets."""
-    base = docs.select(*keep, F.col(text).alias("__text"))
+    base, own = (docs.select(*keep), text) if text in keep else (docs.select(*keep, F.col(text).alias("__text")), "__text")
     fields = [f for f in base.schema.fields if f.name != "__text"]
     span = "array<struct<kind:string,start:int,`end`:int>>"
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"base {span}", f"spans {span}", "masked string"])
@@ -279,15 +279,15 @@ def find(docs: DataFrame, classifier: SpanClassifier, keep: list[str], text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         accepted: dict[str, bool] = {}
         as_rows = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
-        for batch in chunks(batches, "__text"):
-            own, full, masked = [], [], []
-            for t in batch.column("__text").to_pylist():
+        for batch in chunks(batches, own):
+            exact, full, masked = [], [], []
+            for t in batch.column(own).to_pylist():
                 x, y = all_spans(t or "", accepted, classifier)
-                own.append(as_rows(x))
+                exact.append(as_rows(x))
                 full.append(as_rows(y))
                 masked.append(mask(t, y))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(f.name) for f in fields] + [pa.array(own, kind), pa.array(full, kind), pa.array(masked, pa.string())],
+                [batch.column(f.name) for f in fields] + [pa.array(exact, kind), pa.array(full, kind), pa.array(masked, pa.string())],
                 names=[f.name for f in fields] + ["base", "spans", "masked"],
             )
 

@@ -169,15 +169,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
 def score(docs: DataFrame, voters: Voters, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns with ``score``, the weighted share of neighbours labelled 1."""
     sent = docs.sparkSession.sparkContext.broadcast(voters)
-    base = docs.select(*keep, F.col(text).alias("__text"))
+    base, own = (docs.select(*keep), text) if text in keep else (docs.select(*keep, F.col(text).alias("__text")), "__text")
     fields = [f for f in base.schema.fields if f.name != "__text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "__text", _CHUNK):
+        for batch in chunks(batches, own, _CHUNK):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = sent.value.scores(*term_counts(part.column("__text")))
+                found = sent.value.scores(*term_counts(part.column(own)))
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in fields] + [pa.array(found)], names=[f.name for f in fields] + ["score"])
 
     return base.mapInArrow(run, schema)

@@ -8,10 +8,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_KEPT: list[tuple[str, str]] = []
+#: Application, owner and path of each table.
+_KEPT: list[tuple[str, str, str]] = []
+_OWNER = [""]
+
+
+@contextmanager
+def owned(by: str) -> Iterator[None]:
+    """Tables made inside belong to ``by``, who can release them."""
+    _OWNER.append(by)
+    try:
+        yield
+    finally:
+        _OWNER.pop()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,7 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own under the shared folder."""
     path = f"{shared_folder(spark)}/mnemoflow/{name}-{uuid.uuid4().hex}"
-    _KEPT.append((spark.sparkContext.applicationId, path))
+    _KEPT.append((spark.sparkContext.applicationId, _OWNER[-1], path))
     return path
 
 
@@ -45,10 +59,9 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(conf).delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete this application's tables. For callers that have written every
-    result which still reads them, such as a pipeline between its stages."""
+def release(spark: SparkSession, owner: str) -> None:
+    """Delete the owner's tables of this application, when all results that read them are written."""
     mine = spark.sparkContext.applicationId
-    for app, path in [x for x in _KEPT if x[0] == mine]:
-        _delete(spark, path)
-        _KEPT.remove((app, path))
+    for kept in [x for x in _KEPT if x[:2] == (mine, owner)]:
+        _delete(spark, kept[2])
+        _KEPT.remove(kept)
