@@ -109,15 +109,19 @@ def words_of(column: pa.Array, fold: np.ndarray = SAME) -> Words:
     return Words(start, end, mixed(np.add.reduceat(value, start)), text, np.bincount(text, minlength=n))
 
 
-def window_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of ``size`` consecutive words of one text, and the number of the word where each starts."""
+def window_hashes(words: Words, size: int, everywhere: bool = False, factor: int = 0x9E3779B97F4A7C15):
+    """Hashes of ``size`` consecutive words of one text, and the number of the word where each starts.
+
+    ``everywhere``: the hashes alone, from every word on, across the ends of texts too.
+    """
     n = len(words.hash) - size + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint64)
+        return none if everywhere else (none, np.zeros(0, np.int64))
     out = np.zeros(n, np.uint64)
-    factor = np.uint64(0x9E3779B97F4A7C15)
-    with np.errstate(over="ignore"):
-        for k in range(size):
-            out = out * factor + words.hash[k : k + n]
+    for k in range(size):
+        out = out * np.uint64(factor) + words.hash[k : k + n]
+    if everywhere:
+        return mixed(out)
     at = np.flatnonzero(words.text[:n] == words.text[size - 1 :])
     return mixed(out[at]), at

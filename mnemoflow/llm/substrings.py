@@ -1,24 +1,25 @@
 """Substring deduplication over a log-structured index of window fingerprints.
 
-A window is ``size`` consecutive words of one document. The index is a list of
-runs: immutable tables of the sorted fingerprints of all windows seen, cut by
-their top bits into the same ranges. ``ingest`` takes a batch:
-
-1. Segments of the batch send their windows' fingerprints, sorted and packed,
-   to the task of each range, which merges them with the runs' fingerprints of
-   that range. A window repeats if a run has it, or a document of the batch
-   with a smaller id. New fingerprints become the batch's own run.
-2. The repeats return to their documents. Only documents that have some are
-   joined with their text; which those are is told by a fixed-size bit map, the
-   same size for any input, and the join is exact.
-3. Fingerprints may collide, so matches are verified by their words: of every
-   chain of consecutive repeating windows the first and last windows are
-   compared, by a 128-bit digest of their words, with all windows of smaller
-   documents that have such a fingerprint. One that no earlier document
-   has isn't a repeat. (A false match alone, or beside a chain, is at an end of one.)
+A window is ``size`` consecutive words of one document. Of its groups of GRAM
+words the one with the smallest hash is its anchor: equal windows have equal
+anchors at the same place, and neighbouring windows mostly share theirs, so
+anchors are about a quarter as many as windows. The index is a list of runs:
+immutable tables of sorted anchor fingerprints, cut by their top bits into the
+same ranges. ``ingest`` takes a batch:
+
+1. Segments of the batch send their anchors' fingerprints, sorted and packed,
+   to the task of each range, which merges them with the runs of that range.
+   Anchors that stand twice in the batch, or in a run, return to their
+   documents; the new ones become the batch's own run.
+2. Matches are verified: documents with such anchors are joined with their
+   text, and the windows about these anchors meet again, with 96 bits of hash
+   of all their words and their document's id. A window repeats if a document
+   with a smaller id, or a historical one, has it.
+3. Words inside repeating windows are removed.
 4. ``compact`` merges runs by size, each range on its own.
 
-Batches come with growing ids; what a run has is earlier than any new document.
+Which documents to join is told by a fixed-size bit map, the same size for any
+input; the join is exact, so what the map lets through in error only costs time.
 
 Defined results: a null text has no words; one of fewer words than a window
 keeps all; windows of equal ids aren't smaller, so a repeated row keeps its
@@ -37,26 +38,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import byte_view, chunks, window_hashes, words_of
+from .batches import Words, chunks, window_hashes, words_of
 from .fingerprints import SEGMENT_WORDS, SegmentNumber, packed, packed_sorted, ranges_for, split, unpacked, unpacked_sorted
 from .scratch import new_path, stored
 
 SIZE = 13
+GRAM = 7
 MAP_BITS = 1 << 26
 #: Runs that an index holds before the smaller ones are merged.
 RUNS = 4
-#: Bits of a fingerprint beyond the logarithm of the number of windows; a false match is one in 2 ** SPARE.
-SPARE = 25
+#: Bits of an anchor's fingerprint; a collision only makes more to verify.
+BITS = 44
 _LAST = np.iinfo(np.int64).max
-_EXCHANGE = "`range` int, seg bigint, keys binary, refs binary, docs binary"
+_CHUNK = 1 << 20
+_SENT = "`range` int, seg bigint, keys binary, refs binary, docs binary"
+_MERGED = "kind int, `range` int, seg bigint, keys binary, docs binary"
+_WINDOWS = "`range` int, seg bigint, keys binary, checks binary, ids binary, refs binary, docs binary"
 
 
 @dataclass
 class Index:
-    """Runs, the oldest first: (path, fingerprints). All have the same ranges and bits."""
+    """Runs, the oldest first: (path, fingerprints). All have the same ranges."""
 
     ranges: int
-    bits: int
     size: int = SIZE
     runs: list[tuple[str, int]] = field(default_factory=list)
 
@@ -69,8 +73,7 @@ class Index:
 
 def new_index(docs: DataFrame, text: str = "text", size: int = SIZE, growth: int = 1) -> Index:
     """An index for ``growth`` times the text of ``docs``."""
-    ranges = ranges_for(docs, text) * (1 << (growth - 1).bit_length())
-    return Index(ranges, min(64, ranges.bit_length() - 1 + 20 + SPARE), size)
+    return Index(ranges_for(docs, text) * (1 << (growth - 1).bit_length()), size)
 
 
 def _base(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -78,8 +81,48 @@ def _base(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(key.alias("k"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("h"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(key), F.lit(MAP_BITS)).alias("bit"))
 
 
+def anchors(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all groups of words (those across texts are never used), the windows' first words and their anchors'."""
+    gram = min(GRAM, size)
+    n = len(words.hash) - size + 1
+    if n <= 0:
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none
+    grams = window_hashes(words, gram, everywhere=True)
+    best, at = grams[:n].copy(), np.zeros(n, np.int64)
+    for k in range(1, size - gram + 1):
+        own = grams[k : k + n]
+        less = own < best
+        best[less], at[less] = own[less], k
+    windows = np.flatnonzero(words.text[:n] == words.text[size - 1 :])
+    return grams, windows, windows + at[windows]
+
+
+def _rows(columns: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(columns)], names=[n for n, _ in columns])
+
+
+_BINARY = pa.binary()
+_SENT_COLUMNS = [("range", pa.int32()), ("seg", pa.int64()), ("keys", _BINARY), ("refs", _BINARY), ("docs", _BINARY)]
+_WINDOW_COLUMNS = [("range", pa.int32()), ("seg", pa.int64()), ("keys", _BINARY), ("checks", _BINARY), ("ids", _BINARY), ("refs", _BINARY), ("docs", _BINARY)]
+
+
+def _document_table(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> bytes:
+    return b"".join(len(x).to_bytes(8, "little") + x for x in (packed(np.concatenate(x).view(np.uint64)) for x in zip(*docs, strict=True)))
+
+
+def _documents(b: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    for _ in range(3):
+        n = int.from_bytes(b[at : at + 8], "little")
+        out.append(unpacked(b[at + 8 : at + 8 + n]).view(np.int64))
+        at += 8 + n
+    return out
+
+
 def _send(base: DataFrame, index: Index) -> DataFrame:
-    shift = np.uint64(64 - index.bits)
+    """Anchors of the batch's segments, by range; a segment's table of documents goes with range 0."""
+    shift = np.uint64(64 - BITS)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = SegmentNumber()
@@ -91,183 +134,239 @@ def _send(base: DataFrame, index: Index) -> DataFrame:
         def segment() -> pa.RecordBatch:
             k, r = np.concatenate(keys), np.concatenate(refs)
             order = np.argsort(k)
-            k, r = k[order], r[order]
-            table = b"".join(len(x).to_bytes(8, "little") + x for x in (packed(np.concatenate(x).view(np.uint64)) for x in zip(*docs, strict=True)))
-            seg, rows = number(), []
-            for at, part in split(k, index.ranges):
-                rows.append((at, seg, packed_sorted(k[part] >> shift), packed(r[part]), table))
+            k, r, seg = k[order], r[order], number()
+            rows = [(at, seg, packed_sorted(k[part] >> shift), packed(r[part]), _document_table(docs) if at == 0 else None) for at, part in split(k, index.ranges)]
             if not rows or rows[0][0]:
-                rows.append((0, seg, packed(np.zeros(0)), packed(np.zeros(0)), table))
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], names=["range", "seg", "keys", "refs", "docs"])
+                rows.append((0, seg, packed(np.zeros(0)), packed(np.zeros(0)), _document_table(docs)))
+            return _rows(_SENT_COLUMNS, rows)
 
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=_CHUNK):
             words = words_of(batch.column("text"))
             if docs and held + len(words.hash) > SEGMENT_WORDS:
                 yield segment()
                 keys, refs, docs, held = [], [], [], 0
-            k, at = window_hashes(words, index.size)
-            keys.append(k)
-            refs.append(at + held)
+            grams, _, own = anchors(words, index.size)
+            own = np.unique(own)
+            keys.append(grams[own])
+            refs.append(own + held)
             docs.append((batch.column("k").to_numpy(), batch.column("h").to_numpy(), words.count.astype(np.int64)))
             held += len(words.hash)
         if docs:
             yield segment()
 
-    return base.select("k", "h", "text").mapInArrow(send, _EXCHANGE)
-
-
-def _documents(b: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    for _ in range(3):
-        n = int.from_bytes(b[at : at + 8], "little")
-        out.append(unpacked(b[at + 8 : at + 8 + n]).view(np.int64))
-        at += 8 + n
-    return out
+    return base.select("k", "h", "text").mapInArrow(send, _SENT)
 
 
 def _merge(new: pa.Table, old: pa.Table) -> pa.Table:
-    """A range: repeats of each segment (kind 0), and the run of what is new (kind 1)."""
-    out: dict[str, list] = {"kind": [], "range": [], "seg": [], "keys": [], "docs": []}
+    """A range: each segment's anchors that stand elsewhere too (kind 0), the run of the new ones (1), those that a run has (2)."""
+    out: list[tuple] = []
     if new.num_rows:
         keys = [unpacked_sorted(x.as_py()) for x in new["keys"]]
-        refs = [unpacked(x.as_py()).astype(np.int64) for x in new["refs"]]
-        ids = []
-        for r, d in zip(refs, new["docs"], strict=True):
-            k, _, n = _documents(d.as_py())
-            ids.append(k[np.searchsorted(np.cumsum(n), r, side="right")] if len(r) else r)
-        key, own = np.concatenate(keys), np.concatenate(ids)
-        order = np.argsort(key)
-        key, own = key[order], own[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        distinct = key[first]
-        least = np.minimum.reduceat(own, first) if len(key) else own
+        distinct, back, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         seen = np.zeros(len(distinct), bool)
         for x in old["keys"]:
             run = unpacked_sorted(x.as_py())
             if len(run):
-                at = np.searchsorted(run, distinct)
-                seen |= run[np.minimum(at, len(run) - 1)] == distinct
-        least[seen] = -1 << 62
-        repeats = np.zeros(len(key), bool)
-        repeats[order] = own > np.repeat(least, np.diff(np.append(first, len(key))))
-        ends = np.cumsum([len(k) for k in keys])
+                seen |= run[np.minimum(np.searchsorted(run, distinct), len(run) - 1)] == distinct
+        twice = ((n > 1) | seen)[back]
         at_range = new["range"][0].as_py()
-        for i, part in enumerate(np.split(repeats, ends[:-1])):
-            for name, v in (("kind", 0), ("range", at_range), ("seg", new["seg"][i].as_py()), ("keys", packed_sorted(np.sort(refs[i][part]))), ("docs", new["docs"][i].as_py() if at_range == 0 else None)):
-                out[name].append(v)
-        for name, v in (("kind", 1), ("range", at_range), ("seg", len(distinct) - int(seen.sum())), ("keys", packed_sorted(distinct[~seen])), ("docs", None)):
-            out[name].append(v)
-    return pa.table({"kind": pa.array(out["kind"], pa.int32()), "range": pa.array(out["range"], pa.int32()), "seg": pa.array(out["seg"], pa.int64()), "keys": pa.array(out["keys"], pa.binary()), "docs": pa.array(out["docs"], pa.binary())})
+        ends = np.cumsum([len(k) for k in keys])
+        for i, part in enumerate(np.split(twice, ends[:-1])):
+            refs = np.sort(unpacked(new["refs"][i].as_py())[part])
+            out.append((0, at_range, new["seg"][i].as_py(), packed_sorted(refs), new["docs"][i].as_py()))
+        out.append((1, at_range, int((~seen).sum()), packed_sorted(distinct[~seen]), None))
+        if seen.any():
+            out.append((2, at_range, int(seen.sum()), packed_sorted(distinct[seen]), None))
+    kinds = [("kind", pa.int32()), ("range", pa.int32()), ("seg", pa.int64()), ("keys", _BINARY), ("docs", _BINARY)]
+    return pa.Table.from_batches([_rows(kinds, out)])
 
 
 def _of_documents(table: pa.Table) -> pa.Table:
-    """A segment's repeats, by document: k, h and the words where a repeating window starts."""
+    """A segment's words, by document: k, h and the sorted places within the document."""
     k, h, n = _documents(next(x for x in table["docs"].to_pylist() if x is not None))
     starts = np.cumsum(n) - n
     at = np.sort(np.concatenate([unpacked_sorted(x.as_py()) for x in table["keys"]]).astype(np.int64))
     doc = np.searchsorted(np.cumsum(n), at, side="right")
     some, first = np.unique(doc, return_index=True)
     parts = np.split(at, first[1:]) if len(some) else []
-    return pa.table({"k": pa.array(k[some]), "h": pa.array(h[some]), "repeats": pa.array([packed_sorted((p - starts[d]).astype(np.uint64)) for d, p in zip(some, parts, strict=True)], pa.binary())})
+    return pa.table({"k": pa.array(k[some]), "h": pa.array(h[some]), "places": pa.array([packed_sorted((p - starts[d]).astype(np.uint64)) for d, p in zip(some, parts, strict=True)], _BINARY)})
+
+
+def _by_document(rows: DataFrame, name: str) -> DataFrame:
+    """(k, h, places), one row for rows that repeat."""
+    return stored(rows.groupBy("seg").applyInArrow(_of_documents, "k bigint, h bigint, places binary").dropDuplicates(["k", "h"]), name)
 
 
-def _map_of(rows: DataFrame, bit) -> np.ndarray:
-    words = rows.select(F.floor(bit / 64).cast("int").alias("w"), F.pmod(bit, F.lit(64)).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v")).toArrow()
+def _gathered_map(words: DataFrame) -> np.ndarray:
+    """The bit map of fixed size from rows (w, v) of its 64-bit words."""
+    rows = words.groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
     out = np.zeros(MAP_BITS // 64, np.int64)
-    out[words["w"].to_numpy()] = words["v"].to_numpy()
+    out[rows["w"].to_numpy()] = rows["v"].to_numpy()
     return out.view(np.uint64)
 
 
+def _map_of_ids(rows: DataFrame) -> np.ndarray:
+    bit = F.pmod(F.xxhash64("k"), F.lit(MAP_BITS))
+    return _gathered_map(rows.select(F.floor(bit / 64).cast("int").alias("w"), F.pmod(bit, F.lit(64)).cast("int").alias("b")).select("w", F.expr("shiftleft(1L, b)").alias("v")))
+
+
+def _map_of_keys(rows: DataFrame) -> np.ndarray:
+    """The map of packed fingerprints."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("keys").to_pylist():
+                bit = _key_bit(unpacked_sorted(x))
+                yield pa.RecordBatch.from_arrays([pa.array((bit >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (bit & np.uint64(63))).view(np.int64))], names=["w", "v"])
+
+    return _gathered_map(rows.select("keys").mapInArrow(spread, "w int, v bigint"))
+
+
+def _key_bit(key: np.ndarray) -> np.ndarray:
+    return key & np.uint64(MAP_BITS - 1)
+
+
 def _in_map(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-def _joined(text: bytes, start: np.ndarray, end: np.ndarray) -> bytes:
-    return b" ".join([text[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+def _text_batches(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of packed texts, unpacked a bounded number of bytes at a time."""
+    for batch in batches:
+        sizes = batch.column("bytes").to_pylist()
+        at = 0
+        while at < batch.num_rows:
+            stop, held = at, 0
+            while stop < batch.num_rows and (stop == at or held + sizes[stop] <= _CHUNK):
+                held += sizes[stop]
+                stop += 1
+            part = batch.slice(at, stop - at)
+            texts = pa.array([pa.decompress(z, n, codec="zstd", asbytes=True) if n else b"" for z, n in zip(part.column("z").to_pylist(), sizes[at:stop], strict=True)], _BINARY)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), texts.cast(pa.string())], names=[*columns, "text"])
+            at = stop
+
+
+class _WindowSender:
+    """Windows by range, with all that the verification needs, a segment at a time."""
+
+    def __init__(self, ranges: int, number: SegmentNumber) -> None:
+        self.ranges, self.number = ranges, number
+        self.clear()
+
+    def clear(self) -> None:
+        self.parts: list[tuple] = []
+        self.docs: list[tuple] = []
+        self.held = self.many = 0
+
+    def add(self, words: Words, at: np.ndarray, k: np.ndarray, h: np.ndarray, size: int) -> None:
+        hashes = window_hashes(words, size, everywhere=True)[at]
+        checks = window_hashes(words, size, everywhere=True, factor=0xD6E8FEB86659FD93)[at] >> np.uint64(32)
+        self.parts.append((hashes, checks, k[words.text[at]].view(np.uint64), (at + self.held).astype(np.uint64)))
+        self.docs.append((k, h, words.count.astype(np.int64)))
+        self.held += len(words.hash)
+        self.many += len(at)
+
+    def rows(self) -> pa.RecordBatch:
+        keys, *rest = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(keys)
+        keys, rest, seg = keys[order], [x[order] for x in rest], self.number()
+        table = _document_table(self.docs)
+        out = [(r, seg, packed_sorted(keys[at]), *(packed(x[at]) for x in rest), table if r == 0 else None) for r, at in split(keys, self.ranges)]
+        if not out or out[0][0]:
+            out.append((0, seg, *[packed(np.zeros(0))] * 4, table))
+        self.clear()
+        return _rows(_WINDOW_COLUMNS, out)
+
+
+def _verify(table: pa.Table) -> pa.Table:
+    """A range: each segment's windows that a document with a smaller id has too."""
+    keys, checks, ids = (np.concatenate([f(x.as_py()) for x in table[c]]) for c, f in (("keys", unpacked_sorted), ("checks", unpacked), ("ids", unpacked)))
+    ids = ids.view(np.int64)
+    order = np.lexsort((checks, keys))
+    k, c, own = keys[order], checks[order], ids[order]
+    first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])) if len(k) else np.zeros(0, np.int64)
+    repeats = np.zeros(len(k), bool)
+    if len(k):
+        repeats[order] = own > np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(k))))
+    out, at = [], 0
+    for i in range(table.num_rows):
+        refs = unpacked(table["refs"][i].as_py())
+        part = repeats[at : at + len(refs)]
+        at += len(refs)
+        if table["seg"][i].as_py() >= 0:
+            out.append((table["seg"][i].as_py(), packed_sorted(np.sort(refs[part])), table["docs"][i].as_py()))
+    return pa.Table.from_batches([_rows([("seg", pa.int64()), ("keys", _BINARY), ("docs", _BINARY)], out)])
 
 
-def _ends(repeats: np.ndarray) -> np.ndarray:
-    """The first and last of each chain of consecutive windows."""
-    gap = np.flatnonzero(np.diff(repeats) != 1)
-    return np.unique(np.concatenate([repeats[:1], repeats[gap], repeats[gap + 1], repeats[-1:]]))
+def _candidate_windows(affected: DataFrame, index: Index) -> DataFrame:
+    size, ranges = index.size, index.ranges
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender = _WindowSender(ranges, SegmentNumber())
+        for batch in _text_batches(batches, ["k", "h", "places"]):
+            words = words_of(batch.column("text"))
+            _, windows, own = anchors(words, size)
+            starts = np.cumsum(words.count) - words.count
+            marked = np.zeros(len(words.hash) + 1, bool)
+            for i, x in enumerate(batch.column("places").to_pylist()):
+                if x is not None:
+                    marked[starts[i] + unpacked_sorted(x).astype(np.int64)] = True
+            sender.add(words, windows[marked[own]], batch.column("k").to_numpy(), batch.column("h").to_numpy(), size)
+            if sender.many > SEGMENT_WORDS:
+                yield sender.rows()
+        if sender.docs:
+            yield sender.rows()
 
-def _window_digests(data: np.ndarray, words, at: np.ndarray, size: int) -> list[bytes]:
-    raw = data.tobytes()
-    return [hashlib.blake2b(_joined(raw, words.start[i : i + size], words.end[i : i + size]), digest_size=16).digest() for i in at.tolist()]
+    return affected.mapInArrow(send, _WINDOWS)
 
 
-def _refuted(base: DataFrame, affected: DataFrame, index: Index) -> DataFrame:
-    """(k, h, refuted): chain ends whose words no document with a smaller id has."""
-    size = index.size
-    bit_of = np.uint64(64 - (MAP_BITS.bit_length() - 1))
+def _historical_windows(history: DataFrame, index: Index, bits: np.ndarray, text: str) -> DataFrame:
+    """Windows of historical documents about the anchors in the map; their id is smaller than any, and none returns."""
+    size, ranges, shift = index.size, index.ranges, np.uint64(64 - BITS)
+    sent = history.sparkSession.sparkContext.broadcast(bits)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pa.array([pa.decompress(z.as_py(), int(n.as_py()), codec="zstd", asbytes=True) if n.as_py() else b"" for z, n in zip(batch.column("z"), batch.column("bytes"), strict=True)], pa.binary()).cast(pa.string())
-            words = words_of(texts)
-            hashes, at = window_hashes(words, size)
-            data, _ = byte_view(texts)
-            starts = np.cumsum(words.count) - words.count
-            k, h, place, digests, bit = [], [], [], [], []
-            for i, r in enumerate(batch.column("repeats").to_pylist()):
-                if r is None:
-                    continue
-                ends = _ends(unpacked_sorted(r).astype(np.int64))
-                word = ends + starts[i]
-                digests += _window_digests(data, words, word, size)
-                bit.append(hashes[np.searchsorted(at, word)] >> bit_of)
-                place.append(ends)
-                k += [batch.column("k")[i].as_py()] * len(ends)
-                h += [batch.column("h")[i].as_py()] * len(ends)
-            none = np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(h, pa.int64()), pa.array(np.concatenate([none, *place])), pa.array(digests, pa.binary()), pa.array(np.concatenate([none.view(np.uint64), *bit]).view(np.int64))], names=["k", "h", "place", "digest", "bit"])
-
-    asked = stored(affected.where("repeats IS NOT NULL").mapInArrow(ask, "k bigint, h bigint, place bigint, digest binary, bit bigint"), "asked")
-    bits = base.sparkSession.sparkContext.broadcast(_map_of(asked, F.col("bit")))
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender = _WindowSender(ranges, lambda: -1)
+        for batch in chunks(batches, most=_CHUNK):
             words = words_of(batch.column("text"))
-            hashes, at = window_hashes(words, size)
-            hit = at[_in_map(bits.value, hashes >> bit_of)]
-            data, _ = byte_view(batch.column("text"))
-            ids = batch.column("k").to_numpy()[words.text[hit]]
-            yield pa.RecordBatch.from_arrays([pa.array(_window_digests(data, words, hit, size), pa.binary()), pa.array(ids)], names=["digest", "k"])
+            grams, windows, own = anchors(words, size)
+            at = windows[_in_map(sent.value, _key_bit(grams[own] >> shift))]
+            least = np.full(len(words.count), np.iinfo(np.int64).min)
+            sender.add(words, at, least, least, size)
+            if sender.many > SEGMENT_WORDS:
+                yield sender.rows()
+        if sender.docs:
+            yield sender.rows()
 
-    least = base.select("k", "text").mapInArrow(answer, "digest binary, k bigint").groupBy("digest").agg(F.min("k").alias("least"))
-    least = stored(least.join(asked.select("digest").distinct(), "digest", "left_semi"), "least")
-    false = asked.join(least, "digest", "left").where("least IS NULL OR least >= k")
-    return false.groupBy("k", "h").agg(F.collect_set("place").alias("refuted"))
+    return history.select(F.col(text).alias("text")).mapInArrow(send, _WINDOWS)
 
 
-def ingest(docs: DataFrame, index: Index, corpus: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, Index]:
-    """Per document of the batch: doc_id, n_words, n_removed, kept_sha256 and kept_text, and the index with the batch's run.
+def ingest(docs: DataFrame, index: Index, history: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, Index]:
+    """Per document of the batch: doc_id, n_words, n_removed, kept_sha256 and kept_text; and the index with the batch's run.
 
-    ``corpus``: all documents that the index and the batch hold, to verify against (the batch, if the index is empty).
+    ``history``: the documents that the index has seen, to verify matches with; asked for if it has seen any.
     """
+    if index.runs and history is None:
+        raise ValueError("an index with runs needs the historical documents to verify its matches")
     spark = docs.sparkSession
     base = _base(docs, doc_id, text)
     size = index.size
-    merged_path = new_path(spark, "merged")
+    path = new_path(spark, "merged")
     sent, runs = _send(base, index), index.read(spark)
-    kind = "kind int, `range` int, seg bigint, keys binary, docs binary"
-    sent.groupBy("range").cogroup(runs.groupBy("range")).applyInArrow(_merge, kind).write.partitionBy("kind").option("compression", "zstd").parquet(merged_path)
-    rest = T.StructType.fromDDL("`range` int, seg bigint, keys binary, docs binary")
-    repeats = stored(_read(spark, f"{merged_path}/kind=0", rest).groupBy("seg").applyInArrow(_of_documents, "k bigint, h bigint, repeats binary"), "repeats")
-    run = _read(spark, f"{merged_path}/kind=1", rest)
-    grown = Index(index.ranges, index.bits, size, [*index.runs, (f"{merged_path}/kind=1", run.agg(F.sum("seg")).first()[0] or 0)])
+    sent.groupBy("range").cogroup(runs.groupBy("range")).applyInArrow(_merge, _MERGED).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    rest = T.StructType.fromDDL(_MERGED.removeprefix("kind int, "))
+    places = _by_document(_read(spark, f"{path}/kind=0", rest), "places")
+    run = _read(spark, f"{path}/kind=1", rest)
+    grown = Index(index.ranges, size, [*index.runs, (f"{path}/kind=1", run.agg(F.sum("seg")).first()[0])] if run.head(1) else index.runs)
 
-    bits = spark.sparkContext.broadcast(_map_of(repeats, F.pmod(F.xxhash64("k"), F.lit(MAP_BITS))))
-    affected_kind = "k bigint, h bigint, doc_id bigint, z binary, bytes bigint"
+    bits = spark.sparkContext.broadcast(_map_of_ids(places))
 
-    def affected_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part = batch.filter(pa.array(_in_map(bits.value, batch.column("bit").to_numpy().astype(np.uint64))))
-            raw = [x or b"" for x in part.column("text").cast(pa.binary() if not pa.types.is_large_string(part.column("text").type) else pa.large_binary()).to_pylist()]
+            raw = _raw(part.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [part.column("k"), part.column("h"), part.column("doc_id"), pa.array([pa.compress(x, codec="zstd", asbytes=True) if x else b"" for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64())],
+                [part.column("k"), part.column("h"), part.column("doc_id"), pa.array([pa.compress(x, codec="zstd", asbytes=True) if x else b"" for x in raw], _BINARY), pa.array([len(x) for x in raw], pa.int64())],
                 names=["k", "h", "doc_id", "z", "bytes"],
             )
 
@@ -279,13 +378,13 @@ def ingest(docs: DataFrame, index: Index, corpus: DataFrame | None = None, doc_i
             yield _kept_rows(batch.column("doc_id"), [x.count(b" ") + 1 if x else 0 for x in kept], [0] * len(kept), kept)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _text_batches(batches, ["doc_id", "repeats"]):
             n_words, n_removed, kept = [], [], []
-            for z, n, r, f in zip(*(batch.column(c).to_pylist() for c in ("z", "bytes", "repeats", "refuted")), strict=True):
-                words = pa.decompress(z, n, codec="zstd", asbytes=True).split() if n else []
+            for x, r in zip(_raw(batch.column("text")), batch.column("repeats").to_pylist(), strict=True):
+                words = x.split()
                 removed = np.zeros(len(words) + 1, np.int64)
                 if r is not None:
-                    at = np.setdiff1d(unpacked_sorted(r).astype(np.int64), np.array(f or [], np.int64))
+                    at = unpacked_sorted(r).astype(np.int64)
                     np.add.at(removed, at, 1)
                     np.add.at(removed, at + size, -1)
                 gone = np.cumsum(removed[:-1]) > 0
@@ -294,9 +393,12 @@ def ingest(docs: DataFrame, index: Index, corpus: DataFrame | None = None, doc_i
                 kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
             yield _kept_rows(batch.column("doc_id"), n_words, n_removed, kept)
 
-    affected = stored(base.select("k", "h", "doc_id", "text", "bit").mapInArrow(affected_texts, affected_kind).join(repeats, ["k", "h"], "left"), "affected")
-    refuted = _refuted(base if corpus is None else _base(corpus, doc_id, text), affected, index)
-    changed = affected.join(refuted, ["k", "h"], "left").mapInArrow(cut, out_kind)
+    affected = stored(base.select("k", "h", "doc_id", "text", "bit").mapInArrow(with_text, "k bigint, h bigint, doc_id bigint, z binary, bytes bigint").join(places, ["k", "h"], "left"), "affected")
+    windows = _candidate_windows(affected, index)
+    if index.runs:
+        windows = windows.unionByName(_historical_windows(history, index, _map_of_keys(_read(spark, f"{path}/kind=2", rest)), text))
+    repeats = _by_document(windows.groupBy("range").applyInArrow(_verify, "seg bigint, keys binary, docs binary"), "repeats").withColumnRenamed("places", "repeats")
+    changed = affected.drop("places").join(repeats, ["k", "h"], "left").mapInArrow(cut, out_kind)
     return base.select("doc_id", "text", "bit").mapInArrow(untouched, out_kind).unionByName(changed), grown
 
 
@@ -334,7 +436,7 @@ def compact(spark: SparkSession, index: Index, most: int = RUNS) -> Index:
     rows = spark.read.schema("`range` int, keys binary").parquet(*[p for p, _ in small])
     path = new_path(spark, "run")
     rows.groupBy("range").applyInArrow(_merge_runs, "`range` int, seg bigint, keys binary").write.option("compression", "zstd").parquet(path)
-    return Index(index.ranges, index.bits, index.size, [*large, (path, spark.read.parquet(path).agg(F.sum("seg")).first()[0] or 0)])
+    return Index(index.ranges, index.size, [*large, (path, spark.read.parquet(path).agg(F.sum("seg")).first()[0] or 0)])
 
 
 def deduplicate(docs: DataFrame, size: int = SIZE) -> DataFrame:
