@@ -50,7 +50,7 @@ def apply(decisions: DataFrame, manifests: DataFrame) -> DataFrame:
         F.format_string("S%03d", place + 1).alias("snapshot_id"),
         F.format_string("S%03d", place).alias("parent_id"),
         tokens.alias("tokens"),
-        F.round(maths.fullness(tokens, F.lit(DEFAULT.context_limit)), 6).alias("fullness_pct"),
+        F.round(maths.fullness(tokens, F.lit(DEFAULT.context_limit)), 9).alias("fullness_pct"),
         F.when(F.col("action") == "write", "commit_write").otherwise("commit_update").alias("chronicle_type"),
     )
 

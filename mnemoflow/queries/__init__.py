@@ -1,7 +1,7 @@
 """The engine's registered queries, and their SQL where DuckDB can express them."""
 
-from . import retrieval, text
+from . import memory, retrieval, text
 
-_PARTS = (text, retrieval)
+_PARTS = (text, retrieval, memory)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 SQL = {name: s for part in _PARTS for name, s in part.SQL.items()}
