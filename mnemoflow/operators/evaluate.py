@@ -79,7 +79,7 @@ def paired(cells: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
 
 def mcnemar(cells: DataFrame, a: str, b: str, keys: list[str], alpha: float = DEFAULT.alpha) -> DataFrame:
     """Discordant counts, the exact two-sided p, and the winner at alpha."""
-    counts = paired(cells, a, b, keys).agg(*[F.count_if(test).alias(n) for n, test in (("a_only", F.col("a") & ~F.col("b")), ("b_only", ~F.col("a") & F.col("b")), ("both", F.col("a") & F.col("b")), ("neither", ~F.col("a") & ~F.col("b")))])
+    counts = paired(cells, a, b, keys).agg(*[F.count_if(test).alias(n) for n, test in (("a_only", F.col("a") & ~F.col("b")), ("b_only", ~F.col("a") & F.col("b")), ("both_right", F.col("a") & F.col("b")), ("neither", ~F.col("a") & ~F.col("b")))])
     p = maths.binomial_p(F.col("a_only"), F.col("b_only"))
     winner = F.when((F.col("p") < alpha) & (F.col("a_only") > F.col("b_only")), a).when((F.col("p") < alpha) & (F.col("a_only") < F.col("b_only")), b).otherwise("tie")
     return counts.withColumn("p", F.round(p, 9)).withColumn("winner", winner)
