@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, licenses, mixing, neighbours, ngram_join, oracles, personal_data, quality, substrings
+from . import language_id, licenses, mixing, neighbours, ngram_join, oracles, personal_data, quality, substrings, token_counts
 from .decontaminate import decontaminate
 
 
@@ -39,6 +39,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(marked, model, ["doc_id", "held_out"])
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), token_counts.read_vocabulary(token_counts.VOCABULARY), ["doc_id"])
+
+
 def _joined(spans: str):
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -102,6 +106,7 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
+    "op3_token_counts": op3_token_counts,
     "op4_personal_data": op4_personal_data,
     "op5_substrings": op5_substrings,
     "op6_mixing": op6_mixing,
