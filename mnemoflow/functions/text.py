@@ -14,6 +14,11 @@ def strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)).cast(_STRINGS)
 
 
+def strip(text: Column) -> Column:
+    """Without white space, line ends too, at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def estimate_tokens(text: Column) -> Column:
     """A quarter of the characters, rounded up."""
     return F.ceil(F.length(F.coalesce(text, F.lit(""))) / 4).cast("long")
@@ -199,14 +204,14 @@ def turn_number(content: Column, event_id: Column) -> Column:
 
 def split_turns(content: Column) -> Column:
     """The turns of a transcript; of one with a single turn or none, nothing."""
-    clean = F.trim(F.regexp_replace(content, "\r\n", "\n"))
+    clean = strip(F.regexp_replace(content, "\r\n", "\n"))
     head = r"(?=(?:^|\n)\s*(?:\[[^\]\n]*?\s*\|\s*)?\[?Turn\s+\d+\]?\s+(?:User|Assistant):)"
-    parts = F.filter(F.transform(F.split(clean, head), F.trim), lambda p: F.regexp_like(p, F.lit(r"^(?:\[[^\]\n]*?\s*\|\s*)?\[?Turn\s+\d+\]?\s+(?:User|Assistant):")))
+    parts = F.filter(F.transform(F.split(clean, head), strip), lambda p: F.regexp_like(p, F.lit(r"^(?:\[[^\]\n]*?\s*\|\s*)?\[?Turn\s+\d+\]?\s+(?:User|Assistant):")))
     return F.when(F.size(parts) > 1, parts).otherwise(F.array().cast(_STRINGS))
 
 
 def split_sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z])"), F.trim), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z])"), strip), lambda s: F.length(s) > 0)
 
 
 def snippet(event_id: Column, content: Column, terms: Column, most: int = 360) -> Column:

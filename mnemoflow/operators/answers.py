@@ -44,7 +44,7 @@ def parse_choice(output: Column, options: Column) -> Column:
 def parse_free(output: Column) -> Column:
     """(chosen, cited): the first ANSWER line, else the first line that isn't blank or of citations."""
     found = F.regexp_extract_all(output, F.lit(r"(?i)ANSWER\s*[:=]\s*([^\n\r]+)"), 1)
-    lines = F.filter(F.transform(F.split(output, "\r?\n"), F.trim), lambda s: (F.length(s) > 0) & ~F.regexp_like(s, F.lit(r"(?i)^citations\s*[:=]")))
+    lines = F.filter(F.transform(F.split(output, "\r?\n"), lambda s: F.trim(s)), lambda s: (F.length(s) > 0) & ~F.regexp_like(s, F.lit(r"(?i)^citations\s*[:=]")))
     chosen = F.when(F.size(found) > 0, F.nullif(F.trim(F.get(found, 0)), F.lit(""))).otherwise(F.get(lines, 0))
     cited = F.get(F.regexp_extract_all(output, F.lit(r"(?i)CITATIONS\s*[:=]\s*([^\n\r]+)"), 1), 0)
     return F.struct(chosen.alias("chosen"), F.coalesce(citations(cited), F.array().cast(_STRINGS)).alias("cited"))

@@ -10,7 +10,7 @@ from ..functions import maths
 
 def rows(summary: DataFrame) -> DataFrame:
     """One line of a table per cell summary."""
-    return summary.select(F.format_string("| %s | %d | %d | %.1f%% | %.2f |", "system", "model_context", "corpus_size", F.col("accuracy") * 100, "mean_f1").alias("line"))
+    return summary.select(F.format_string("| %s | %d | %d | %.1f%% | %.2f |", "system", "model_context", "corpus_size", F.floor(F.col("accuracy") * 1000 + 0.5) / 10, maths.round2(F.col("mean_f1"))).alias("line"))
 
 
 def accuracy_by_size(summary: DataFrame, context: int) -> DataFrame:

@@ -252,7 +252,7 @@ def report_rows(spark, sf):
     return report.rows(evaluate.summaries(_cells(spark, sf)))
 
 
-SQL["report_rows"] = f"WITH {_SUMMARY} SELECT printf('| %s | %d | %d | %.1f%% | %.2f |', system, model_context, corpus_size, accuracy * 100, mean_f1) AS line FROM summary"
+SQL["report_rows"] = f"WITH {_SUMMARY} SELECT printf('| %s | %d | %d | %.1f%% | %.2f |', system, model_context, corpus_size, floor(accuracy * 1000 + 0.5) / 10, floor(mean_f1 * 100 + 0.5) / 100) AS line FROM summary"
 
 
 @query
