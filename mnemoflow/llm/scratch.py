@@ -6,6 +6,8 @@ one (tests, a laptop) gets a temporary folder, set once.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,7 +34,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The session's shared folder, as Spark reads it."""
     where = spark.conf.get("spark.checkpoint.dir", "")
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="mnemoflow-")
+        own = tempfile.mkdtemp(prefix="mnemoflow-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        where = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
