@@ -25,8 +25,7 @@ def estimate_tokens(text: Column) -> Column:
 
 
 def tokenize_router(text: Column) -> Column:
-    stop = strings(ROUTER_STOP)
-    return F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda t: (F.length(t) > 1) & ~t.isin(ROUTER_STOP))
 
 
 def tokenize_bm25(text: Column) -> Column:
@@ -55,7 +54,7 @@ def _terms(text: Column, pattern: str, stop: list[str], most: int) -> Column:
     raw = F.regexp_extract_all(text, F.lit(pattern), 0)
     kept = F.filter(
         F.transform(raw, lambda r: F.struct(r.alias("raw"), F.regexp_replace(F.lower(r), "'s$", "").alias("term"))),
-        lambda x: ((F.length(x["term"]) >= 4) | (F.substring(x["raw"], 1, 1) == F.upper(F.substring(x["raw"], 1, 1)))) & ~F.array_contains(strings(stop), x["term"]),
+        lambda x: ((F.length(x["term"]) >= 4) | (F.substring(x["raw"], 1, 1) == F.upper(F.substring(x["raw"], 1, 1)))) & ~x["term"].isin(stop),
     )
     return F.slice(F.array_distinct(F.transform(kept, lambda x: x["term"])), 1, most)
 

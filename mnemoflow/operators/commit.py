@@ -20,6 +20,7 @@ def dry_run(decisions: DataFrame, manifests: DataFrame) -> DataFrame:
     idle, writes = F.col("action").isin("no_op", "ask_confirmation"), F.col("action").isin("write", "update")
     no_target, unknown = F.col("target").isNull(), F.col("known").isNull()
     would = ~idle & ~no_target & ~unknown
+    # How each outcome is told.
     description = (
         F.when(idle, F.concat(F.lit("No durable change for action="), "action", F.lit(".")))
         .when(no_target, F.concat(F.lit("Action "), "action", F.lit(" requires target_shard_id.")))

@@ -150,6 +150,7 @@ def recalls(questions: DataFrame, corpus: DataFrame, targets: DataFrame) -> Data
     per = with_text.groupBy("query_id", "shard_id", "place").agg(F.array_sort(F.collect_list(claim)).alias("picks"))
     n = F.size("picks")
     source = F.concat("shard_id", F.lit("@S001"))
+    # Fixed value: how an answer begins.
     answer = F.concat(F.lit("Based on "), n.cast("string"), F.lit(" relevant event(s) in "), source, F.lit(": "), text.truncate(F.col("picks")[0]["content"], DEFAULT.answer_chars))
     return per.select(
         "query_id",
@@ -197,6 +198,7 @@ def packets(questions: DataFrame, recalled: DataFrame) -> DataFrame:
     rows = questions.select("query_id").join(one, "query_id", "left").where("n IS NULL OR n = 1")
     none = F.col("n").isNull()
     sources = F.array_join(F.transform("claims", lambda c: F.array_join(c["support"], ",")), ";")
+    # What an empty packet says.
     return rows.select(
         "query_id",
         F.when(none, "No relevant memory found in any consulted shard.").otherwise(F.col("answer")).alias("summary"),

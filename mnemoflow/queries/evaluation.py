@@ -80,16 +80,16 @@ _PAIR = ["model_context", "corpus_size", "trial", "query_id"]
 @query
 def mcnemar(spark, sf):
     c = _cells(spark, sf)
-    rows = [evaluate.mcnemar(c.where("trial = 0"), "csm", b, _PAIR).withColumn("against", F.lit(b)) for b in ("vanilla", "hybrid", "longctx")]
+    rows = [evaluate.mcnemar(c.where("trial = 0"), "memory", b, _PAIR).withColumn("against", F.lit(b)) for b in ("vanilla", "hybrid", "longctx")]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 SQL["mcnemar"] = f"""WITH {sql.CELLS}, p AS (SELECT b.system AS against, count_if(a.correct AND NOT b.correct)::BIGINT AS a_only, count_if(NOT a.correct AND b.correct)::BIGINT AS b_only, count_if(a.correct AND b.correct)::BIGINT AS both_right, count_if(NOT a.correct AND NOT b.correct)::BIGINT AS neither
-    FROM (SELECT * FROM current WHERE system = 'csm' AND trial = 0) a JOIN (SELECT * FROM current WHERE system <> 'csm' AND trial = 0) b USING (model_context, corpus_size, trial, query_id) GROUP BY b.system),
+    FROM (SELECT * FROM current WHERE system = 'memory' AND trial = 0) a JOIN (SELECT * FROM current WHERE system <> 'memory' AND trial = 0) b USING (model_context, corpus_size, trial, query_id) GROUP BY b.system),
   every AS (SELECT s AS against, coalesce(a_only, 0) AS a_only, coalesce(b_only, 0) AS b_only, coalesce(both_right, 0) AS both_right, coalesce(neither, 0) AS neither FROM (SELECT unnest(['vanilla', 'hybrid', 'longctx']) AS s) LEFT JOIN p ON s = against),
   q AS (SELECT *, a_only + b_only AS n, CASE WHEN a_only + b_only = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 2 * list_sum(list_transform(range(least(a_only, b_only) + 1), lambda i:
     exp(lgamma(a_only + b_only + 1) - lgamma(i + 1) - lgamma(a_only + b_only - i + 1) + (a_only + b_only) * ln(0.5))))) END AS x FROM every)
-  SELECT a_only, b_only, both_right, neither, round(x, 9) AS p, CASE WHEN x < 0.05 AND a_only > b_only THEN 'csm' WHEN x < 0.05 AND a_only < b_only THEN against ELSE 'tie' END AS winner, against FROM q"""
+  SELECT a_only, b_only, both_right, neither, round(x, 9) AS p, CASE WHEN x < 0.05 AND a_only > b_only THEN 'memory' WHEN x < 0.05 AND a_only < b_only THEN against ELSE 'tie' END AS winner, against FROM q"""
 
 
 @query
@@ -198,11 +198,11 @@ SQL["cost_rollup"] = f"""WITH {sql.CELLS} SELECT system, query_id, CAST(sum(inpu
 def accounting_fix(spark, sf):
     """Rows of one system without the marker get the packet's cost added."""
     c = _cells(spark, sf)
-    fixed = F.when((F.col("system") == "csm") & (F.col("line_no") % 4 == 0), F.col("input_tokens") + F.coalesce(F.col("latency_ms"), F.lit(0))).otherwise(F.col("input_tokens"))
+    fixed = F.when((F.col("system") == "memory") & (F.col("line_no") % 4 == 0), F.col("input_tokens") + F.coalesce(F.col("latency_ms"), F.lit(0))).otherwise(F.col("input_tokens"))
     return c.groupBy("system").agg(F.sum("input_tokens").alias("before"), F.sum(fixed).alias("after"), F.sum((fixed != F.col("input_tokens")).cast("long")).alias("changed"))
 
 
-SQL["accounting_fix"] = f"""WITH {sql.CELLS}, f AS (SELECT system, input_tokens AS a, CASE WHEN system = 'csm' AND line_no % 4 = 0 THEN input_tokens + latency_ms ELSE input_tokens END AS b FROM current)
+SQL["accounting_fix"] = f"""WITH {sql.CELLS}, f AS (SELECT system, input_tokens AS a, CASE WHEN system = 'memory' AND line_no % 4 = 0 THEN input_tokens + latency_ms ELSE input_tokens END AS b FROM current)
 SELECT system, CAST(sum(a) AS BIGINT) AS before, CAST(sum(b) AS BIGINT) AS after, CAST(count_if(a <> b) AS BIGINT) AS changed FROM f GROUP BY system"""
 
 
@@ -229,11 +229,11 @@ SQL["rescore_delta"] = """WITH o AS (SELECT o_custkey, list(DISTINCT o_orderkey
 def published_claims(spark, sf):
     """Checks of expected values against the summary: a row per claim."""
     s = evaluate.aggregate(_cells(spark, sf), ["system"])
-    return report.claims(s, [("csm", 0.3), ("hybrid", 0.9)])
+    return report.claims(s, [("memory", 0.3), ("hybrid", 0.9)])
 
 
 SQL["published_claims"] = f"""WITH {sql.CELLS}, s AS (SELECT system, count(*) AS n, round(avg(CAST(correct AS DOUBLE)), 6) AS accuracy FROM current GROUP BY system)
-SELECT c.system, least_accuracy, n, accuracy, accuracy >= least_accuracy AS holds FROM (VALUES ('csm', 0.3::DOUBLE), ('hybrid', 0.9::DOUBLE)) c(system, least_accuracy) LEFT JOIN s USING (system)"""
+SELECT c.system, least_accuracy, n, accuracy, accuracy >= least_accuracy AS holds FROM (VALUES ('memory', 0.3::DOUBLE), ('hybrid', 0.9::DOUBLE)) c(system, least_accuracy) LEFT JOIN s USING (system)"""
 
 
 @query

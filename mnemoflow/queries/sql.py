@@ -15,7 +15,7 @@ TURNS = f"""turns AS (
   SELECT 'conv-' || conv_id || '#turn-' || turn AS event_id, conv_id AS shard_id, turn, role,
     '[Turn ' || turn || '] ' || upper(role[1]) || lower(role[2:]) || ': ' || text || ' on ' || {_DAY} AS content, {_DAY} AS day FROM conversations)"""
 CELLS = """cells AS (
-  SELECT ['csm', 'vanilla', 'hybrid', 'longctx'][CAST(s % 4 + 1 AS INTEGER)] AS system,
+  SELECT ['memory', 'vanilla', 'hybrid', 'longctx'][CAST(s % 4 + 1 AS INTEGER)] AS system,
     CAST([100000, 1000000, 10000000][CAST(l_linenumber % 3 + 1 AS INTEGER)] AS BIGINT) AS corpus_size,
     CAST(CASE WHEN l_orderkey % 2 = 0 THEN 8192 ELSE 32768 END AS BIGINT) AS model_context, CAST(l_orderkey % 3 AS INTEGER) AS trial,
     'q' || (l_orderkey % 97) AS query_id, (p * 7 + l_orderkey) % 10 < 7 - l_linenumber % 3 * 2 AS correct,

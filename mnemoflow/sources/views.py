@@ -57,7 +57,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("l_orderkey", "l_linenumber")
         .agg(F.max("l_suppkey").alias("s"), F.sum("l_quantity").alias("q"), F.max("l_partkey").alias("p"))
         .select(
-            F.element_at(F.array(*map(F.lit, ["csm", "vanilla", "hybrid", "longctx"])), (F.col("s") % 4 + 1).cast("int")).alias("system"),
+            F.element_at(F.array(*map(F.lit, ["memory", "vanilla", "hybrid", "longctx"])), (F.col("s") % 4 + 1).cast("int")).alias("system"),
             F.element_at(F.array(*[F.lit(x) for x in (100_000, 1_000_000, 10_000_000)]), (F.col("l_linenumber") % 3 + 1).cast("int")).cast("long").alias("corpus_size"),
             F.when(k % 2 == 0, 8192).otherwise(32_768).cast("long").alias("model_context"),
             (k % 3).cast("int").alias("trial"),
