@@ -36,14 +36,15 @@ from .batches import chunks
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONG = 64
-MOST_NODES = 500_000
+MOST_NODES = 1_000_000
 
 
 @dataclass
 class Vocabulary:
     scores: dict[str, float]
     byte: float
-    longest: int
+    #: All ends of all pieces: the score of one that is a piece itself, else null. One that isn't here ends no piece.
+    ends: dict[str, float | None]
 
 
 def vocabulary(ranked: list[str]) -> Vocabulary:
@@ -52,7 +53,8 @@ def vocabulary(ranked: list[str]) -> Vocabulary:
     scores: dict[str, float] = {}
     for r, piece in enumerate(ranked):
         scores.setdefault(piece, -math.log(r + 1) - total)
-    return Vocabulary(scores, min(scores.values(), default=0.0) - 1, max(map(len, scores), default=0))
+    ends = {piece[k:]: None for piece in scores for k in range(1, len(piece))} | scores
+    return Vocabulary(scores, min(scores.values(), default=0.0) - 1, ends)
 
 
 def read_vocabulary(path: str) -> Vocabulary:
@@ -64,20 +66,30 @@ def read_vocabulary(path: str) -> Vocabulary:
     return vocabulary([model.id_to_piece(i) for i in sorted(plain, key=lambda i: (-model.get_score(i), i))])
 
 
+_MISSING = object()
+
+
 def _step(v: Vocabulary, word: str, end: int, sums: list[float], many: list[int]) -> tuple[float, int]:
-    """The best sum and number of pieces of the first ``end`` characters, from those of all shorter prefixes."""
-    c = word[end - 1]
-    size = len(c.encode("utf-8", "replace"))
-    best, n = sums[end - 1] + size * v.byte, many[end - 1] + size
-    if c in v.scores:  # a character that is a piece isn't spelt
-        best = -math.inf
-    scores = v.scores
-    for start in range(max(0, end - v.longest), end):
-        s = scores.get(word[start:end])
-        if s is not None:
-            s += sums[start]
-            if s > best or (s == best and many[start] + 1 < n):
-                best, n = s, many[start] + 1
+    """The best sum and number of pieces of the first ``end`` characters, from those of all shorter prefixes.
+
+    Looks backwards for pieces, as far as any piece ends in what was passed.
+    """
+    ends, start, best, n = v.ends, end, -math.inf, 0
+    while start:
+        start -= 1
+        s = ends.get(word[start:end], _MISSING)
+        if s is None:
+            continue
+        if s is _MISSING:
+            break
+        s += sums[start]
+        if s > best or (s == best and many[start] + 1 < n):
+            best, n = s, many[start] + 1
+    if word[end - 1] not in v.scores:  # a character that is a piece isn't spelt
+        size = len(word[end - 1].encode("utf-8", "replace"))
+        s = sums[end - 1] + size * v.byte
+        if s > best or (s == best and many[end - 1] + size < n):
+            best, n = s, many[end - 1] + size
     return best, n
 
 
@@ -109,17 +121,19 @@ class PreTokenTrie:
         """Pieces and sum of a pre-token; its new nodes are computed, the others are found."""
         if len(word) > LONG:
             return count_plain(self.v, word)
-        node, sums, many = 0, [0.0], [0]
-        for end in range(1, len(word) + 1):
-            at = node << 21 | ord(word[end - 1])
-            node = self.children.get(at, -1)
-            if node < 0:
-                s, n = _step(self.v, word, end, sums, many)
-                node = self.children[at] = len(self.sums)
-                self.sums.append(s)
-                self.many.append(n)
-            sums.append(self.sums[node])
-            many.append(self.many[node])
+        v, children, all_sums, all_many = self.v, self.children, self.sums, self.many
+        node, sums, many, end = 0, [0.0], [0], 0
+        for c in word:
+            end += 1
+            at = node << 21 | ord(c)
+            node = children.get(at)
+            if node is None:
+                s, n = _step(v, word, end, sums, many)
+                node = children[at] = len(all_sums)
+                all_sums.append(s)
+                all_many.append(n)
+            sums.append(all_sums[node])
+            many.append(all_many[node])
         return many[-1], sums[-1]
 
     def count(self, text: str) -> tuple[int, int, float]:
