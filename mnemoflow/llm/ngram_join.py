@@ -42,7 +42,7 @@ from .fingerprints import SEGMENT_WORDS, SegmentNumber, packed, packed_sorted, r
 from .scratch import stored
 
 #: Sets of a block that one walk takes.
-CHUNK = 2048
+CHUNK = 512
 #: Bits of the map of ids that the second reading keeps.
 MAP_BITS = 1 << 26
 _SHORT = np.uint64(24)
@@ -276,7 +276,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     edges = stored(edges, f"{name}-edges")
     labels = stored(edges.groupBy("node").agg(F.min("label").alias("label")), f"{name}-labels")
     while True:
-        hubs = edges.select("node", "hub").join(labels, "node").groupBy("hub").agg(F.min("label").alias("label"))
+        # written, so that the join below reads both sides from an exchange and a hub of many nodes can be split
+        hubs = stored(edges.select("node", "hub").join(labels, "node").groupBy("hub").agg(F.min("label").alias("label")), f"{name}-hubs")
         new = edges.select("node", "hub").join(hubs, "hub").groupBy("node").agg(F.min("label").alias("new"))
         new = stored(labels.join(new, "node").select("node", F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("moved")), f"{name}-labels")
         labels = new.select("node", "label")
