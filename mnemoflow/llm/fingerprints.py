@@ -11,6 +11,8 @@ doesn't matter, since a segment sends it once or with all its places packed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of the texts of a segment, at about; a longer text is a segment of its own.
+#: Words of the texts of a segment, at least; a longer text is a segment of its own.
 SEGMENT_WORDS = 1 << 20
-#: Bytes of text whose fingerprints meet in one range, at about.
+#: Bytes of text whose fingerprints meet in one range, at least.
 RANGE_BYTES = 6 << 20
+#: Fingerprints that a segment has in each range, at least, at about.
+ROW = 256
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -49,10 +53,26 @@ def unpacked_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(unpacked(b), dtype=np.uint64)
 
 
-def ranges_for(docs: DataFrame, text: str = "text") -> int:
-    """A power of two of ranges, of about RANGE_BYTES of text each."""
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return 1 << max(7, (total // RANGE_BYTES).bit_length())
+@dataclass(frozen=True)
+class Layout:
+    """How an exchange is cut. Segments and ranges both grow with the root of the text, so that a
+    row holds ROW fingerprints at least: at 100 TB, some 300,000 ranges of 370 MB and segments of
+    70 million words. A collision of fingerprints of ``bits`` only costs time."""
+
+    ranges: int
+    segment_words: int
+    bits: int
+
+    @property
+    def shift(self) -> np.uint64:
+        return np.uint64(64 - self.bits)
+
+
+def layout_for(docs: DataFrame, text: str = "text", growth: int = 1) -> Layout:
+    """For ``growth`` times the text of ``docs``."""
+    total = growth * (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+    ranges = 1 << max(7, (total // max(RANGE_BYTES, isqrt(1365 * total))).bit_length())
+    return Layout(ranges, max(SEGMENT_WORDS, ROW * ranges), min(64, max(40, total.bit_length() + 16)))
 
 
 def split(sorted_keys: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:

@@ -3,7 +3,7 @@
 1. Every text's set of word n-grams is hashed. A text whose set holds too many
    n-grams that no other text has can't meet the threshold: of n, at least
    ``need`` percent would have to be shared. Which n-grams are unique is told by
-   an exchange of 40-bit fingerprints; a collision only keeps a text longer.
+   an exchange of short fingerprints; a collision only keeps a text longer.
 2. Texts with equal sets form a class; its smallest id stands for it. The sets
    of the classes left are counted exactly, by an exchange of 64-bit hashes.
    By ascending count each set has a prefix of which linked sets share one
@@ -38,14 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import LOWER, chunks, mixed, window_hashes, words_of
-from .fingerprints import SEGMENT_WORDS, SegmentNumber, packed, packed_sorted, ranges_for, split, unpacked, unpacked_sorted
+from .fingerprints import Layout, SegmentNumber, layout_for, packed, packed_sorted, split, unpacked, unpacked_sorted
 from .scratch import stored
 
 #: Sets of a block that one walk takes.
 CHUNK = 512
 #: Bits of the map of ids that the second reading keeps.
 MAP_BITS = 1 << 26
-_SHORT = np.uint64(24)
 _EXCHANGE = "`range` int, seg bigint, keys binary, refs binary, meta binary"
 
 
@@ -73,13 +72,13 @@ def digest(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def _segments(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _segments(batches: Iterator[pa.RecordBatch], size: int, most: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     ids: list = []
     sets: list[np.ndarray] = []
     held = 0
     for batch in chunks(batches):
         for key, own in zip(batch.column("doc_id").to_pylist(), sets_of(batch.column("text"), size), strict=True):
-            if ids and held + len(own) > SEGMENT_WORDS:
+            if ids and held + len(own) > most:
                 yield ids, sets
                 ids, sets, held = [], [], 0
             ids.append(key)
@@ -124,13 +123,12 @@ def _gathered(table: pa.Table) -> tuple[list[int], list[bytes | None], np.ndarra
     return table["seg"].to_pylist(), table["meta"].to_pylist(), np.concatenate(keys), of, np.concatenate(refs).astype(np.int64)
 
 
-def _survey(docs: DataFrame, size: int) -> DataFrame:
+def _survey(docs: DataFrame, size: int, layout: Layout) -> DataFrame:
     """Per document: doc_id, n, digest and ``alone``, how many of its n-grams no other set has, at least."""
-    ranges = ranges_for(docs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = SegmentNumber()
-        for ids, sets in _segments(batches, size):
+        for ids, sets in _segments(batches, size, layout.segment_words):
             meta, digests = _meta(ids, sets)
             first: dict[bytes, int] = {}
             lead = np.array([first.setdefault(d, i) for i, d in enumerate(digests)])
@@ -144,7 +142,7 @@ def _survey(docs: DataFrame, size: int) -> DataFrame:
             last_of = np.ones(len(keys), bool)
             last_of[:-1] = first_of[1:]
             refs[~(first_of & last_of)] = 0  # more than one set of this segment has it
-            yield _exchanged(keys[first_of], refs[first_of], number(), meta, ranges, _SHORT)
+            yield _exchanged(keys[first_of], refs[first_of], number(), meta, layout.ranges, layout.shift)
 
     def count(table: pa.Table) -> pa.Table:
         segs, metas, keys, of, refs = _gathered(table)
@@ -206,7 +204,7 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _prefixes(sets: DataFrame, percent: int, ranges: int) -> DataFrame:
+def _prefixes(sets: DataFrame, percent: int, layout: Layout) -> DataFrame:
     """(digest, rep, token) of each prefix n-gram that at least two of the sets have."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +221,7 @@ def _prefixes(sets: DataFrame, percent: int, ranges: int) -> DataFrame:
             keys = np.concatenate(members)
             refs = np.repeat(np.arange(len(members)), [len(m) for m in members])
             order = np.argsort(keys, kind="stable")
-            return _exchanged(keys[order], refs[order], number(), sink.getvalue().to_pybytes(), ranges, np.uint64(0))
+            return _exchanged(keys[order], refs[order], number(), sink.getvalue().to_pybytes(), layout.ranges, np.uint64(0))
 
         for batch in batches:
             for rep, d, m in zip(batch.column("rep").to_pylist(), batch.column("digest").to_pylist(), batch.column("members").to_pylist(), strict=True):
@@ -231,7 +229,7 @@ def _prefixes(sets: DataFrame, percent: int, ranges: int) -> DataFrame:
                 digests.append(d)
                 members.append(unpacked_sorted(m))
                 held += len(members[-1])
-                if held > SEGMENT_WORDS:
+                if held > layout.segment_words:
                     yield segment()
                     ids, digests, members, held = [], [], [], 0
         if ids:
@@ -397,12 +395,13 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, doc_id
     Two sets link when 100 * intersection >= percent * union.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    surveyed = stored(_survey(base, size), "survey")
+    layout = layout_for(base)
+    surveyed = stored(_survey(base, size, layout), "survey")
     full = surveyed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("alone").alias("alone"))
     classes = stored(full, "classes")
     left = classes.where((F.col("rep").isNotNull()) & (100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")))
     sets = stored(_sets_left(base, left, size), "sets")
-    prefixes = _prefixes(sets, percent, 128)
+    prefixes = _prefixes(sets, percent, layout)
     blocks = components(prefixes.select(F.col("digest").alias("node"), F.col("token").alias("hub"), F.col("rep").alias("label")), "blocks")
     sizes = blocks.groupBy("label").agg(F.count("*").alias("many")).where("many > 1")
     parts = F.ceil(F.col("many") / chunk).cast("int")

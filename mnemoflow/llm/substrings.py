@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import Words, chunks, window_hashes, words_of
-from .fingerprints import SEGMENT_WORDS, SegmentNumber, packed, packed_sorted, ranges_for, split, unpacked, unpacked_sorted
+from .fingerprints import Layout, SegmentNumber, layout_for, packed, packed_sorted, split, unpacked, unpacked_sorted
 from .scratch import new_path, stored
 
 SIZE = 13
@@ -47,8 +47,6 @@ GRAM = 7
 MAP_BITS = 1 << 26
 #: Runs that an index holds before the smaller ones are merged.
 RUNS = 4
-#: Bits of an anchor's fingerprint; a collision only makes more to verify.
-BITS = 44
 _LAST = np.iinfo(np.int64).max
 _CHUNK = 1 << 20
 _SENT = "`range` int, seg bigint, keys binary, refs binary, docs binary"
@@ -58,9 +56,9 @@ _WINDOWS = "`range` int, seg bigint, keys binary, checks binary, ids binary, ref
 
 @dataclass
 class Index:
-    """Runs, the oldest first: (path, fingerprints). All have the same ranges."""
+    """Runs, the oldest first: (path, fingerprints). All have the same layout."""
 
-    ranges: int
+    layout: Layout
     size: int = SIZE
     runs: list[tuple[str, int]] = field(default_factory=list)
 
@@ -73,7 +71,7 @@ class Index:
 
 def new_index(docs: DataFrame, text: str = "text", size: int = SIZE, growth: int = 1) -> Index:
     """An index for ``growth`` times the text of ``docs``."""
-    return Index(ranges_for(docs, text) * (1 << (growth - 1).bit_length()), size)
+    return Index(layout_for(docs, text, growth), size)
 
 
 def _base(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -122,7 +120,7 @@ def _documents(b: bytes) -> list[np.ndarray]:
 
 def _send(base: DataFrame, index: Index) -> DataFrame:
     """Anchors of the batch's segments, by range; a segment's table of documents goes with range 0."""
-    shift = np.uint64(64 - BITS)
+    layout = index.layout
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = SegmentNumber()
@@ -135,14 +133,14 @@ def _send(base: DataFrame, index: Index) -> DataFrame:
             k, r = np.concatenate(keys), np.concatenate(refs)
             order = np.argsort(k)
             k, r, seg = k[order], r[order], number()
-            rows = [(at, seg, packed_sorted(k[part] >> shift), packed(r[part]), _document_table(docs) if at == 0 else None) for at, part in split(k, index.ranges)]
+            rows = [(at, seg, packed_sorted(k[part] >> layout.shift), packed(r[part]), _document_table(docs) if at == 0 else None) for at, part in split(k, layout.ranges)]
             if not rows or rows[0][0]:
                 rows.append((0, seg, packed(np.zeros(0)), packed(np.zeros(0)), _document_table(docs)))
             return _rows(_SENT_COLUMNS, rows)
 
         for batch in chunks(batches, most=_CHUNK):
             words = words_of(batch.column("text"))
-            if docs and held + len(words.hash) > SEGMENT_WORDS:
+            if docs and held + len(words.hash) > layout.segment_words:
                 yield segment()
                 keys, refs, docs, held = [], [], [], 0
             grams, _, own = anchors(words, index.size)
@@ -249,8 +247,8 @@ def _text_batches(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iter
 class _WindowSender:
     """Windows by range, with all that the verification needs, a segment at a time."""
 
-    def __init__(self, ranges: int, number: SegmentNumber) -> None:
-        self.ranges, self.number = ranges, number
+    def __init__(self, layout: Layout, number: SegmentNumber) -> None:
+        self.layout, self.number = layout, number
         self.clear()
 
     def clear(self) -> None:
@@ -271,7 +269,7 @@ class _WindowSender:
         order = np.argsort(keys)
         keys, rest, seg = keys[order], [x[order] for x in rest], self.number()
         table = _document_table(self.docs)
-        out = [(r, seg, packed_sorted(keys[at]), *(packed(x[at]) for x in rest), table if r == 0 else None) for r, at in split(keys, self.ranges)]
+        out = [(r, seg, packed_sorted(keys[at]), *(packed(x[at]) for x in rest), table if r == 0 else None) for r, at in split(keys, self.layout.ranges)]
         if not out or out[0][0]:
             out.append((0, seg, *[packed(np.zeros(0))] * 4, table))
         self.clear()
@@ -299,10 +297,10 @@ def _verify(table: pa.Table) -> pa.Table:
 
 
 def _candidate_windows(affected: DataFrame, index: Index) -> DataFrame:
-    size, ranges = index.size, index.ranges
+    size, layout = index.size, index.layout
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = _WindowSender(ranges, SegmentNumber())
+        sender = _WindowSender(layout, SegmentNumber())
         for batch in _text_batches(batches, ["k", "h", "places"]):
             words = words_of(batch.column("text"))
             _, windows, own = anchors(words, size)
@@ -312,7 +310,7 @@ def _candidate_windows(affected: DataFrame, index: Index) -> DataFrame:
                 if x is not None:
                     marked[starts[i] + unpacked_sorted(x).astype(np.int64)] = True
             sender.add(words, windows[marked[own]], batch.column("k").to_numpy(), batch.column("h").to_numpy(), size)
-            if sender.many > SEGMENT_WORDS:
+            if sender.many > layout.segment_words:
                 yield sender.rows()
         if sender.docs:
             yield sender.rows()
@@ -322,18 +320,18 @@ def _candidate_windows(affected: DataFrame, index: Index) -> DataFrame:
 
 def _historical_windows(history: DataFrame, index: Index, bits: np.ndarray, text: str) -> DataFrame:
     """Windows of historical documents about the anchors in the map; their id is smaller than any, and none returns."""
-    size, ranges, shift = index.size, index.ranges, np.uint64(64 - BITS)
+    size, layout = index.size, index.layout
     sent = history.sparkSession.sparkContext.broadcast(bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = _WindowSender(ranges, lambda: -1)
+        sender = _WindowSender(layout, lambda: -1)
         for batch in chunks(batches, most=_CHUNK):
             words = words_of(batch.column("text"))
             grams, windows, own = anchors(words, size)
-            at = windows[_in_map(sent.value, _key_bit(grams[own] >> shift))]
+            at = windows[_in_map(sent.value, _key_bit(grams[own] >> layout.shift))]
             least = np.full(len(words.count), np.iinfo(np.int64).min)
             sender.add(words, at, least, least, size)
-            if sender.many > SEGMENT_WORDS:
+            if sender.many > layout.segment_words:
                 yield sender.rows()
         if sender.docs:
             yield sender.rows()
@@ -357,7 +355,7 @@ def ingest(docs: DataFrame, index: Index, history: DataFrame | None = None, doc_
     rest = T.StructType.fromDDL(_MERGED.removeprefix("kind int, "))
     places = _by_document(_read(spark, f"{path}/kind=0", rest), "places")
     run = _read(spark, f"{path}/kind=1", rest)
-    grown = Index(index.ranges, size, [*index.runs, (f"{path}/kind=1", run.agg(F.sum("seg")).first()[0])] if run.head(1) else index.runs)
+    grown = Index(index.layout, size, [*index.runs, (f"{path}/kind=1", run.agg(F.sum("seg")).first()[0])] if run.head(1) else index.runs)
 
     bits = spark.sparkContext.broadcast(_map_of_ids(places))
 
@@ -436,7 +434,7 @@ def compact(spark: SparkSession, index: Index, most: int = RUNS) -> Index:
     rows = spark.read.schema("`range` int, keys binary").parquet(*[p for p, _ in small])
     path = new_path(spark, "run")
     rows.groupBy("range").applyInArrow(_merge_runs, "`range` int, seg bigint, keys binary").write.option("compression", "zstd").parquet(path)
-    return Index(index.ranges, index.size, [*large, (path, spark.read.parquet(path).agg(F.sum("seg")).first()[0] or 0)])
+    return Index(index.layout, index.size, [*large, (path, spark.read.parquet(path).agg(F.sum("seg")).first()[0] or 0)])
 
 
 def deduplicate(docs: DataFrame, size: int = SIZE) -> DataFrame:
