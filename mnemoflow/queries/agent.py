@@ -159,6 +159,12 @@ def evidence_capsule(spark, sf):
     return agent.capsule(_scored(spark, sf), ["shard_id"], text.strings(TERMS), 10, "Temporal evidence capsule.").select("shard_id", "n_lines", F.md5("capsule").alias("capsule"))
 
 
+SQL["evidence_capsule"] = rf"""WITH {_SCORED}, top AS (SELECT * FROM scored WHERE score > 0 OR len(dates) > 0 QUALIFY row_number() OVER (PARTITION BY shard_id ORDER BY score DESC, turn, event_id) <= 10),
+  lines AS (SELECT shard_id, turn, event_id, '- [' || event_id || '] ' || coalesce(nullif(regexp_extract(content, '(?:^|\n)\s*((?:\[[^\]\n]*?\s*\|\s*)?\[?[Tt]urn\s+\d+\]?)', 1), ''), event_id) || ' ' || speaker || ':'
+    || CASE WHEN len(dates) > 0 THEN ' dates=' || array_to_string(({sql.distinct_in_order('dates')})[1:3], ', ') || ';' ELSE '' END || ' ' || {sql.excerpt('content', sql.words(TERMS), 360)} AS line FROM top)
+  SELECT shard_id, count(*) AS n_lines, md5('Temporal evidence capsule.' || chr(10) || string_agg(line, chr(10) ORDER BY turn, event_id)) AS capsule FROM lines GROUP BY shard_id"""
+
+
 @query
 def agent_retrieval(spark, sf):
     """For every conversation, its best turns, their neighbours, then its coverage: each turn once, at its first place."""

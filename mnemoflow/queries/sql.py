@@ -110,3 +110,12 @@ def expand(x: str) -> str:
         extra = words(more)
         out = f"(SELECT CASE WHEN list_contains(y, '{trigger}') THEN list_concat(y, list_filter({extra}, lambda v: NOT list_contains(y, v))) ELSE y END FROM (SELECT {out} AS y))"
     return f"({out})[1:48]"
+
+
+def excerpt(content: str, own: str, most: int) -> str:
+    """A correlated subquery: the window about the strongest of the terms and dates."""
+    clean = f"trim(regexp_replace({content}, '\\s+', ' ', 'g'))"
+    needles = f"list_distinct(list_concat(list_filter({own}, lambda t: length(t) > 0), list_transform({dates(clean)}, lambda d: lower(d))))"
+    hits = f"list_filter(list_transform({needles}, lambda t: {{'w': {weight('t')}, 'p': -instr(lower({clean}), lower(t))}}), lambda x: x.p < 0)"
+    return f"""(SELECT CASE WHEN length(c) <= {most} THEN c ELSE CASE WHEN s > 0 THEN '...' ELSE '' END || trim(substr(c, s + 1, least(length(c), s + {most}) - s)) || CASE WHEN s + {most} < length(c) THEN '...' ELSE '' END END
+    FROM (SELECT c, CAST(greatest(0, coalesce(-(list_sort(hits))[-1].p - 1, 0) - {most // 3}) AS BIGINT) AS s FROM (SELECT {clean} AS c, {hits} AS hits)))"""

@@ -222,6 +222,10 @@ def excerpt(spark, sf):
     return docs.select("doc_id", F.md5(text.excerpt(F.col("text"), own, 360)).alias("excerpt"))
 
 
+SQL["excerpt"] = f"""WITH own AS (SELECT doc_id, text, list_reverse({sql.bridge_terms('right(text, 200)')}) AS terms FROM documents WHERE length(text) > 0)
+SELECT doc_id, md5({sql.excerpt('text', 'terms', 360)}) AS excerpt FROM own"""
+
+
 @query
 def slugify(spark, sf):
     return views.table(spark, sf, "pages").select("page_id", text.slugify(F.col("url")).alias("slug"))
@@ -260,6 +264,10 @@ def sentence_split(spark, sf):
     return views.table(spark, sf, "documents").select("doc_id", F.posexplode(s).alias("place", "sentence")).groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("sentence")).cast("long").alias("longest"))
 
 
+SQL["sentence_split"] = r"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ \t\n\r\f\v]+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS x FROM documents),
+  t AS (SELECT doc_id, regexp_replace(x, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') AS x FROM s) SELECT doc_id, count(*) AS n, max(length(x)) AS longest FROM t WHERE length(x) > 0 GROUP BY doc_id"""
+
+
 @query
 def transcript_split(spark, sf):
     """Conversations as one transcript each, split into turns again."""
@@ -268,6 +276,14 @@ def transcript_split(spark, sf):
     return whole.select("shard_id", F.size(text.split_turns(F.col("content"))).alias("n_turns"))
 
 
+SQL["transcript_split"] = rf"""WITH {sql.TURNS}, w AS (SELECT shard_id, string_agg(content, chr(10) ORDER BY turn, content) AS c FROM turns GROUP BY shard_id),
+  m AS (SELECT shard_id, len(regexp_extract_all(c, '(?:^|\n)\s*(?:\[[^\]\n]*?\s*\|\s*)?\[?Turn\s+\d+\]?\s+(?:User|Assistant):')) AS n FROM w) SELECT shard_id, CAST(CASE WHEN n > 1 THEN n ELSE 0 END AS INTEGER) AS n_turns FROM m"""
+
+
 @query
 def hash_fnv(spark, sf):
     return views.table(spark, sf, "nation").select("n_nationkey", folds.fnv1a_column(F.col("n_name")).alias("hash"))
+
+
+SQL["hash_fnv"] = """SELECT n_nationkey, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(n_name, ''), lambda c: CAST(ord(c) AS BIGINT))),
+  lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS hash FROM nation"""
