@@ -171,3 +171,14 @@ def agent_retrieval(spark, sf):
     from ..plans.agent import retrieve
 
     return retrieve(_scored(spark, sf), 2, DEFAULT.reasoning_return)
+
+
+SQL["agent_retrieval"] = f"""WITH {_SCORED}, best AS (SELECT shard_id, event_id, row_number() OVER (PARTITION BY shard_id ORDER BY score DESC, turn, event_id) AS place FROM scored WHERE score > 0 QUALIFY place <= 2),
+  pos AS (SELECT event_id, shard_id, score, turn, row_number() OVER (PARTITION BY shard_id ORDER BY turn, event_id) AS p, count(*) OVER (PARTITION BY shard_id) AS many FROM scored),
+  near AS (SELECT a.shard_id, b.event_id, 1000 AS place FROM best JOIN pos a USING (event_id) JOIN pos b ON a.shard_id = b.shard_id AND abs(a.p - b.p) = 1),
+  bucketed AS (SELECT *, floor((p - 1) / greatest(1, ceil(many / 12.0))) AS bucket FROM pos),
+  wide AS (SELECT shard_id, event_id, bucket FROM bucketed WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY shard_id, bucket ORDER BY score DESC, turn, event_id) <= 2),
+  per AS (SELECT shard_id, bucket, count(*) AS n FROM wide GROUP BY ALL), open AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY shard_id ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM per),
+  every AS (SELECT shard_id, event_id, place FROM best UNION ALL SELECT * FROM near UNION ALL SELECT shard_id, event_id, 2000 + bucket FROM wide SEMI JOIN (SELECT * FROM open WHERE before < 32) o USING (shard_id, bucket)),
+  firsts AS (SELECT shard_id, event_id, min(place) AS priority FROM every GROUP BY ALL)
+  SELECT shard_id, event_id, CAST(row_number() OVER (PARTITION BY shard_id ORDER BY priority, event_id) AS INTEGER) AS place FROM firsts QUALIFY place <= 32"""
