@@ -83,6 +83,11 @@ def split(sorted_keys: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:
         yield int(r), slice(int(edges[r]), int(edges[r + 1]))
 
 
+def home(seg: int, ranges: int) -> int:
+    """The range with which a segment's table of documents goes; those of all segments are spread evenly."""
+    return ((seg >> 32) * 0x9E3779B1 + (seg & 0xFFFFFFFF)) % ranges
+
+
 class SegmentNumber:
     """Numbers that no other task gives and a task that runs again gives again."""
 

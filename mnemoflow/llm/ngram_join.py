@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import LOWER, chunks, mixed, window_hashes, words_of
-from .fingerprints import Layout, SegmentNumber, layout_for, packed, packed_sorted, split, unpacked, unpacked_sorted
+from .fingerprints import Layout, SegmentNumber, home, layout_for, packed, packed_sorted, split, unpacked, unpacked_sorted
 from .scratch import stored
 
 #: Sets of a block that one walk takes.
@@ -105,12 +105,13 @@ def _read_meta(b: bytes) -> pa.Table:
 
 
 def _exchanged(keys: np.ndarray, refs: np.ndarray, seg: int, meta: bytes, ranges: int, shift: np.uint64) -> pa.RecordBatch:
-    """A segment's rows; ``keys`` sorted. The meta goes with range 0."""
+    """A segment's rows; ``keys`` sorted. The meta goes with the segment's home."""
+    at_home = home(seg, ranges)
     rows: list[tuple] = []
     for r, at in split(keys, ranges):
-        rows.append((r, seg, packed_sorted(keys[at] >> shift), packed(refs[at]), meta if r == 0 else None))
-    if not rows or rows[0][0] != 0:
-        rows.append((0, seg, packed(np.zeros(0, np.uint64)), packed(np.zeros(0, np.uint64)), meta))
+        rows.append((r, seg, packed_sorted(keys[at] >> shift), packed(refs[at]), meta if r == at_home else None))
+    if all(r[0] != at_home for r in rows):
+        rows.append((at_home, seg, packed(np.zeros(0, np.uint64)), packed(np.zeros(0, np.uint64)), meta))
     kinds = [("range", pa.int32()), ("seg", pa.int64()), ("keys", pa.binary()), ("refs", pa.binary()), ("meta", pa.binary())]
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import Words, chunks, window_hashes, words_of
-from .fingerprints import Layout, SegmentNumber, layout_for, packed, packed_sorted, split, unpacked, unpacked_sorted
+from .fingerprints import Layout, SegmentNumber, home, layout_for, packed, packed_sorted, split, unpacked, unpacked_sorted
 from .scratch import new_path, stored
 
 SIZE = 13
@@ -119,7 +119,7 @@ def _documents(b: bytes) -> list[np.ndarray]:
 
 
 def _send(base: DataFrame, index: Index) -> DataFrame:
-    """Anchors of the batch's segments, by range; a segment's table of documents goes with range 0."""
+    """Anchors of the batch's segments, by range; a segment's table of documents goes with its home."""
     layout = index.layout
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +133,10 @@ def _send(base: DataFrame, index: Index) -> DataFrame:
             k, r = np.concatenate(keys), np.concatenate(refs)
             order = np.argsort(k)
             k, r, seg = k[order], r[order], number()
-            rows = [(at, seg, packed_sorted(k[part] >> layout.shift), packed(r[part]), _document_table(docs) if at == 0 else None) for at, part in split(k, layout.ranges)]
-            if not rows or rows[0][0]:
-                rows.append((0, seg, packed(np.zeros(0)), packed(np.zeros(0)), _document_table(docs)))
+            at_home = home(seg, layout.ranges)
+            rows = [(at, seg, packed_sorted(k[part] >> layout.shift), packed(r[part]), _document_table(docs) if at == at_home else None) for at, part in split(k, layout.ranges)]
+            if all(x[0] != at_home for x in rows):
+                rows.append((at_home, seg, packed(np.zeros(0)), packed(np.zeros(0)), _document_table(docs)))
             return _rows(_SENT_COLUMNS, rows)
 
         for batch in chunks(batches, most=_CHUNK):
@@ -268,10 +269,10 @@ class _WindowSender:
         keys, *rest = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         order = np.argsort(keys)
         keys, rest, seg = keys[order], [x[order] for x in rest], self.number()
-        table = _document_table(self.docs)
-        out = [(r, seg, packed_sorted(keys[at]), *(packed(x[at]) for x in rest), table if r == 0 else None) for r, at in split(keys, self.layout.ranges)]
-        if not out or out[0][0]:
-            out.append((0, seg, *[packed(np.zeros(0))] * 4, table))
+        table, at_home = _document_table(self.docs), home(seg, self.layout.ranges)
+        out = [(r, seg, packed_sorted(keys[at]), *(packed(x[at]) for x in rest), table if r == at_home else None) for r, at in split(keys, self.layout.ranges)]
+        if all(x[0] != at_home for x in out):
+            out.append((at_home, seg, *[packed(np.zeros(0))] * 4, table))
         self.clear()
         return _rows(_WINDOW_COLUMNS, out)
 
