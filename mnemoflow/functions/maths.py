@@ -50,15 +50,22 @@ def mul32(a: Column, b: Column) -> Column:
     return (low * b + F.shiftleft((high * b.bitwiseAND(F.lit(0xFFFF))).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(_MASK))
 
 
-def mulberry32(seed: Column, k: Column) -> Column:
-    """Draw k (from 1) of the stream of a seed, in [0, 1). Each draw depends on (seed, k) alone."""
+def mulberry32_draws(seed: Column, ks: Column) -> Column:
+    """Draws of the stream of a seed, in [0, 1), for an array of their numbers (from 1). Each depends on (seed, number) alone.
+
+    One step per array, so that a step's result is named once and not written out again.
+    """
     # The generator's constants.
-    step, one, sixty_one = 0x6D2B79F5, F.lit(1).cast("long"), F.lit(61).cast("long")
-    a = (seed.cast("long") + mul32(k.cast("long").bitwiseAND(F.lit(_MASK)), F.lit(step).cast("long"))).bitwiseAND(F.lit(_MASK))
-    t = mul32(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(one))
-    u = (t + mul32(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(sixty_one))).bitwiseAND(F.lit(_MASK))
-    t = t.bitwiseXOR(u)
-    return t.bitwiseXOR(F.shiftright(t, 14)) / 4294967296.0
+    step, one, sixty_one = F.lit(0x6D2B79F5).cast("long"), F.lit(1).cast("long"), F.lit(61).cast("long")
+    states = F.transform(ks, lambda k: (seed.cast("long") + mul32(k.cast("long").bitwiseAND(F.lit(_MASK)), step)).bitwiseAND(F.lit(_MASK)))
+    mixed = F.transform(states, lambda a: mul32(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(one)))
+    mixed = F.transform(mixed, lambda t: t.bitwiseXOR((t + mul32(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(sixty_one))).bitwiseAND(F.lit(_MASK))))
+    return F.transform(mixed, lambda t: t.bitwiseXOR(F.shiftright(t, 14)) / 4294967296.0)
+
+
+def mulberry32(seed: Column, k: Column) -> Column:
+    """Draw k of the stream of a seed."""
+    return mulberry32_draws(seed, F.array(k))[0]
 
 
 def citation_scores(cited: Column, relevant: Column) -> Column:

@@ -62,9 +62,10 @@ def bootstrap(cells: DataFrame, keys: list[str], rounds: int, seed: int = DEFAUL
     outcome = F.struct("query_id", "trial", F.col("correct").cast("int").alias("y"))
     per = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(outcome)).alias("all")).select(*keys, F.col("all.y").alias("ys"))
     n = F.size("ys")
-    draw = lambda i: F.get("ys", F.floor(maths.mulberry32(F.lit(seed), F.col("round") * n + i) * n).cast("int"))
     rows = per.select("*", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    means = rows.select(*keys, n.cast("long").alias("n"), (F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda s, i: s + draw(i)) / n).alias("mean"))
+    draws = maths.mulberry32_draws(F.lit(seed), F.sequence(F.col("round") * n + 1, F.col("round") * n + n))
+    hits = F.aggregate(F.transform(draws, lambda x: F.get("ys", F.floor(x * n).cast("int"))), F.lit(0), lambda s, y: s + y)
+    means = rows.select(*keys, n.cast("long").alias("n"), (hits / n).alias("mean"))
     w = Window.partitionBy(*keys).orderBy("mean")
     placed = means.withColumn("at", F.row_number().over(w) - 1)
     low, high = int(0.025 * rounds), min(int(0.975 * rounds), rounds - 1)

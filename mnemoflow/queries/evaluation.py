@@ -59,20 +59,18 @@ SQL["early_stop"] = f"WITH {_SUMMARY} SELECT {_G}, count(*) AS n FROM current JO
 
 @query
 def bootstrap_ci(spark, sf):
-    """Intervals of each system's accuracy on the questions of the first trial at one context and size."""
-    c = _cells(spark, sf).where("trial = 0 AND model_context = 8192 AND corpus_size = 1000000")
-    return evaluate.bootstrap(c, ["system"], DEFAULT.bootstrap_loop)
+    """Intervals of each cell's accuracy over its questions and trials."""
+    return evaluate.bootstrap(_cells(spark, sf), evaluate.GROUP, DEFAULT.bootstrap_loop)
 
 
-_A = "(42 + k * 1831565813) & 4294967295"
-SQL["bootstrap_ci"] = f"""WITH {sql.CELLS}, per AS (SELECT system, list(CAST(correct AS INTEGER) ORDER BY query_id, trial) AS ys FROM current WHERE trial = 0 AND model_context = 8192 AND corpus_size = 1000000 GROUP BY system),
-  d AS (SELECT system, ys, len(ys) AS n, r, i, (42 + ((r * len(ys) + i) * 1831565813) % 4294967296) % 4294967296 AS a FROM per, (SELECT unnest(range(200)) AS r), LATERAL (SELECT unnest(range(1, len(ys) + 1)) AS i)),
+SQL["bootstrap_ci"] = f"""WITH {sql.CELLS}, per AS (SELECT {_G}, list(CAST(correct AS INTEGER) ORDER BY query_id, trial) AS ys FROM current GROUP BY {_G}),
+  d AS (SELECT {_G}, ys, len(ys) AS n, r, i, (42 + ((r * len(ys) + i) * 1831565813) % 4294967296) % 4294967296 AS a FROM per, (SELECT unnest(range(200)) AS r), LATERAL (SELECT unnest(range(1, len(ys) + 1)) AS i)),
   t1 AS (SELECT *, CAST((CAST(xor(a, a >> 15) AS HUGEINT) * (a | 1)) % 4294967296 AS BIGINT) AS t FROM d),
   t2 AS (SELECT *, CAST((t + CAST((CAST(xor(t, t >> 7) AS HUGEINT) * (t | 61)) % 4294967296 AS BIGINT)) % 4294967296 AS BIGINT) AS u FROM t1),
   t3 AS (SELECT *, xor(t, u) AS v FROM t2),
-  means AS (SELECT system, n, r, sum(ys[CAST(floor(xor(v, v >> 14) / 4294967296.0::DOUBLE * n) AS INTEGER) + 1]) / n::DOUBLE AS m FROM t3 GROUP BY system, n, r),
-  placed AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY m) - 1 AS k FROM means)
-  SELECT system, n, round(max(CASE WHEN k = 5 THEN m END), 6) AS ci_low, round(max(CASE WHEN k = 195 THEN m END), 6) AS ci_high FROM placed GROUP BY system, n"""
+  means AS (SELECT {_G}, n, r, sum(ys[CAST(floor(xor(v, v >> 14) / 4294967296.0::DOUBLE * n) AS INTEGER) + 1]) / n::DOUBLE AS m FROM t3 GROUP BY {_G}, n, r),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY {_G} ORDER BY m) - 1 AS k FROM means)
+  SELECT {_G}, n, round(max(CASE WHEN k = 5 THEN m END), 6) AS ci_low, round(max(CASE WHEN k = 195 THEN m END), 6) AS ci_high FROM placed GROUP BY {_G}, n"""
 
 _PAIR = ["model_context", "corpus_size", "trial", "query_id"]
 
@@ -80,12 +78,12 @@ _PAIR = ["model_context", "corpus_size", "trial", "query_id"]
 @query
 def mcnemar(spark, sf):
     c = _cells(spark, sf)
-    rows = [evaluate.mcnemar(c.where("trial = 0"), "memory", b, _PAIR).withColumn("against", F.lit(b)) for b in ("vanilla", "hybrid", "longctx")]
+    rows = [evaluate.mcnemar(c, "memory", b, _PAIR).withColumn("against", F.lit(b)) for b in ("vanilla", "hybrid", "longctx")]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 SQL["mcnemar"] = f"""WITH {sql.CELLS}, p AS (SELECT b.system AS against, count_if(a.correct AND NOT b.correct)::BIGINT AS a_only, count_if(NOT a.correct AND b.correct)::BIGINT AS b_only, count_if(a.correct AND b.correct)::BIGINT AS both_right, count_if(NOT a.correct AND NOT b.correct)::BIGINT AS neither
-    FROM (SELECT * FROM current WHERE system = 'memory' AND trial = 0) a JOIN (SELECT * FROM current WHERE system <> 'memory' AND trial = 0) b USING (model_context, corpus_size, trial, query_id) GROUP BY b.system),
+    FROM (SELECT * FROM current WHERE system = 'memory') a JOIN (SELECT * FROM current WHERE system <> 'memory') b USING (model_context, corpus_size, trial, query_id) GROUP BY b.system),
   every AS (SELECT s AS against, coalesce(a_only, 0) AS a_only, coalesce(b_only, 0) AS b_only, coalesce(both_right, 0) AS both_right, coalesce(neither, 0) AS neither FROM (SELECT unnest(['vanilla', 'hybrid', 'longctx']) AS s) LEFT JOIN p ON s = against),
   q AS (SELECT *, a_only + b_only AS n, CASE WHEN a_only + b_only = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 2 * list_sum(list_transform(range(least(a_only, b_only) + 1), lambda i:
     exp(lgamma(a_only + b_only + 1) - lgamma(i + 1) - lgamma(a_only + b_only - i + 1) + (a_only + b_only) * ln(0.5))))) END AS x FROM every)

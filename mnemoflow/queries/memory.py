@@ -178,10 +178,10 @@ SQL["recall_digest"] = f"""WITH {_TARGETS}, lines AS (SELECT t.query_id, t.shard
 @query
 def probe_index(spark, sf):
     corpus, questions, _, routed = _pipeline(spark, sf)
-    return router.probe_index(questions, corpus, routed.where("rank <= 2")).select("query_id", "shard_id", "n_kept", "n_events", F.md5("digest").alias("digest"))
+    return router.probe_index(questions, corpus, routed).select("query_id", "shard_id", "n_kept", "n_events", F.md5("digest").alias("digest"))
 
 
-SQL["probe_index"] = f"""WITH {_ROUTED}, rows AS (SELECT r.query_id, r.shard_id, c.event_id, terms, c.tags, content FROM routed r JOIN asked USING (query_id) JOIN corpus c ON c.shard_id = r.shard_id WHERE r.rank <= 2),
+SQL["probe_index"] = f"""WITH {_ROUTED}, rows AS (SELECT r.query_id, r.shard_id, c.event_id, terms, c.tags, content FROM routed r JOIN asked USING (query_id) JOIN corpus c ON c.shard_id = r.shard_id),
   lines AS (SELECT query_id, shard_id, event_id, '- [' || event_id || '] tags=[' || array_to_string(tags, ',') || '] "' || regexp_replace(content, '\\s+', ' ', 'g')[1:80] || CASE WHEN length(content) > 80 THEN '…' ELSE '' END || '"' AS line,
     2 * len(list_filter(tags, lambda g: len(list_filter(terms, lambda t: t = lower(g) OR (length(t) >= 4 AND (starts_with(t, lower(g)) OR starts_with(lower(g), t))))) > 0))
       + len(list_filter(terms, lambda t: contains(lower(content[1:200]), t))) AS score FROM rows),
