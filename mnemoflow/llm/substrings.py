@@ -105,13 +105,19 @@ _SENT_COLUMNS = [("range", pa.int32()), ("seg", pa.int64()), ("keys", _BINARY),
 _WINDOW_COLUMNS = [("range", pa.int32()), ("seg", pa.int64()), ("keys", _BINARY), ("checks", _BINARY), ("ids", _BINARY), ("refs", _BINARY), ("docs", _BINARY)]
 
 
-def _document_table(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> bytes:
-    return b"".join(len(x).to_bytes(8, "little") + x for x in (packed(np.concatenate(x).view(np.uint64)) for x in zip(*docs, strict=True)))
+_NONE = np.zeros(0, np.int64)
+
+
+def _document_table(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], settled: np.ndarray = _NONE, followers: np.ndarray = _NONE, leaders: np.ndarray = _NONE) -> bytes:
+    """What goes with a segment's home: its documents (k, h, number of words); places that need no
+    answer, as the segment itself has what they repeat; places that share the answer of another, and that."""
+    parts = [*(np.concatenate(x) for x in zip(*docs, strict=True)), settled, followers, leaders]
+    return b"".join(len(x).to_bytes(8, "little") + x for x in (packed(np.ascontiguousarray(x).view(np.uint64)) for x in parts))
 
 
 def _documents(b: bytes) -> list[np.ndarray]:
     out, at = [], 0
-    for _ in range(3):
+    for _ in range(6):
         n = int.from_bytes(b[at : at + 8], "little")
         out.append(unpacked(b[at + 8 : at + 8 + n]).view(np.int64))
         at += 8 + n
@@ -133,10 +139,16 @@ def _send(base: DataFrame, index: Index) -> DataFrame:
             k, r = np.concatenate(keys), np.concatenate(refs)
             order = np.argsort(k)
             k, r, seg = k[order], r[order], number()
+            # an anchor that the segment has several times is sent once, without a place
+            first = np.ones(len(k), bool)
+            first[1:] = k[1:] != k[:-1]
+            several = np.diff(np.append(np.flatnonzero(first), len(k))) > 1
+            table = _document_table(docs, np.sort(r[np.repeat(several, np.diff(np.append(np.flatnonzero(first), len(k))))]))
+            k, r = k[first], np.where(several, 0, r[first] + 1)
             at_home = home(seg, layout.ranges)
-            rows = [(at, seg, packed_sorted(k[part] >> layout.shift), packed(r[part]), _document_table(docs) if at == at_home else None) for at, part in split(k, layout.ranges)]
+            rows = [(at, seg, packed_sorted(k[part] >> layout.shift), packed(r[part]), table if at == at_home else None) for at, part in split(k, layout.ranges)]
             if all(x[0] != at_home for x in rows):
-                rows.append((at_home, seg, packed(np.zeros(0)), packed(np.zeros(0)), _document_table(docs)))
+                rows.append((at_home, seg, packed(np.zeros(0)), packed(np.zeros(0)), table))
             return _rows(_SENT_COLUMNS, rows)
 
         for batch in chunks(batches, most=_CHUNK):
@@ -171,7 +183,8 @@ def _merge(new: pa.Table, old: pa.Table) -> pa.Table:
         at_range = new["range"][0].as_py()
         ends = np.cumsum([len(k) for k in keys])
         for i, part in enumerate(np.split(twice, ends[:-1])):
-            refs = np.sort(unpacked(new["refs"][i].as_py())[part])
+            refs = unpacked(new["refs"][i].as_py())[part]
+            refs = np.sort(refs[refs > 0]) - np.uint64(1)
             out.append((0, at_range, new["seg"][i].as_py(), packed_sorted(refs), new["docs"][i].as_py()))
         out.append((1, at_range, int((~seen).sum()), packed_sorted(distinct[~seen]), None))
         if seen.any():
@@ -182,9 +195,10 @@ def _merge(new: pa.Table, old: pa.Table) -> pa.Table:
 
 def _of_documents(table: pa.Table) -> pa.Table:
     """A segment's words, by document: k, h and the sorted places within the document."""
-    k, h, n = _documents(next(x for x in table["docs"].to_pylist() if x is not None))
+    k, h, n, settled, followers, leaders = _documents(next(x for x in table["docs"].to_pylist() if x is not None))
     starts = np.cumsum(n) - n
-    at = np.sort(np.concatenate([unpacked_sorted(x.as_py()) for x in table["keys"]]).astype(np.int64))
+    answered = np.concatenate([unpacked_sorted(x.as_py()) for x in table["keys"]]).astype(np.int64)
+    at = np.sort(np.concatenate([answered, settled, followers[np.isin(leaders, answered)]]))
     doc = np.searchsorted(np.cumsum(n), at, side="right")
     some, first = np.unique(doc, return_index=True)
     parts = np.split(at, first[1:]) if len(some) else []
@@ -266,10 +280,18 @@ class _WindowSender:
         self.many += len(at)
 
     def rows(self) -> pa.RecordBatch:
-        keys, *rest = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.argsort(keys)
-        keys, rest, seg = keys[order], [x[order] for x in rest], self.number()
-        table, at_home = _document_table(self.docs), home(seg, self.layout.ranges)
+        """A window that the segment has several times is sent once, with the least id of its documents.
+        Documents with a larger id repeat it, whatever the answer; further places in that of the least id share its answer."""
+        keys, checks, ids, refs = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((refs, ids.view(np.int64), checks, keys))
+        keys, checks, ids, refs, seg = keys[order], checks[order], ids[order], refs[order].astype(np.int64), self.number()
+        first = np.ones(len(keys), bool)
+        first[1:] = (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])
+        lead = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
+        same = ~first & (ids == ids[lead])
+        table = _document_table(self.docs, np.sort(refs[~first & ~same]), refs[same], refs[lead[same]])
+        keys, rest = keys[first], [checks[first], ids[first], refs[first].view(np.uint64)]
+        at_home = home(seg, self.layout.ranges)
         out = [(r, seg, packed_sorted(keys[at]), *(packed(x[at]) for x in rest), table if r == at_home else None) for r, at in split(keys, self.layout.ranges)]
         if all(x[0] != at_home for x in out):
             out.append((at_home, seg, *[packed(np.zeros(0))] * 4, table))

@@ -265,6 +265,16 @@ def test_substrings(docs, size):
     assert sorted((tuple(r[c] for c in COLUMNS) for r in substrings.deduplicate(docs, size).collect()), key=str) == plain_dedup(ROWS, size)
 
 
+def test_substrings_that_a_segment_has_many_times(spark):
+    r = random.Random(6)
+    same = "again and " * 60
+    texts = [same, same, prose(30, 1) + " " + same + SHARED, SHARED + " x " + SHARED, SHARED, "again " * 40, SHARED + " x " + SHARED]
+    rows = [(i, texts[r.randrange(len(texts))]) for i in r.sample(range(1000), 60)]
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert sorted((tuple(x[c] for c in COLUMNS) for x in substrings.deduplicate(docs).collect()), key=str) == plain_dedup(rows)
+
+
 def test_substrings_of_null_ids(spark):
     rows = [(None, SHARED), (None, SHARED), (7, SHARED + " end"), (9, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
