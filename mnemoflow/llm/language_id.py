@@ -238,7 +238,7 @@ def fit(docs: DataFrame, labelled: Column, text: str = "text", lang: str = "lang
     names = np.array(got.column("lang").to_pylist(), object)
     keys, n = got.column("k").to_numpy().view(np.uint64), got.column("n").to_numpy()
     model = estimate({name: (keys[names == name], n[names == name]) for name in dict.fromkeys(names)})
-    held = predict(sample.where("held AND lang IN ('{}')".format("','".join(x.replace("'", "\\'") for x in model.languages))), model, ["lang"], entropies=True).toArrow() if model.languages else None
+    held = predict(sample.where(F.col("held") & F.col("lang").isin(model.languages)), model, ["lang"], entropies=True).toArrow() if model.languages else None
     if held is None:
         return model
     place = {x: k for k, x in enumerate(model.languages)}
