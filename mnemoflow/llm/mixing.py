@@ -101,7 +101,7 @@ def mix(docs: DataFrame, weight: Callable[[int], float] = lambda k: k % 3 + 1, d
     line = _running(line, "s", "part", ["key", "doc_id", "size"], "size", "start")
     paged = line.select("*", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("page"))
 
-    slots = _schedule(sources, sizes, wanted, block)
+    slots = _schedule(sources, wanted, block)
     met = paged.join(slots, ["s", "page"], "left").withColumn("__low", F.greatest("start", "low")).withColumn("__high", F.least(F.col("start") + F.col("size"), "high", (F.col("page") + 1) * block))
     met = met.withColumn("__low", F.greatest("__low", F.col("page") * block))
     words = F.when(F.col("slot").isNotNull() & (F.col("__high") > F.col("__low")), F.col("__high") - F.col("__low")).otherwise(0)
@@ -112,7 +112,7 @@ def mix(docs: DataFrame, weight: Callable[[int], float] = lambda k: k % 3 + 1, d
     return Mix(documents, pieces)
 
 
-def _schedule(sources: DataFrame, sizes: list[int], wanted: list[int], block: int) -> DataFrame:
+def _schedule(sources: DataFrame, wanted: list[int], block: int) -> DataFrame:
     """Slots with the words of their source's line that they take: slot, s, page, low, high.
 
     As golden-ratio points fill every interval to within the logarithm of their number, a few
