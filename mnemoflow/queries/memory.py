@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import DEFAULT
 from ..functions import maths, text
-from ..operators import commit, folds, rank, router
+from ..operators import commit, folds, router
 from ..sources import views
 from . import sql
 
