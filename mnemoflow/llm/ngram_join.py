@@ -220,9 +220,18 @@ def _prefixes(sets: DataFrame, percent: int, layout: Layout) -> DataFrame:
             with pa.ipc.new_stream(sink, _META) as w:
                 w.write_batch(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(m) for m in members], pa.int64()), pa.array(digests, pa.binary())], schema=_META))
             keys = np.concatenate(members)
-            refs = np.repeat(np.arange(len(members)), [len(m) for m in members])
             order = np.argsort(keys, kind="stable")
-            return _exchanged(keys[order], refs[order], number(), sink.getvalue().to_pybytes(), layout.ranges, np.uint64(0))
+            keys = keys[order]
+            first = np.ones(len(keys), bool)
+            first[1:] = keys[1:] != keys[:-1]
+            starts = np.flatnonzero(first)
+            times = np.diff(np.append(starts, len(keys)))
+            # an n-gram that several sets of the segment have is sent once; its other places share the answer
+            leaders = np.repeat(order[starts], times)[~first]
+            meta = sink.getvalue().to_pybytes()
+            parts = [meta, packed(order[~first]), packed(leaders)]
+            refs = order[starts] | times << 32
+            return _exchanged(keys[first], refs, number(), b"".join(len(x).to_bytes(8, "little") + x for x in parts), layout.ranges, np.uint64(0))
 
         for batch in batches:
             for rep, d, m in zip(batch.column("rep").to_pylist(), batch.column("digest").to_pylist(), batch.column("members").to_pylist(), strict=True):
@@ -238,8 +247,9 @@ def _prefixes(sets: DataFrame, percent: int, layout: Layout) -> DataFrame:
 
     def count(table: pa.Table) -> pa.Table:
         segs, metas, keys, of, refs = _gathered(table)
-        _, back, n = np.unique(keys, return_inverse=True, return_counts=True)
-        df = n[back]
+        _, back = np.unique(keys, return_inverse=True)
+        df = np.bincount(back, refs >> 32).astype(np.int64)[back]
+        refs = refs & 0xFFFFFFFF
         shared = df > 1
         out = {"seg": [], "keys": [], "refs": [], "df": [], "meta": []}
         for i, seg in enumerate(segs):
@@ -249,13 +259,22 @@ def _prefixes(sets: DataFrame, percent: int, layout: Layout) -> DataFrame:
         return pa.table({"seg": pa.array(out["seg"], pa.int64()), **{k: pa.array(out[k], pa.binary()) for k in ("keys", "refs", "df", "meta")}})
 
     def cut(table: pa.Table) -> pa.Table:
-        meta = _read_meta(next(x for x in table["meta"].to_pylist() if x is not None))
+        raw, parts = next(x for x in table["meta"].to_pylist() if x is not None), []
+        while raw:
+            size = int.from_bytes(raw[:8], "little")
+            parts.append(raw[8 : 8 + size])
+            raw = raw[8 + size :]
+        meta, followers, leaders = _read_meta(parts[0]), unpacked(parts[1]).astype(np.int64), unpacked(parts[2]).astype(np.int64)
         keys = np.concatenate([unpacked_sorted(x.as_py()) for x in table["keys"]])
-        refs = np.concatenate([unpacked(x.as_py()) for x in table["refs"]]).astype(np.int64)
+        places = np.concatenate([unpacked(x.as_py()) for x in table["refs"]]).astype(np.int64)
         df = np.concatenate([unpacked(x.as_py()) for x in table["df"]]).astype(np.int64)
+        by_place = np.argsort(places)
+        like = by_place[np.searchsorted(places, leaders, sorter=by_place)] if len(leaders) else leaders
+        keys, df, places = np.concatenate([keys, keys[like]]), np.concatenate([df, df[like]]), np.concatenate([places, followers])
+        n = meta["n"].to_numpy()
+        refs = np.searchsorted(np.cumsum(n), places, side="right")
         order = np.lexsort((keys, df, refs))
         keys, refs = keys[order], refs[order]
-        n = meta["n"].to_numpy()
         shared = np.bincount(refs, minlength=len(n))
         place = np.arange(len(refs)) - np.repeat(np.cumsum(shared) - shared, shared)
         room = np.array([prefix_length(int(x), percent) for x in n]) - (n - shared)  # what n-grams of its own leave
