@@ -60,6 +60,10 @@ _OF_BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _OF_PLACE = _RANDOM.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
+#: Bytes that are hashed at a time.
+_HASHED = 1 << 18
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective hash of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -103,10 +107,17 @@ def words_of(column: pa.Array, fold: np.ndarray = SAME) -> Words:
     text = np.searchsorted(offsets, start, side="right") - 1
     if not len(start):
         return Words(start, end, np.zeros(0, np.uint64), text, np.zeros(n, np.int64))
-    place = np.arange(len(data)) - np.repeat(np.concatenate([[0], start[1:]]), np.diff(np.concatenate([[0], start[1:], [len(data)]])))
-    value = _OF_BYTE[fold[data]] * (_OF_PLACE[place & 63] + (place >> 6).astype(np.uint64) * np.uint64(2))
-    value[~solid] = 0
-    return Words(start, end, mixed(np.add.reduceat(value, start)), text, np.bincount(text, minlength=n))
+    hashes = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):  # a few bytes at a time, which bounds the memory and stays in the cache
+        stop = max(at + 1, int(np.searchsorted(start, start[at] + _HASHED)))
+        low, high, own = start[at], end[stop - 1], start[at:stop] - start[at]
+        place = np.arange(high - low, dtype=np.int32) - np.repeat(own, np.diff(np.append(own, high - low))).astype(np.int32)
+        value = _OF_BYTE[fold[data[low:high]]] * (_OF_PLACE[place & 63] + (place >> 6).astype(np.uint64) * np.uint64(2))
+        value[~solid[low:high]] = 0
+        hashes[at:stop] = np.add.reduceat(value, own)
+        at = stop
+    return Words(start, end, mixed(hashes), text, np.bincount(text, minlength=n))
 
 
 def window_hashes(words: Words, size: int, everywhere: bool = False, factor: int = 0x9E3779B97F4A7C15):

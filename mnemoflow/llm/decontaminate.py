@@ -89,7 +89,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seg
         ids: list = []
         texts: list[list[bytes]] = []
         held = 0
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=1 << 20):
             for key, raw in zip(batch.column("doc_id").to_pylist(), raw_texts(batch), strict=True):
                 words = lower_words(raw)
                 if texts and held + len(words) > segment_words:

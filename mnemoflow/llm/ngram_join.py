@@ -45,6 +45,7 @@ from .scratch import stored
 CHUNK = 512
 #: Bits of the map of ids that the second reading keeps.
 MAP_BITS = 1 << 26
+_CHUNK_BYTES = 1 << 20
 _EXCHANGE = "`range` int, seg bigint, keys binary, refs binary, meta binary"
 
 
@@ -76,7 +77,7 @@ def _segments(batches: Iterator[pa.RecordBatch], size: int, most: int) -> Iterat
     ids: list = []
     sets: list[np.ndarray] = []
     held = 0
-    for batch in chunks(batches):
+    for batch in chunks(batches, most=_CHUNK_BYTES):
         for key, own in zip(batch.column("doc_id").to_pylist(), sets_of(batch.column("text"), size), strict=True):
             if ids and held + len(own) > most:
                 yield ids, sets
@@ -189,7 +190,7 @@ def _sets_left(docs: DataFrame, left: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             h = batch.column("h").to_numpy(zero_copy_only=False).astype(np.uint64)
             keep = (bits.value[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)
-            for part in chunks([batch.filter(pa.array(keep.astype(bool)))]):
+            for part in chunks([batch.filter(pa.array(keep.astype(bool)))], most=_CHUNK_BYTES):
                 sets = sets_of(part.column("text"), size)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([digest(s) for s in sets], pa.binary()), pa.array([packed_sorted(s) for s in sets], pa.binary())],
