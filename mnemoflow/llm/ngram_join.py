@@ -42,7 +42,9 @@ from .fingerprints import Layout, SegmentNumber, home, layout_for, packed, packe
 from .scratch import stored
 
 #: Sets of a block that one walk takes.
-CHUNK = 512
+CHUNK = 2048
+#: Tasks, at least, that the nodes of one hub are dealt to.
+SALTS = 8
 #: Bits of the map of ids that the second reading keeps.
 MAP_BITS = 1 << 26
 _CHUNK_BYTES = 1 << 20
@@ -292,12 +294,14 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
     Labels go from nodes to hubs and back until none changes; each round is a written table.
     """
-    edges = stored(edges, f"{name}-edges")
+    # a hub of many nodes is dealt to several tasks: its nodes by a salt, its label to each
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    edges = stored(edges.withColumn("salt", salt), f"{name}-edges")
     labels = stored(edges.groupBy("node").agg(F.min("label").alias("label")), f"{name}-labels")
     while True:
-        # written, so that the join below reads both sides from an exchange and a hub of many nodes can be split
-        hubs = stored(edges.select("node", "hub").join(labels, "node").groupBy("hub").agg(F.min("label").alias("label")), f"{name}-hubs")
-        new = edges.select("node", "hub").join(hubs, "hub").groupBy("node").agg(F.min("label").alias("new"))
+        hubs = edges.select("node", "hub").join(labels, "node").groupBy("hub").agg(F.min("label").alias("label"))
+        hubs = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        new = edges.select("node", "hub", "salt").join(hubs, ["hub", "salt"]).groupBy("node").agg(F.min("label").alias("new"))
         new = stored(labels.join(new, "node").select("node", F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("moved")), f"{name}-labels")
         labels = new.select("node", "label")
         if not new.where("moved").limit(1).count():
