@@ -73,8 +73,8 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_min("places.start").cast("long").alias("first_word"),
         F.array_max("places.start").cast("long").alias("last_word"),
         labels("places.label").alias("base_labels"),
-        labels("places.label", "matches.label").alias("labels"),
-        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max("matches.containment"), F.lit(0.0))).alias("score"),
+        labels("places.label", "matches.label", "runs.label").alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.greatest(F.array_max("matches.containment"), F.array_max("runs.containment")), F.lit(0.0))).alias("score"),
     )
 
 

@@ -11,6 +11,12 @@ none of whose words is in any prefix has no such block: only the others are
 cut into lines. The templates are a short fixed list, so they stand in the
 plan as a literal and the documents aren't shuffled.
 
+Notices are also found where line ends cut them: a run is as many consecutive
+words of the text as the template has, wherever the lines end, from one of the
+template's words on. It matches by the same share. Only texts that hold enough
+of a template's words at all, and there only runs about a word of its prefix,
+are looked at.
+
 Phrases are a base that doesn't depend on the templates: places where their
 words stand consecutively.
 
@@ -71,9 +77,9 @@ def frequencies(docs: DataFrame, text: str = "text") -> dict[str, int]:
     return {w: 0 for w in vocabulary} | {r.w: r.n for r in found.groupBy("w").agg(F.count("*").alias("n")).collect()}
 
 
-def _ordered(df: dict[str, int], threshold: float) -> list[tuple[str, list[str], int]]:
-    """Label, words from the rarest on, and how many of them a block needs."""
-    return [(label, sorted(_template_words(t), key=lambda w: (df[w], w)), ceil(threshold * len(_template_words(t)) - 1e-9)) for t, label in TEMPLATES]
+def _ordered(df: dict[str, int], threshold: float) -> list[tuple[str, list[str], int, int]]:
+    """Label, words from the rarest on, how many of them a block needs, and the notice's length in words."""
+    return [(label, sorted(_template_words(t), key=lambda w: (df[w], w)), ceil(threshold * len(_template_words(t)) - 1e-9), len(t.replace(".", " ").split())) for t, label in TEMPLATES]
 
 
 def _strings(values: list[str]) -> Column:
@@ -91,14 +97,32 @@ def _matches(block: Column, number: Column, templates: Column) -> Column:
     return F.filter(scored, lambda m: F.round(m["containment"] * m["n"]) >= m["need"])
 
 
+def _runs(all_words: Column, templates: Column) -> Column:
+    """The runs of words, across line ends, that hold enough of a template."""
+    def starts(t: Column) -> Column:
+        rare = F.filter(F.sequence(F.lit(0), F.size(all_words) - 1), lambda i: F.array_contains(t["prefix"], F.get(all_words, i)))
+        near = F.array_distinct(F.flatten(F.transform(rare, lambda i: F.sequence(F.greatest(F.lit(0), i - t["length"] + 1), i))))
+        return F.filter(near, lambda i: F.array_contains(t["tokens"], F.get(all_words, i)))
+
+    def found(t: Column) -> Column:
+        held = lambda i: F.size(F.array_intersect(F.slice(all_words, i + 1, t["length"]), t["tokens"]))
+        scored = F.transform(starts(t), lambda i: F.struct(i.alias("start"), t["label"].alias("label"), held(i).alias("held")))
+        return F.transform(F.filter(scored, lambda m: m["held"] >= t["need"]), lambda m: F.struct(m["start"].alias("start"), m["label"].alias("label"), (m["held"] / F.size(t["tokens"])).alias("containment")))
+
+    whole = _strings(sorted({w for t, _ in TEMPLATES for w in _template_words(t)}))
+    own = F.array(F.array_intersect(all_words, whole))  # one element, so that it's computed once
+    return F.flatten(F.transform(own, lambda o: F.flatten(F.transform(F.filter(templates, lambda t: F.size(F.array_intersect(o, t["tokens"])) >= t["need"]), found))))
+
+
 def scan(docs: DataFrame, keep: list[str], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``keep`` columns with ``n_words``, ``places`` (start and label of each phrase) and ``matches``
-    (block, label and containment of each block and template that meet the threshold)."""
+    """``keep`` columns with ``n_words``, ``places`` (start and label of each phrase), ``matches``
+    (block, label and containment of each block and template that meet the threshold) and ``runs`` (first
+    word, label and containment of each run of words and template that do)."""
     ordered = _ordered(frequencies(docs, text), threshold)
-    prefixes = {w: None for _, tokens, need in ordered for w in tokens[: len(tokens) - need + 1]}
+    prefixes = {w: None for _, tokens, need, _ in ordered for w in tokens[: len(tokens) - need + 1]}
     templates = F.array(*[
-        F.struct(F.lit(label).alias("label"), _strings(tokens).alias("tokens"), _strings(tokens[: len(tokens) - need + 1]).alias("prefix"), F.lit(need).alias("need"))
-        for label, tokens, need in ordered
+        F.struct(F.lit(label).alias("label"), _strings(tokens).alias("tokens"), _strings(tokens[: len(tokens) - need + 1]).alias("prefix"), F.lit(need).alias("need"), F.lit(length).alias("length"))
+        for label, tokens, need, length in ordered
     ])
     parts = [(p.split(), label) for p, label in PHRASES]
     rows = docs.select(*keep, F.col(text).alias("__text"), words(F.col(text)).alias("__words"))
@@ -115,8 +139,11 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", threshold: float
     lines = F.split("__text", "\n")
     blocks = F.transform(lines, lambda line, i: F.struct(F.array_distinct(words(line)).alias("words"), i.alias("i")))
     kind = "array<struct<block:int,label:string,containment:double,need:int,n:int>>"
-    found = F.when(F.arrays_overlap("__words", _strings(list(prefixes))), F.flatten(F.transform(blocks, lambda b: _matches(b["words"], b["i"], templates)))).otherwise(F.array().cast(kind))
-    return rows.select(*keep, F.size("__words").cast("long").alias("n_words"), places.alias("places"), F.coalesce(found, F.array().cast(kind)).alias("matches"))
+    any_prefix = F.arrays_overlap("__words", _strings(list(prefixes)))
+    found = F.when(any_prefix, F.flatten(F.transform(blocks, lambda b: _matches(b["words"], b["i"], templates)))).otherwise(F.array().cast(kind))
+    run_kind = "array<struct<start:int,label:string,containment:double>>"
+    runs = F.when(any_prefix, _runs(F.col("__words"), templates)).otherwise(F.array().cast(run_kind))
+    return rows.select(*keep, F.size("__words").cast("long").alias("n_words"), places.alias("places"), F.coalesce(found, F.array().cast(kind)).alias("matches"), runs.alias("runs"))
 
 
 def _all(tests: list[Column]) -> Column:

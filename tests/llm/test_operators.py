@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemoflow.llm import decontaminate, language_id, licenses, mixing, neighbours, ngram_join, personal_data, quality, substrings, token_counts
+from mnemoflow.llm import catalog, decontaminate, language_id, licenses, mixing, neighbours, ngram_join, personal_data, quality, substrings, token_counts
 from mnemoflow.llm.batches import WORD_TABLE, lower_words
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, score string, h long, text_length long"
@@ -351,6 +351,46 @@ def test_licenses_find_every_block(spark):
         assert sorted((x.start, x.label) for x in got[i].places) == places
 
 
+HARD_WRAPPED = [
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that", "bsd"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files", "mit"),
+    (" * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as", "gpl"),
+    ("All\nrights\n\nreserved", "all-rights-reserved"),
+]
+
+
+def test_licenses_find_notices_across_line_ends(spark):
+    r = random.Random(9)
+    texts = [f"{prose(20, k)}\n{t}\n{prose(20, 50 + k)}" for k, (t, _) in enumerate(HARD_WRAPPED)] + [None, "", "rights\nreserved", "all " * 30 + "rights reserved"]
+    for notice, _ in licenses.TEMPLATES:
+        for _ in range(6):
+            own = notice.replace(".", " ").split()
+            for k in r.sample(range(len(own)), r.randrange(len(own) // 4 + 1)):
+                own[k] = "other"
+            texts.append(prose(8, r.randrange(99)) + "\n" + "".join(w + r.choice(" \n") for w in own) + notice.split()[-1] + "\n" + prose(8, r.randrange(99)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in licenses.scan(docs, ["doc_id"]).collect()}
+    for i, (_, label) in enumerate(HARD_WRAPPED):
+        assert label in {m.label for m in got[i].runs}
+        assert label == "gpl" or label not in {m.label for m in got[i].matches}  # a line of the GPL's holds a shorter template
+    for i, t in enumerate(texts):
+        words, want = WORD.findall((t or "").translate(LOWER)), set()
+        for notice, label in licenses.TEMPLATES:
+            own = notice.replace(".", " ").split()
+            for k in range(len(words)):
+                held = len(set(words[k : k + len(own)]) & set(own))
+                if words[k] in own and held * 10 >= 8 * len(set(own)):
+                    want.add((k, label, round(held / len(set(own)), 9)))
+        assert sorted((m.start, m.label, round(m.containment, 9)) for m in got[i].runs) == sorted(want)
+
+
+def test_license_query_labels_hard_wrapped_notices(spark, tmp_path):
+    spark.createDataFrame([(i, t) for i, (t, _) in enumerate(HARD_WRAPPED)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in catalog.op7_licenses(spark, str(tmp_path)).collect()}
+    for i, (_, label) in enumerate(HARD_WRAPPED):
+        assert label in got[i].labels.split(",") and got[i].score >= 0.8
+
+
 def test_quality_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
