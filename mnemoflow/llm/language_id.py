@@ -2,24 +2,28 @@
 
 Each language has a 4-gram model: raw counts at the highest order,
 continuation counts below it, one absolute discount per order. ``fit`` learns
-from a bounded sample of whole labelled texts (``train_chars`` characters of a
-language, chosen by a hash of the row) and merges all languages into one
+from a bounded sample of whole labelled texts (of each language those of the
+smallest hashes, ``train_chars`` characters at about and MIN_TEXTS texts at
+least, or all it has) and merges all languages into one
 sorted array of 64-bit n-gram hashes per order, with a log probability per
 language. Texts are scored in one pass without a shuffle: an n-gram that no
 language has seen backs off to the next order. The language of the lowest
 cross-entropy per character wins, ties going to the first by name. A tenth of
 the sample stays out of the counts; it calibrates the temperature that turns
-cross-entropies into ``score`` and each language's rejection threshold.
+cross-entropies into ``score`` and each language's rejection threshold. A
+language with fewer than MIN_TEXTS texts beside that tenth is learned from all
+of its sample and has no threshold.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0
 and not rejected; so is any text if no labelled text was given. Texts keep
-their whole length. Rows with a null label aren't learnt from. Rows that
+their whole length. Rows with a null label or without a letter aren't learnt from. Rows that
 repeat are predicted each. Columns not asked for are ignored.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -34,6 +38,8 @@ from .batches import chunks, mixed
 ORDER = 4
 #: Characters of each language, at about, that the model learns from.
 TRAIN_CHARS = 2_000_000
+#: Texts of each language that the model learns from at least, however long they are, if there are so many.
+MIN_TEXTS = 10
 #: Of the calibration texts of a language, the share with a cross-entropy below its threshold.
 ACCEPTED = 0.999
 UNKNOWN = "und"
@@ -212,19 +218,42 @@ def _calibrated(model: Model, truth: np.ndarray, entropies: np.ndarray) -> Model
     return model
 
 
+def sampled(rows: DataFrame, train_chars: int) -> DataFrame | None:
+    """Of each language of ``rows`` (k, text, lang) the texts to learn from, and whether they are ``held`` out.
+
+    Hashes are counted in steps of an eighth of a power of two, so the sample has all texts up to a step.
+    """
+    key = F.coalesce("k", "text")
+    drawn = F.pmod(F.xxhash64(key, F.lit(2)), F.lit(1 << 62)) + 1
+    rows = rows.withColumn("step", F.floor(F.log2(drawn.cast("double")) * 8)).withColumn("held", F.pmod(F.xxhash64(key, F.lit(3)), F.lit(10)) == 0)
+    steps: defaultdict[str, list] = defaultdict(list)
+    for r in rows.groupBy("lang", "step").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n"), F.count_if(~F.col("held")).alias("learned")).collect():
+        steps[r.lang].append((r.step, r.chars, r.n, r.learned))
+    if not steps:
+        return None
+    last, whole = {}, []
+    for name, own in steps.items():
+        chars = n = learned = 0
+        for step, more, texts, kept in sorted(own):
+            chars, n, learned, last[name] = chars + more, n + texts, learned + kept, step
+            if chars >= train_chars and n >= MIN_TEXTS:
+                break
+        if learned < MIN_TEXTS:
+            whole.append(name)
+    up_to = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
+    return rows.where(F.col("step") <= F.try_element_at(up_to, "lang")).withColumn("held", F.col("held") & ~F.col("lang").isin(whole))
+
+
 def fit(docs: DataFrame, labelled: Column, text: str = "text", lang: str = "lang", row_key: str = "doc_id", train_chars: int = TRAIN_CHARS) -> Model:
-    """A model from at about ``train_chars`` characters of each language, of the rows that ``labelled`` holds for.
+    """A model from at about ``train_chars`` characters and MIN_TEXTS texts at least of each language, of the rows
+    that ``labelled`` holds for.
 
-    The driver gets the sample's distinct 4-grams, no more than the sample has characters.
+    The driver gets the sums of ``sampled`` and the sample's distinct 4-grams, no more than the sample has characters.
     """
-    rows = docs.where(labelled & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(row_key).cast("string").alias("k"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
-    sizes = {k: n for k, n in sizes.items() if n}
-    if not sizes:
+    rows = docs.where(labelled & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(row_key).cast("string").alias("k"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    sample = sampled(rows, train_chars)
+    if sample is None:
         return estimate({})
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, train_chars / n))])
-    drawn = F.pmod(F.xxhash64("k", F.lit(2)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(drawn < F.try_element_at(share, "lang")).withColumn("held", F.pmod(F.xxhash64("k", F.lit(3)), F.lit(10)) == 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, most=_CHUNK):

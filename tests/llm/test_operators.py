@@ -124,6 +124,30 @@ def test_language_of_awkward_texts(docs):
     assert language_id.predict(docs, language_id.fit(docs, F.lit(False)), ["doc_id"]).where("lang_pred <> 'und'").count() == 0
 
 
+def test_every_labelled_language_is_learned(spark):
+    """Languages of one text, of two, of few very long ones, of rows without an id; each has letters of its own."""
+    rows, texts = [], {}
+    for k in range(60):
+        name, own = f"l{k:02d}", " ".join(chr(0x4E00 + 30 * k + j) * 3 for j in range(30))
+        texts[name] = own
+        rows += [(None if k % 4 == 3 else 100 * k + j, own * (1 if k % 2 else 40), name) for j in range((1, 2, 10, 1)[k % 4])]
+    rows += [(9999, "... 123", "none"), (9998, None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, F.lit(True), train_chars=200)
+    assert model.languages == sorted(texts)
+    got = language_id.predict(docs.where("lang <> 'none'"), model, ["lang"]).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(str(k), "x" * 50, "en") for k in range(20_000)] + [(str(k), "y" * 5000, "long") for k in range(300)] + [(str(k), "z", "few") for k in range(3)]
+    sample = language_id.sampled(spark.createDataFrame(rows, "k string, text string, lang string"), 50_000)
+    got = {r.lang: r for r in sample.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.count_if("held").alias("held")).collect()}
+    assert 50_000 <= got["en"].chars <= 60_000 and got["en"].held > 0
+    assert language_id.MIN_TEXTS <= got["long"].n <= 20
+    assert got["few"].n == 3 and got["few"].held == 0
+
+
 def test_kneser_ney_sums_to_one():
     text = "abracadabra alakazam abra kadabra"
     keys, _, _ = language_id.grams([text])
