@@ -63,7 +63,7 @@ def bootstrap(cells: DataFrame, keys: list[str], rounds: int, seed: int = DEFAUL
     per = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(outcome)).alias("all")).select(*keys, F.col("all.y").alias("ys"))
     n = F.size("ys")
     rows = per.select("*", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    draws = maths.mulberry32_draws(F.lit(seed), F.sequence(F.col("round") * n + 1, F.col("round") * n + n))
+    draws = maths.mulberry32_draws(F.lit(seed), F.sequence(F.col("round").cast("long") * n + 1, F.col("round").cast("long") * n + n))
     hits = F.aggregate(F.transform(draws, lambda x: F.get("ys", F.floor(x * n).cast("int"))), F.lit(0), lambda s, y: s + y)
     means = rows.select(*keys, n.cast("long").alias("n"), (hits / n).alias("mean"))
     w = Window.partitionBy(*keys).orderBy("mean")

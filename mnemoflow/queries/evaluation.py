@@ -59,7 +59,7 @@ SQL["early_stop"] = f"WITH {_SUMMARY} SELECT {_G}, count(*) AS n FROM current JO
 
 @query
 def bootstrap_ci(spark, sf):
-    """Intervals of each cell's accuracy over its questions and trials."""
+    """Intervals of each cell's accuracy over its questions and trials, as inside the run loop: few resamples."""
     return evaluate.bootstrap(_cells(spark, sf), evaluate.GROUP, DEFAULT.bootstrap_loop)
 
 
@@ -72,6 +72,13 @@ SQL["bootstrap_ci"] = f"""WITH {sql.CELLS}, per AS (SELECT {_G}, list(CAST(corre
   placed AS (SELECT *, row_number() OVER (PARTITION BY {_G} ORDER BY m) - 1 AS k FROM means)
   SELECT {_G}, n, round(max(CASE WHEN k = 5 THEN m END), 6) AS ci_low, round(max(CASE WHEN k = 195 THEN m END), 6) AS ci_high FROM placed GROUP BY {_G}, n"""
 
+
+@query
+def bootstrap_ci_full(spark, sf):
+    """The same intervals as the final summary takes them, from all resamples. It has no SQL."""
+    return evaluate.bootstrap(_cells(spark, sf), evaluate.GROUP, DEFAULT.bootstrap)
+
+
 _PAIR = ["model_context", "corpus_size", "trial", "query_id"]
 
 

@@ -5,8 +5,10 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from mnemoflow import queries
 from mnemoflow.functions import dates, maths, text
 from mnemoflow.operators import agent, answers, evaluate, fillers, folds, rank, router
+from mnemoflow.sources import views
 
 
 def one(spark, column, **values):
@@ -187,3 +189,30 @@ def test_fillers_are_deterministic_and_change_numbers():
     once = fillers.mutate(seed, 5)
     assert once == fillers.mutate(seed, 5) and once != seed and "Stripe" not in once
     assert fillers.mutate("plain words", 5) == "plain words"
+
+
+def plain_interval(ys, rounds, seed=42):
+    """The generator run step by step, one resample after the other."""
+    state, means = seed, []
+    for _ in range(rounds):
+        hits = 0
+        for _ in ys:
+            state = (state + 0x6D2B79F5) & 0xFFFFFFFF
+            t = ((state ^ (state >> 15)) * (state | 1)) & 0xFFFFFFFF
+            t ^= (t + (((t ^ (t >> 7)) * (t | 61)) & 0xFFFFFFFF)) & 0xFFFFFFFF
+            hits += ys[int((t ^ (t >> 14)) / 4294967296 * len(ys))]
+        means.append(hits / len(ys))
+    means.sort()
+    return len(ys), round(means[int(0.025 * rounds)], 6), round(means[int(0.975 * rounds)], 6)
+
+
+def test_full_bootstrap_takes_all_resamples(spark, tmp_path):
+    lines = [(o, o * 7 % 5 + 1, 1.0, o * 31 % 97, o % 4 + 1) for o in range(1, 160)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_quantity double, l_partkey long, l_linenumber long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    key = lambda r: (r.system, r.model_context, r.corpus_size)
+    groups = {}
+    for r in sorted(evaluate.current_cells(views.cells(spark, str(tmp_path))).collect(), key=lambda r: (r.query_id, r.trial)):
+        groups.setdefault(key(r), []).append(int(r.correct))
+    got = {key(r): (r.n, r.ci_low, r.ci_high) for r in queries.QUERIES["bootstrap_ci_full"](spark, str(tmp_path)).collect()}
+    assert got == {k: plain_interval(ys, 10_000) for k, ys in groups.items()}
+    assert got != {k: plain_interval(ys, 200) for k, ys in groups.items()}
