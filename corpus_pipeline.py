@@ -54,12 +54,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item, exactly or with its words moved or up to SLOP put in."""
     release(spark, OWNER)
     with owned(OWNER):
         rows, names = _plain(docs)
-        found = decontaminate.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-        return rows.join(found.where("n_hit > 0").select("doc_id").distinct(), "doc_id", "left_anti").select(rows.columns).toDF(*names)
+        found = decontaminate.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=decontaminate.SLOP)
+        return rows.join(found.where("n_hit > 0 OR n_near > 0").select("doc_id").distinct(), "doc_id", "left_anti").select(rows.columns).toDF(*names)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

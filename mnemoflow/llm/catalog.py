@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, licenses, mixing, neighbours, ngram_join, oracles, personal_data, quality, substrings, token_counts
-from .decontaminate import decontaminate
+from .decontaminate import SLOP, decontaminate
 
 
 def fold(doc_id: str, parts: int):
@@ -32,6 +32,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_decontaminate_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and proximity matches; ``contaminated`` by either."""
+    found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), slop=SLOP)
+    return found.select("doc_id", "n_words", "n_hit", "n_near", ((F.col("n_hit") > 0) | (F.col("n_near") > 0)).alias("contaminated"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     model = language_id.fit(docs, fold("doc_id", 4) != 2)
@@ -105,6 +111,7 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op1_decontaminate_near": op1_decontaminate_near,
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
     "op4_personal_data": op4_personal_data,

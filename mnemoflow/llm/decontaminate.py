@@ -32,6 +32,8 @@ from .batches import arrow, chunks, lower_words, raw_texts
 from .scratch import stored
 
 WINDOW = 10
+#: Words that a lightly edited passage may have besides a window's, for proximity matches in production.
+SLOP = 2
 #: Words in a segment; a longer document is a segment of its own.
 SEGMENT_WORDS = 1 << 20
 #: Benchmark text that is looked up, and broadcast, at a time.
@@ -146,19 +148,25 @@ class Segment:
         if any(t not in self.at for t in terms):
             return np.zeros(0, np.int64)
         anchor = self.postings(terms[order[0]])
+        for k in order[1:]:  # each other term must be within reach
+            own = self.postings(terms[k])
+            j = np.searchsorted(own, anchor - span + 1)
+            anchor = anchor[(j < len(own)) & (own[np.minimum(j, len(own) - 1)] < anchor + span)]
+            if not len(anchor):
+                return anchor
         doc = self.doc(anchor)
-        low, high = self.starts[doc], self.starts[doc] + self.n_words[doc]
-        found = []
-        for back in range(span):
-            start = anchor - back
-            ok = start >= low
-            stop = np.minimum(start + span, high)
-            for t in {terms[k] for k in order[1:]}:
-                own = self.postings(t)
-                j = np.searchsorted(own, start)
-                ok &= (j < len(own)) & (own[np.minimum(j, len(own) - 1)] < stop)
-            found.append(start[ok])
-        return np.unique(np.concatenate(found))
+        start = (anchor[:, None] - np.arange(span)).ravel()
+        low, high = np.repeat(self.starts[doc], span), np.repeat(self.starts[doc] + self.n_words[doc], span)
+        ok = start >= low
+        start, stop = start[ok], np.minimum(start + span, high)[ok]
+        for t in dict.fromkeys(terms[k] for k in order[1:]):  # the rarest first
+            own = self.postings(t)
+            j = np.searchsorted(own, start)
+            ok = (j < len(own)) & (own[np.minimum(j, len(own) - 1)] < stop)
+            start, stop = start[ok], stop[ok]
+            if not len(start):
+                break
+        return np.unique(start)
 
 
 def item_windows(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:

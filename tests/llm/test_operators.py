@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from mnemoflow.llm import catalog, decontaminate, language_id, licenses, mixing, neighbours, ngram_join, personal_data, quality, substrings, token_counts
 from mnemoflow.llm.batches import WORD_TABLE, lower_words
 
@@ -87,6 +88,31 @@ def test_proximity(spark):
     assert got == {0: (0, True), 1: (3, True), 2: (0, False), 3: (0, False)}
 
 
+def test_query_and_stage_find_edited_passages(spark, tmp_path):
+    """Against all spans: words put in, words moved, too far apart, over the border of two documents."""
+    r, item = random.Random(12), prose(14, 70).split()
+    texts = [" ".join(item), " ".join(item[:5] + ["extra"] + item[5:10] + ["more"]), " ".join(item[:4] + item[5:8] + [item[4]] + item[8:]), " ".join(item[:5]), " ".join(item[5:]), None, ""]
+    for _ in range(40):
+        words = list(item)
+        for _ in range(r.randrange(5)):
+            words.insert(r.randrange(len(words)), r.choice(["extra", r.choice(item)]))
+        texts.append(prose(5, r.randrange(99)) + " " + " ".join(words[r.randrange(4) :]))
+    docs = spark.createDataFrame([(i, t, "en", "a", 0, "", 0, 0) for i, t in enumerate(texts)], KIND).coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    span, want = 10 + decontaminate.SLOP, {}
+    cut = lambda t: WORD.findall((t or "").translate(LOWER))
+    windows = [set(w) for w in windows_of(cut(" ".join(item)), 10)]
+    for i, t in enumerate(texts):
+        words = cut(t)
+        want[i] = sum(w <= set(words[k : k + span]) for w in windows for k in range(len(words))) > 0
+    got = {x.doc_id: x for x in catalog.op1_decontaminate_near(spark, str(tmp_path)).collect()}
+    assert {i: x.n_near > 0 for i, x in got.items()} == {i: x.contaminated for i, x in got.items()} == want
+    assert want[1] and want[2] and not got[1].n_hit and not got[2].n_hit and len(set(want.values())) == 2
+    kept = {x.doc_id for x in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()}
+    assert kept == {i for i, near in want.items() if not near}
+
+
 def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
