@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one chunk holds; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
@@ -47,6 +50,40 @@ def lower_words(text: bytes) -> list[bytes]:
     return text.translate(WORD_TABLE).split()
 
 
+def kept_names(keep: list[str], made: list[str]) -> list[str]:
+    """Names for the kept columns: one that a made column has too, in any case, gets ``_kept`` behind it."""
+    taken, out = {m.lower() for m in made}, []
+    for name in keep:
+        while name.lower() in taken:
+            name += "_kept"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def beside(docs: DataFrame, keep: list[str], text: str, made: str, start: Callable[[], Callable[[pa.Array], list[pa.Array]]], most: int = CHUNK_BYTES) -> DataFrame:
+    """The ``keep`` columns and, beside them, the ``made`` ones (names and types).
+
+    ``start`` is called once a task and gives the function that makes them of the texts of a chunk.
+    """
+    kinds = T.StructType.fromDDL(made)
+    inner = [f"__{k}" for k in range(len(keep))]
+    base = docs.select(*[F.col(quoted(n)).alias(i) for n, i in zip(keep, inner, strict=True)], F.col(quoted(text)).cast("string").alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for batch in chunks(batches, "__text", most):
+            columns = [batch.column(i) for i in inner] + make(batch.column("__text"))
+            yield pa.RecordBatch.from_arrays(columns, names=inner + kinds.names)
+
+    out = base.mapInArrow(run, T.StructType([*base.schema.fields[:-1], *kinds.fields]))
+    return out.toDF(*kept_names(keep, kinds.names), *kinds.names)
+
+
 def arrow(rows: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
 

@@ -5,9 +5,11 @@ continuation counts below it, one absolute discount per order. ``fit`` learns
 from a bounded sample of whole labelled texts (of each language those of the
 smallest hashes, ``train_chars`` characters at about and MIN_TEXTS texts at
 least, or all it has) and merges all languages into one
-sorted array of 64-bit n-gram hashes per order, with a log probability per
-language. Texts are scored in one pass without a shuffle: an n-gram that no
-language has seen backs off to the next order. The language of the lowest
+sorted array of 64-bit n-gram hashes per order, each with the languages that
+have seen it and their log probabilities, so that the model grows with the
+samples and not with their number times that of languages. Texts are scored in
+one pass without a shuffle, a bounded piece at a time: in a language that hasn't
+seen an n-gram it backs off to the next order. The language of the lowest
 cross-entropy per character wins, ties going to the first by name. A tenth of
 the sample stays out of the counts; it calibrates the temperature that turns
 cross-entropies into ``score`` and each language's rejection threshold. A
@@ -17,14 +19,15 @@ of its sample and has no threshold.
 Defined results: a text that is null or has no letter is ``und`` with score 0
 and not rejected; so is any text if no labelled text was given. Texts keep
 their whole length. Rows with a null label or without a letter aren't learnt from. Rows that
-repeat are predicted each. Columns not asked for are ignored.
+repeat are predicted each. Columns not asked for are ignored; a kept column
+named as a made one comes back with ``_kept`` behind its name.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import chunks, mixed
+from .batches import beside, chunks, mixed
 
 ORDER = 4
 #: Characters of each language, at about, that the model learns from.
@@ -45,6 +48,9 @@ ACCEPTED = 0.999
 UNKNOWN = "und"
 _START, _BLANK = 1, 32
 _CHUNK = 1 << 20
+#: Characters of a text that are looked up at a time, and numbers of a table of n-grams by languages.
+PIECE = 1 << 20
+_TABLE = 1 << 22
 
 
 @cache
@@ -60,6 +66,28 @@ def _folds() -> tuple[np.ndarray, np.ndarray]:
     return fold, letter
 
 
+_NEW = np.full(3, _START, np.uint64)
+
+
+def _coded(text: str, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The packed 4-grams of (a piece of) a text that goes on from the codes ``before``; its last three codes."""
+    fold, _ = _folds()
+    code = np.concatenate([before, fold[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]])
+    blank = code == _BLANK
+    keep = np.ones(len(code), bool)
+    keep[1:] = ~(blank[1:] & blank[:-1])
+    keep[:3] = True
+    code = code[keep]
+    key = code.copy()
+    for k in range(1, ORDER):
+        key[k:] |= code[:-k] << np.uint64(16 * k)
+    return key[3:], code[-3:]
+
+
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """4-grams packed in 64 bits, the number of the text of each, and which texts have a letter."""
     fold, letter = _folds()
@@ -69,38 +97,68 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     code = fold[raw]
     starts = np.cumsum(sizes) - sizes
     has = np.add.reduceat(letter[raw], starts) > 0 if len(raw) else np.zeros(0, bool)
+    real = np.ones(len(code), bool)
     for k in range(3):
-        code[starts + k] = _START
+        code[starts + k], real[starts + k] = _START, False
     text = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
     blank = code == _BLANK
     keep = np.ones(len(code), bool)
     keep[1:] = ~(blank[1:] & blank[:-1])
-    code, text = code[keep], text[keep]
+    code, text, real = code[keep], text[keep], real[keep]
     key = code.copy()
     for k in range(1, ORDER):
         key[k:] |= code[:-k] << np.uint64(16 * k)
-    real = code != _START
     return key[real], text[real], has
 
 
+def pieces(texts: list[str | None], most: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``grams`` of all texts, at most about ``most`` characters at a time; a longer text comes in several parts."""
+    start = held = 0
+    for i in range(len(texts) + 1):
+        size = len(texts[i] or "") if i < len(texts) else 0
+        if start < i and (i == len(texts) or held + size > most):
+            keys, text, has = grams(texts[start:i])
+            yield keys, text + start, np.flatnonzero(has) + start
+            start, held = i, 0
+        if size > most:
+            before, whole = _NEW, texts[i]
+            for at in range(0, size, most):
+                part = whole[at : at + most]
+                keys, before = _coded(part, before)
+                yield keys, np.full(len(keys), i, np.int32), np.array([i] if has_letter(part) else [], np.int64)
+            start = i + 1
+        held += size if start <= i else 0
+
+
 @dataclass
 class HashArray:
-    """Sorted hashes and a row of values for each; an index over the top bits shortens the search."""
+    """Sorted hashes, each with a row of languages and their values; an index over the top bits shortens the search."""
 
     hashes: np.ndarray
-    values: np.ndarray
+    #: Row i is low[i] to low[i + 1] of ``who`` and ``value``.
+    low: np.ndarray
+    who: np.ndarray
+    value: np.ndarray
     bits: int
     first: np.ndarray
     most: int
 
     @staticmethod
-    def of(keys: np.ndarray, values: np.ndarray) -> HashArray:
-        h = mixed(keys)
-        order = np.argsort(h)
-        h = h[order]
+    def of(parts: list[tuple[np.ndarray, np.ndarray]]) -> HashArray:
+        """``parts``: each language's keys and values."""
+        none = np.zeros(0, np.uint64)
+        h = mixed(np.concatenate([none, *(k for k, _ in parts)]))
+        who = np.repeat(np.arange(len(parts)), [len(k) for k, _ in parts]).astype(np.uint16)
+        order = np.argsort(h, kind="stable")
+        h, who = h[order], who[order]
+        value = np.concatenate([np.zeros(0), *(v for _, v in parts)])[order].astype(np.float32)
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = h[1:] != h[:-1]
+        low = np.append(np.flatnonzero(fresh), len(h)).astype(np.int64)
+        h = h[fresh]
         bits = max(1, int(len(h)).bit_length())
         first = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
-        return HashArray(h, values[order].astype(np.float32), bits, first, int(np.diff(first).max(initial=0)))
+        return HashArray(h, low, who, value, bits, first, int(np.diff(first).max(initial=0)))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key, or -1."""
@@ -122,41 +180,59 @@ class HashArray:
             left, at, end, h = left[go], at[go], end[go], h[go]
         return out
 
+    def entries(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the keys that are here: the key's place among ``keys``, the language and the value, for each language that has it."""
+        at = self.find(keys)
+        row = np.flatnonzero(at >= 0)
+        low, many = self.low[at[row]], self.low[at[row] + 1] - self.low[at[row]]
+        flat = np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)
+        return np.repeat(row, many), self.who[flat], self.value[flat]
+
 
 @dataclass
 class Model:
     languages: list[str]
-    #: By order, from 1: n-grams with log probabilities; contexts with log back-off weights.
+    #: By order, from 1: n-grams with log probabilities; contexts with log back-off weights, 0 in a language without one.
     seen: list[HashArray]
     backoff: list[HashArray]
     unseen: np.ndarray
     temperature: float = 1.0
     thresholds: np.ndarray | None = None
 
-    def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(keys), len(self.languages)), np.float32)
-        left, key = np.arange(len(keys)), keys
-        for k in range(ORDER, 0, -1):
-            at = self.seen[k - 1].find(key)
-            hit = at >= 0
-            out[left[hit]] += self.seen[k - 1].values[at[hit]]
-            left, key = left[~hit], key[~hit]
-            if not len(left):
-                return out
-            if k > 1:
-                at = self.backoff[k - 1].find(key >> np.uint64(16))
-                hit = at >= 0
-                out[left[hit]] += self.backoff[k - 1].values[at[hit]]
-                key = key & np.uint64((1 << 16 * (k - 1)) - 1)
-        out[left] += self.unseen
+    def log_probabilities(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """Of distinct n-grams, in all languages."""
+        if not order:
+            return np.repeat(self.unseen[None, :], len(keys), 0)
+        if order == 1:
+            out = self.log_probabilities(keys, 0)
+        else:
+            shorter, back = np.unique(keys & np.uint64((1 << 16 * (order - 1)) - 1), return_inverse=True)
+            out = self.log_probabilities(shorter, order - 1)[back]
+            context, back = np.unique(keys >> np.uint64(16), return_inverse=True)
+            weights = np.zeros((len(context), len(self.languages)), np.float32)
+            row, who, value = self.backoff[order - 1].entries(context)
+            weights[row, who] = value
+            out += weights[back]
+        row, who, value = self.seen[order - 1].entries(keys)
+        out[row, who] = value
         return out
 
     def cross_entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Per text and language, nats per character; which texts have a letter."""
-        keys, text, has = grams(texts)
-        logs = self.log_probabilities(keys)
-        n = np.maximum(np.bincount(text, minlength=len(texts)), 1)
-        return -np.stack([np.bincount(text, logs[:, k], len(texts)) / n for k in range(len(self.languages))], 1), has
+        size = len(self.languages)
+        total, n, has = np.zeros((len(texts), size)), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        for keys, text, letters in pieces(texts):
+            has[letters] = True
+            n += np.bincount(text, minlength=len(texts))
+            some, back = np.unique(keys, return_inverse=True)
+            step = max(1024, _TABLE // max(size, 1))
+            for at in range(0, len(some), step):
+                logs = self.log_probabilities(some[at : at + step])
+                own = slice(None) if len(some) <= step else np.flatnonzero((back >= at) & (back < at + step))
+                where, of = text[own], back[own] - at
+                for k in range(size):
+                    total[:, k] += np.bincount(where, logs[of, k], len(texts))
+        return -total / np.maximum(n, 1)[:, None], has
 
 
 def _discount(counts: np.ndarray) -> float:
@@ -165,43 +241,33 @@ def _discount(counts: np.ndarray) -> float:
 
 
 def estimate(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """Models of all languages from their distinct packed 4-grams and counts."""
+    """Models of all languages from their distinct packed 4-grams and counts, one language at a time."""
     languages = sorted(counts)
-    size = len(languages)
-    by_order: list[list[tuple[np.ndarray, np.ndarray]]] = []
-    for name in languages:
+    letters = [np.unique(counts[name][0] & np.uint64(0xFFFF)) for name in languages]
+    uniform = 1.0 / (len(np.unique(np.concatenate(letters))) + 1) if languages else 1.0
+    seen: list[list] = [[] for _ in range(ORDER)]
+    backoff: list[list] = [[] for _ in range(ORDER)]
+    unseen = np.zeros(len(languages), np.float32)
+    for j, name in enumerate(languages):
         keys, c = counts[name]
         order = np.argsort(keys)
         levels = [(keys[order], c[order].astype(np.float64))]
-        for k in range(ORDER - 1, 0, -1):
+        for k in range(ORDER - 1, 0, -1):  # below the highest order, how many n-grams end so
             below, many = np.unique(levels[0][0] & np.uint64((1 << 16 * k) - 1), return_counts=True)
             levels.insert(0, (below, many.astype(np.float64)))
-        by_order.append(levels)
-    seen, backoff = [], []
-    known = np.unique(np.concatenate([x[0][0] for x in by_order])) if size else np.zeros(0, np.uint64)
-    lower, lower_keys = np.full((1, size), 1.0 / (len(known) + 1)), np.zeros(1, np.uint64)
-    unseen = np.zeros(size)
-    for k in range(1, ORDER + 1):
-        keys = np.unique(np.concatenate([x[k - 1][0] for x in by_order])) if size else known
-        contexts = np.unique(keys >> np.uint64(16)) if k > 1 else np.zeros(1, np.uint64)
-        p = lower[np.searchsorted(lower_keys, keys & np.uint64((1 << 16 * (k - 1)) - 1))].copy()
-        weights = np.ones((len(contexts), size))
-        for j, levels in enumerate(by_order):
-            own, c = levels[k - 1]
+        lower, lower_keys = np.full(1, uniform), np.zeros(1, np.uint64)
+        for k, (own, c) in enumerate(levels, 1):
             d = _discount(c)
-            where = np.searchsorted(contexts, own >> np.uint64(16)) if k > 1 else np.zeros(len(own), np.int64)
-            total = np.bincount(where, c, len(contexts))
-            kinds = np.bincount(where, minlength=len(contexts))
-            weights[:, j] = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
-            of = np.searchsorted(contexts, keys >> np.uint64(16)) if k > 1 else np.zeros(len(keys), np.int64)
-            p[:, j] *= weights[of, j]
-            p[np.searchsorted(keys, own), j] += np.maximum(c - d, 0) / total[where]
-        if k == 1:
-            unseen = np.log(weights[0] * lower[0])
-        seen.append(HashArray.of(keys, np.log(p)))
-        backoff.append(HashArray.of(contexts, np.log(weights)))
-        lower, lower_keys = p, keys
-    return Model(languages, seen, backoff, unseen.astype(np.float32))
+            contexts, of = np.unique(own >> np.uint64(16), return_inverse=True) if k > 1 else (np.zeros(1, np.uint64), np.zeros(len(own), np.int64))
+            total = np.bincount(of, c, len(contexts))
+            weights = d * np.bincount(of, minlength=len(contexts)) / total
+            p = np.maximum(c - d, 0) / total[of] + weights[of] * lower[np.searchsorted(lower_keys, own & np.uint64((1 << 16 * (k - 1)) - 1))]
+            if k == 1:
+                unseen[j] = np.log(weights[0] * uniform)
+            seen[k - 1].append((own, np.log(p)))
+            backoff[k - 1].append((contexts, np.log(weights)))
+            lower, lower_keys = p, own
+    return Model(languages, [HashArray.of(x) for x in seen], [HashArray.of(x) for x in backoff], unseen)
 
 
 def _calibrated(model: Model, truth: np.ndarray, entropies: np.ndarray) -> Model:
@@ -258,10 +324,10 @@ def fit(docs: DataFrame, labelled: Column, text: str = "text", lang: str = "lang
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, most=_CHUNK):
             names = np.array(batch.column("lang").to_pylist(), object)
-            keys, of, _ = grams(batch.column("text").to_pylist())
-            for name in dict.fromkeys(names):
-                k, n = np.unique(keys[(names == name)[of]], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(k), pa.string()), "k": pa.array(k.view(np.int64)), "n": pa.array(n)})
+            for keys, of, _ in pieces(batch.column("text").to_pylist()):
+                for name in dict.fromkeys(names[np.unique(of)]):
+                    k, n = np.unique(keys[(names == name)[of]], return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(k), pa.string()), "k": pa.array(k.view(np.int64)), "n": pa.array(n)})
 
     got = sample.where(~F.col("held")).mapInArrow(count, "lang string, k bigint, n bigint").groupBy("lang", "k").agg(F.sum("n").alias("n")).toArrow()
     names = np.array(got.column("lang").to_pylist(), object)
@@ -279,17 +345,13 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text",
     """``keep`` columns with ``lang_pred``, ``score`` (posterior of that language), ``rejected`` (its
     cross-entropy is above the threshold) and ``cross_entropy``; with ``entropies``, those of all languages."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    base, own = (docs.select(*keep), text) if text in keep else (docs.select(*keep, F.col(text).alias("__text")), "__text")
-    fields = [f for f in base.schema.fields if f.name != "__text"]
-    made = "lang_pred string, score double, rejected boolean, cross_entropy double, entropies array<double>"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), made])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Callable[[pa.Array], list[pa.Array]]:
         m = sent.value
         limits = m.thresholds if m.thresholds is not None else np.full(len(m.languages), np.inf)
-        for batch in chunks(batches, own, _CHUNK):
-            n = batch.num_rows
-            texts = batch.column(own).to_pylist()
+
+        def make(column: pa.Array) -> list[pa.Array]:
+            n, texts = len(column), column.to_pylist()
             if m.languages:
                 ce, has = m.cross_entropies(texts)
                 best = ce.argmin(1)
@@ -298,14 +360,16 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text",
                 least = ce[np.arange(n), best]
             else:
                 has, best, score, least, ce = np.zeros(n, bool), np.zeros(n, int), np.zeros(n), np.zeros(n), np.zeros((n, 0))
-            out = [batch.column(f.name) for f in fields] + [
+            columns = [
                 pa.array([m.languages[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)], pa.string()),
                 pa.array(np.where(has, score, 0.0)),
                 pa.array([bool(h and e > limits[b]) for h, e, b in zip(has, least, best, strict=True)], pa.bool_()),
                 pa.array(np.where(has, least, np.nan), from_pandas=True),
-                pa.array([list(e) if h and entropies else None for h, e in zip(has, ce, strict=True)], pa.list_(pa.float64())),
             ]
-            yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields] + ["lang_pred", "score", "rejected", "cross_entropy", "entropies"])
+            every = [pa.array([list(e) if h else None for h, e in zip(has, ce, strict=True)], pa.list_(pa.float64()))] if entropies else []
+            return columns + every
+
+        return make
 
-    out = base.mapInArrow(run, schema)
-    return out if entropies else out.drop("entropies")
+    made = "lang_pred string, score double, rejected boolean, cross_entropy double" + (", entropies array<double>" if entropies else "")
+    return beside(docs, keep, text, made, start, _CHUNK)
