@@ -5,8 +5,8 @@ holds at least THRESHOLD of a template's words is found. The words of all
 templates are counted over all documents; each template is then ordered from
 its rarest word on. To hold ``need`` of n words, a block must hold one of the
 first n - need + 1 (prefix filter), have ``need`` words at least (length
-filter), and, where its first word in that order is at place p with m matches
-so far, keep m + n - p at or above ``need`` (positional filter). A document
+filter), and, where its first word in that order is at place p, leave n - p + 1
+words from there on, ``need`` of them at least (positional filter). A document
 none of whose words is in any prefix has no such block: only the others are
 cut into lines. The templates are a short fixed list, so they stand in the
 plan as a literal and the documents aren't shuffled.
@@ -21,7 +21,8 @@ Phrases are a base that doesn't depend on the templates: places where their
 words stand consecutively.
 
 Defined results: a null text is empty, without words, labels or score; repeated
-rows are scanned each; other columns are ignored.
+rows are scanned each; other columns are ignored; a kept column named as a made
+one comes back with ``_kept`` behind its name.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import kept_names, quoted
+
 THRESHOLD = 0.8
 
 #: Phrases and their labels.
@@ -125,7 +128,8 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", threshold: float
         for label, tokens, need, length in ordered
     ])
     parts = [(p.split(), label) for p, label in PHRASES]
-    rows = docs.select(*keep, F.col(text).alias("__text"), words(F.col(text)).alias("__words"))
+    inner = [f"__{k}" for k in range(len(keep))]
+    rows = docs.select(*[F.col(quoted(n)).alias(i) for n, i in zip(keep, inner, strict=True)], F.col(quoted(text)).alias("__text"), words(F.col(quoted(text))).alias("__words"))
 
     def phrase(own: list[str], label: str) -> Column:
         w = F.col("__words")
@@ -143,7 +147,8 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", threshold: float
     found = F.when(any_prefix, F.flatten(F.transform(blocks, lambda b: _matches(b["words"], b["i"], templates)))).otherwise(F.array().cast(kind))
     run_kind = "array<struct<start:int,label:string,containment:double>>"
     runs = F.when(any_prefix, _runs(F.col("__words"), templates)).otherwise(F.array().cast(run_kind))
-    return rows.select(*keep, F.size("__words").cast("long").alias("n_words"), places.alias("places"), F.coalesce(found, F.array().cast(kind)).alias("matches"), runs.alias("runs"))
+    made = {"n_words": F.size("__words").cast("long"), "places": places, "matches": F.coalesce(found, F.array().cast(kind)), "runs": runs}
+    return rows.select(*inner, *[c.alias(n) for n, c in made.items()]).toDF(*kept_names(keep, list(made)), *made)
 
 
 def _all(tests: list[Column]) -> Column:

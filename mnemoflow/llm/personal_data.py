@@ -15,15 +15,18 @@ classifier adds spans of further kinds and drops those that overlap others.
 
 Defined results: a null text is empty and has no span; repeated rows are
 searched each; starts and ends count code points, ends exclusive; columns not
-asked for are ignored. No pattern scans a text more than a fixed number of times.
+asked for are ignored; a kept column named as a made one comes back with
+``_kept`` behind its name. No pattern scans a text more than a fixed number of
+times, and a candidate is compared with its neighbours only.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import chunks
+from .batches import beside, chunks
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "local_phone", "national_id", "iban", "name")
@@ -68,6 +71,15 @@ _CUES = {
     "iban": frozenset("iban account konto compte cuenta bank".split()),
     "name": frozenset("dear by with from contact sincerely".split()),
 }
+#: Countries of account numbers, with the length that each has fixed for its own.
+_ACCOUNTS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24, "TR": 26}
+#: Numbers that were printed as examples and belong to nobody.
+_SPECIMENS = frozenset("078-05-1120 219-09-9999 123-45-6789 457-55-5462".split())
+_NAMES = frozenset(
+    """adams ali anderson anna becker brown carlos chen clark david davies dubois emma fischer garcia gonzalez green hall hans harris hernandez jackson james jean
+    john johnson jones jose juan khan kim laura lee lewis lopez maria marie martin martinez mary meyer michael miller mohamed moore muller müller nguyen patel
+    paul perez peter pierre robert robinson rodriguez rossi sanchez sarah schmidt schneider scott singh smith sofia taylor thomas thompson walker wang weber white williams wilson wright young""".split()
+)
 _AGAINST = frozenset("version release isbn issn page chapter section order invoice sku http https".split())
 
 
@@ -156,7 +168,14 @@ def _gazetteer(kind: str, s: str, before: list[str]) -> int:
         return -1 if s.startswith(("0.", "127.", "255.")) else 1
     if kind == "secret":
         return 1 if before and before[-1] in _SECRET_WORDS else -1
-    return 0
+    if kind == "local_phone":  # codes of areas start at 2 and don't end in 11
+        area = s.lstrip("(")[:3]
+        return -1 if area[0] in "01" or area[1:] == "11" else 1
+    if kind == "national_id":
+        return -1 if s in _SPECIMENS else 1
+    if kind == "iban":
+        return 1 if len(s.replace(" ", "")) == _ACCOUNTS.get(s[:2]) else -1
+    return 1 if any(w.lower() in _NAMES for w in s.split()) else 0
 
 
 def votes(kind: str, t: str, start: int, end: int) -> tuple[int, ...]:
@@ -255,43 +274,52 @@ def fit(docs: DataFrame, text: str = "text") -> SpanClassifier:
 def all_spans(t: str, accepted: dict[str, bool], classifier: SpanClassifier) -> tuple[list, list]:
     """Base spans, and those with the accepted others, by kind as listed, then start."""
     base = base_spans(t)
-    taken = sorted((a, b) for _, a, b in base)
+    starts: list[int] = []  # of what is taken, apart from each other, by place
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     added = []
     for kind, a, b in more_candidates(t):
         p = pattern(kind, t, a, b)
         if p not in accepted:
             accepted[p] = classifier.probability(p) >= THRESHOLD
-        if accepted[p] and all(b <= x or y <= a for x, y in taken):
-            added.append((kind, a, b))
-            taken.append((a, b))
+        if not accepted[p]:
+            continue
+        at = bisect_left(starts, b)  # those before it start before the end of this one
+        if at and ends[at - 1] > a:
+            continue
+        added.append((kind, a, b))
+        starts.insert(at, a)
+        ends.insert(at, b)
     return base, base + sorted(added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
 def find(docs: DataFrame, classifier: SpanClassifier, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns with ``base`` and ``spans``, arrays of (kind, start, end), and ``masked``, the
     text with each span replaced by its kind in brackets."""
-    base, own = (docs.select(*keep), text) if text in keep else (docs.select(*keep, F.col(text).alias("__text")), "__text")
-    fields = [f for f in base.schema.fields if f.name != "__text"]
     span = "array<struct<kind:string,start:int,`end`:int>>"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"base {span}", f"spans {span}", "masked string"])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Callable[[pa.Array], list[pa.Array]]:
         accepted: dict[str, bool] = {}
         as_rows = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
-        for batch in chunks(batches, own):
+
+        def make(texts: pa.Array) -> list[pa.Array]:
             exact, full, masked = [], [], []
-            for t in batch.column(own).to_pylist():
+            for t in texts.to_pylist():
                 x, y = all_spans(t or "", accepted, classifier)
                 exact.append(as_rows(x))
                 full.append(as_rows(y))
                 masked.append(mask(t, y))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(f.name) for f in fields] + [pa.array(exact, kind), pa.array(full, kind), pa.array(masked, pa.string())],
-                names=[f.name for f in fields] + ["base", "spans", "masked"],
-            )
+            return [pa.array(exact, kind), pa.array(full, kind), pa.array(masked, pa.string())]
+
+        return make
 
-    return base.mapInArrow(run, schema)
+    return beside(docs, keep, text, f"base {span}, spans {span}, masked string", start)
 
 
 def mask(t: str | None, spans: list[tuple[str, int, int]]) -> str | None:

@@ -15,12 +15,14 @@ their similarities as weights.
 Defined results: a text without terms (null, empty, blank) gets the sample's
 mean label; so does one whose neighbours' weights are all 0. With no labelled
 text the score is 0.5. Rows that repeat are scored each. A null label isn't
-learnt from. Columns not asked for are ignored.
+learnt from. Of documents that share a labelled id, the text of the smallest
+hash is learnt from. Columns not asked for are ignored; a kept column named
+``score`` comes back as ``score_kept``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import byte_view, chunks, mixed, window_hashes, words_of
+from .batches import beside, byte_view, chunks, mixed, window_hashes, words_of
 
 SAMPLE = 4000
 RANK = 48
@@ -45,11 +47,14 @@ _LINE_EDGES = np.array([2.0, 4, 8, 16, 32, 64, 128])
 _BINS = 8
 _SHAPES = 8
 _CHUNK = 2 << 20
+#: Bytes whose pairs are counted at a time, and texts that are scored at a time.
+_COUNTED = 1 << 20
+_ROWS = 512
 _MARKS = ".,;:!?'\"()-/%$#&*=|[]{}<>"
 
 
 def _classes() -> np.ndarray:
-    out = np.full(256, 55)
+    out = np.full(256, 55, np.uint8)
     out[97:123] = np.arange(26)
     out[65:91], out[48:58], out[[9, 11, 12, 13, 32]], out[10] = 26, 27, 28, 29
     out[[ord(c) for c in _MARKS]] = 30 + np.arange(len(_MARKS))
@@ -64,16 +69,21 @@ def term_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Texts x TERMS counts, and the bin of each of a text's shapes."""
     data, offsets = byte_view(column)
     n = len(offsets) - 1
-    code = _CLASS[data]
-    text = np.repeat(np.arange(n), np.diff(offsets))
-    same = text[1:] == text[:-1]
-    pairs = (text[1:] * TERMS + code[:-1] * _CLASSES + code[1:])[same]
+    counts, kinds = np.zeros(n * TERMS, np.int64), np.zeros(n * 64, np.int64)
+    for low in range(0, len(data), _COUNTED):  # a few bytes at a time, however long a text is
+        first, last = max(low - 1, 0), min(low + _COUNTED, len(data))
+        code = _CLASS[data[first:last]].astype(np.int64)
+        text = np.repeat(np.arange(n), np.diff(np.clip(offsets, first, last)))
+        same = text[1:] == text[:-1]
+        counts += np.bincount((text[1:] * TERMS + code[:-1] * _CLASSES + code[1:])[same], minlength=n * TERMS)
+        own = slice(1 if low else 0, None)
+        kinds += np.bincount(text[own] * 64 + code[own], minlength=n * 64)
     words = words_of(column)
     own = words.text * TERMS + _CLASSES * _CLASSES + (words.hash % np.uint64(_WORD_TERMS)).astype(np.int64)
-    counts = (np.bincount(pairs, minlength=n * TERMS) + np.bincount(own, minlength=n * TERMS)).reshape(n, TERMS)
+    counts = (counts + np.bincount(own, minlength=n * TERMS)).reshape(n, TERMS)
+    kinds = kinds.reshape(n, 64)
 
     size = np.maximum(np.diff(offsets), 1)
-    kinds = np.bincount(text * 64 + code, minlength=n * 64).reshape(n, 64)
     letters = np.maximum(kinds[:, :27].sum(1) + kinds[:, 54] // 2, 1)
     marks = kinds[:, 30 : 30 + len(_MARKS)]
     many = np.maximum(words.count, 1)
@@ -103,7 +113,7 @@ def _features(counts: np.ndarray, bins: np.ndarray, idf: np.ndarray) -> np.ndarr
     row, kind = np.arange(len(counts))[:, None], np.arange(_SHAPES)[None, :]
     for step, weight in ((0, 0.5), (1, 1.0), (2, 0.5)):
         shape[row, kind, bins + step] = weight
-    return np.hstack([_unit(np.log1p(counts).astype(np.float32) * idf), SHAPE_WEIGHT * _unit(shape.reshape(len(counts), _SHAPES * (_BINS + 2)))])
+    return np.hstack([_unit(np.log1p(counts, dtype=np.float32) * idf), SHAPE_WEIGHT * _unit(shape.reshape(len(counts), _SHAPES * (_BINS + 2)))])
 
 
 @dataclass
@@ -152,32 +162,39 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     """Voters from at most ``sample`` rows of ``labels`` (doc_id, label), the first by a hash; their texts are looked up in ``docs``."""
     rows = labels.select(F.col(doc_id).alias("k"), F.col(label).cast("int").alias("y")).where("k IS NOT NULL AND y IS NOT NULL")
     drawn = rows.orderBy(F.xxhash64("k"), "k", "y").limit(sample)
-    texts = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("text")).join(F.broadcast(drawn), "k")
+    found = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("text")).join(F.broadcast(drawn.select("k").distinct()), "k", "left_semi")
+    one = found.groupBy("k").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # no id has more than one text
+    kind = docs.schema[doc_id].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, most=_CHUNK):
-            c = np.minimum(np.hstack(term_counts(batch.column("text"))), 65535).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), pa.array([r.tobytes() for r in c], pa.binary())], names=["k", "y", "c"])
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                c = np.hstack(term_counts(part.column("text"))).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("y"), pa.array([_sparse(r) for r in c], pa.binary())], names=["k", "y", "c"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    got = texts.mapInArrow(count, f"k {kind}, y int, c binary").toArrow()
-    order = sorted(range(got.num_rows), key=lambda i: (str(got["k"][i]), got["c"][i].as_py()))
-    counts = np.stack([np.frombuffer(got["c"][i].as_py(), np.uint16) for i in order]) if order else np.zeros((0, TERMS + _SHAPES), np.uint16)
-    return estimate(counts[:, :TERMS], counts[:, TERMS:].astype(np.int64), np.array([got["y"][i].as_py() for i in order], float))
+    got = one.join(F.broadcast(drawn), "k").mapInArrow(count, f"k {kind}, y int, c binary").toArrow()
+    order = sorted(range(got.num_rows), key=lambda i: (str(got["k"][i]), got["c"][i].as_py(), got["y"][i].as_py()))
+    counts = np.zeros((len(order), TERMS + _SHAPES), np.int32)
+    for row, i in enumerate(order):
+        at, many = np.frombuffer(got["c"][i].as_py(), np.int64).reshape(2, -1)
+        counts[row, at] = many
+    return estimate(counts[:, :TERMS], counts[:, TERMS:], np.array([got["y"][i].as_py() for i in order], float))
+
+
+def _sparse(counts: np.ndarray) -> bytes:
+    at = np.flatnonzero(counts)
+    return np.concatenate([at, counts[at]]).tobytes()
 
 
 def score(docs: DataFrame, voters: Voters, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns with ``score``, the weighted share of neighbours labelled 1."""
     sent = docs.sparkSession.sparkContext.broadcast(voters)
-    base, own = (docs.select(*keep), text) if text in keep else (docs.select(*keep, F.col(text).alias("__text")), "__text")
-    fields = [f for f in base.schema.fields if f.name != "__text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, own, _CHUNK):
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = sent.value.scores(*term_counts(part.column(own)))
-                yield pa.RecordBatch.from_arrays([part.column(f.name) for f in fields] + [pa.array(found)], names=[f.name for f in fields] + ["score"])
-
-    return base.mapInArrow(run, schema)
+
+    def start() -> Callable[[pa.Array], list[pa.Array]]:
+        def make(texts: pa.Array) -> list[pa.Array]:
+            return [pa.array(np.concatenate([sent.value.scores(*term_counts(texts.slice(at, _ROWS))) for at in range(0, len(texts), _ROWS)]))]
+
+        return make
+
+    return beside(docs, keep, text, "score double", start, _CHUNK)

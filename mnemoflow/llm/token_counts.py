@@ -6,9 +6,10 @@ unigram scores (of equal sums, the one of fewer pieces). The best sum and
 number of pieces up to a place depend on what stands before it only, so
 pre-tokens go into a trie whose nodes store them: a prefix that several
 pre-tokens share is computed once, and the count of a pre-token is the one at
-the node where it ends. A task keeps its trie from text to text and starts a
-new one at ``most_nodes``, which changes no count. Nothing is shuffled; the
-vocabulary, some ten thousands of pieces, is broadcast.
+its terminal, the node where it ends. A task keeps its trie from word to word
+and text to text and starts a new one at ``most_nodes``, which changes no
+count. Nothing is shuffled; the vocabulary, some ten thousands of pieces, is
+broadcast.
 
 Scores come from the vocabulary's own order, which is by frequency: the piece
 of rank r has log(1 / (r + 1)), scaled to sum to 1 (no tokenizer is trained).
@@ -17,20 +18,20 @@ the least score, less 1.
 
 Defined results: a null, empty or blank text has no tokens; rows that repeat
 are counted each; a pre-token of over LONG characters is computed apart and
-not stored; columns not asked for are ignored.
+not stored; columns not asked for are ignored; a kept column named as a made one
+comes back with ``_kept`` behind its name.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .batches import chunks
+from .batches import beside
 
 #: Where the vocabulary of the registered query is.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -106,21 +107,21 @@ def count_plain(v: Vocabulary, word: str) -> tuple[int, float]:
 class PreTokenTrie:
     """Nodes by number: their children, and the best sum and number of pieces of the path to them."""
 
-    def __init__(self, v: Vocabulary) -> None:
-        self.v = v
-        self.clear()
-
-    def clear(self) -> None:
+    def __init__(self, v: Vocabulary, most_nodes: int = MOST_NODES) -> None:
+        self.v, self.most_nodes = v, most_nodes
         #: The child of node k by character c, at k * 2 ** 21 + c.
         self.children: dict[int, int] = {}
         self.sums, self.many = [0.0], [0]
-        #: Of each word, what is stored at the node where it ends.
-        self.terminals: dict[str, tuple[int, float]] = {}
+        #: The terminal of each word.
+        self.terminals: dict[str, int] = {}
 
-    def insert(self, word: str) -> tuple[int, float]:
-        """Pieces and sum of a pre-token; its new nodes are computed, the others are found."""
-        if len(word) > LONG:
-            return count_plain(self.v, word)
+    def clear(self) -> None:
+        self.children.clear()
+        self.terminals.clear()
+        del self.sums[1:], self.many[1:]
+
+    def insert(self, word: str) -> int:
+        """The terminal of a pre-token; its new nodes are computed, the others are found."""
         v, children, all_sums, all_many = self.v, self.children, self.sums, self.many
         node, sums, many, end = 0, [0.0], [0], 0
         for c in word:
@@ -134,40 +135,40 @@ class PreTokenTrie:
                 all_many.append(n)
             sums.append(all_sums[node])
             many.append(all_many[node])
-        return many[-1], sums[-1]
+        return node
 
     def count(self, text: str) -> tuple[int, int, float]:
         """Words, tokens and their sum."""
         words = text.split()
-        found = self.terminals
+        terminals, all_sums, all_many = self.terminals, self.sums, self.many
         n, total = 0, 0.0
         for w in words:
-            one = found.get(w)
-            if one is None:
-                one = self.insert(MARK + w)
-                if len(w) < LONG:
-                    found[w] = one
-            n += one[0]
-            total += one[1]
+            node = terminals.get(w)
+            if node is None:
+                if len(w) >= LONG:
+                    more, s = count_plain(self.v, MARK + w)
+                    n += more
+                    total += s
+                    continue
+                if len(all_sums) > self.most_nodes:
+                    self.clear()
+                node = terminals[w] = self.insert(MARK + w)
+            n += all_many[node]
+            total += all_sums[node]
         return len(words), n, total
 
 
 def token_counts(docs: DataFrame, v: Vocabulary, keep: list[str], text: str = "text", most_nodes: int = MOST_NODES) -> DataFrame:
     """``keep`` columns with ``n_words``, ``n_tokens`` and ``log_score``, the sum over the tokens."""
     sent = docs.sparkSession.sparkContext.broadcast(v)
-    base, own = (docs.select(*keep), text) if text in keep else (docs.select(*keep, F.col(text).alias("__text")), "__text")
-    fields = [f for f in base.schema.fields if f.name != "__text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_words bigint, n_tokens bigint, log_score double"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = PreTokenTrie(sent.value)
-        for batch in chunks(batches, own):
-            got = []
-            for t in batch.column(own).to_pylist():
-                got.append(trie.count(t or ""))
-                if len(trie.sums) > most_nodes:
-                    trie.clear()
-            made = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in fields] + made, names=[f.name for f in fields] + ["n_words", "n_tokens", "log_score"])
-
-    return base.mapInArrow(run, schema)
+
+    def start() -> Callable[[pa.Array], list[pa.Array]]:
+        trie = PreTokenTrie(sent.value, most_nodes)
+
+        def make(texts: pa.Array) -> list[pa.Array]:
+            got = [trie.count(t or "") for t in texts.to_pylist()]
+            return [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))]
+
+        return make
+
+    return beside(docs, keep, text, "n_words bigint, n_tokens bigint, log_score double", start)
