@@ -101,7 +101,8 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), size=3, percent=90)
+    found = ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), size=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,14 +13,15 @@ a broadcast of bounded size, and a task holds one of them at a time.
 
 Defined results: a null or wordless text has no words and no hit; a null or
 wordless item has no window; an item that repeats under several ids counts
-each id; rows that repeat are judged each; extra columns are ignored.
+each id; items without an id share the empty one; rows that repeat or share an
+id are judged each; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import pickle
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +40,11 @@ SEGMENT_WORDS = 1 << 20
 #: Benchmark text that is looked up, and broadcast, at a time.
 BLOCK_BYTES = 16 << 20
 
-_INDEX = "doc_ids array<bigint>, n_words array<int>, terms binary, docs_with binary, ends binary, positions binary"
+_INDEX = "doc_ids array<bigint>, text_hashes array<bigint>, n_words array<int>, terms binary, docs_with binary, ends binary, positions binary"
 _INDEX_ARROW = pa.schema(
     [
         ("doc_ids", pa.list_(pa.int64())),
+        ("text_hashes", pa.list_(pa.int64())),
         ("n_words", pa.list_(pa.int32())),
         ("terms", pa.binary()),
         ("docs_with", pa.binary()),
@@ -52,7 +54,7 @@ _INDEX_ARROW = pa.schema(
 )
 
 
-def _segment(doc_ids: list, texts: list[list[bytes]]) -> dict[str, list]:
+def _segment(doc_ids: list[tuple], texts: list[list[bytes]]) -> dict[str, list]:
     ids: defaultdict[bytes, int] = defaultdict()
     ids.default_factory = ids.__len__
     counts = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -75,7 +77,8 @@ def _segment(doc_ids: list, texts: list[list[bytes]]) -> dict[str, list]:
     if total:
         steps[starts] = at[starts]
     return {
-        "doc_ids": [doc_ids],
+        "doc_ids": [[x[0] for x in doc_ids]],
+        "text_hashes": [[x[1] for x in doc_ids]],
         "n_words": [counts.tolist()],
         "terms": [b" ".join(ids)],
         "docs_with": [docs_with.tobytes()],
@@ -92,7 +95,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seg
         texts: list[list[bytes]] = []
         held = 0
         for batch in chunks(batches, most=1 << 20):
-            for key, raw in zip(batch.column("doc_id").to_pylist(), raw_texts(batch), strict=True):
+            for *key, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), raw_texts(batch), strict=True):
                 words = lower_words(raw)
                 if texts and held + len(words) > segment_words:
                     yield arrow(_segment(ids, texts), _INDEX_ARROW)
@@ -103,17 +106,17 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seg
         if texts:
             yield arrow(_segment(ids, texts), _INDEX_ARROW)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(build, _INDEX)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("text_hash"), F.col(text).alias("text")).mapInArrow(build, _INDEX)
 
 
 class Segment:
-    """A stored segment, with the postings of the terms asked for."""
+    """A stored segment; postings are unpacked when asked for."""
 
-    def __init__(self, row: dict, wanted: set[bytes]) -> None:
-        self.doc_ids = row["doc_ids"]
+    def __init__(self, row: dict) -> None:
+        self.doc_ids, self.text_hashes = row["doc_ids"], row["text_hashes"]
         self.n_words = np.asarray(row["n_words"], np.int64)
         terms = row["terms"].split(b" ") if row["terms"] else []
-        self.at = {t: i for i, t in enumerate(terms) if t in wanted}
+        self.at = {t: i for i, t in enumerate(terms)}
         self.ends = np.frombuffer(row["ends"], np.int64)
         self.steps = np.frombuffer(row["positions"], np.int32)
         #: The first position of each document.
@@ -144,7 +147,7 @@ class Segment:
         return starts
 
     def near(self, terms: tuple[bytes, ...], order: list[int], span: int) -> np.ndarray:
-        """First positions of spans, in one document, that hold every term in any order."""
+        """First positions of spans, in one document, that hold every term, as often as the window does, in any order."""
         if any(t not in self.at for t in terms):
             return np.zeros(0, np.int64)
         anchor = self.postings(terms[order[0]])
@@ -159,9 +162,9 @@ class Segment:
         low, high = np.repeat(self.starts[doc], span), np.repeat(self.starts[doc] + self.n_words[doc], span)
         ok = start >= low
         start, stop = start[ok], np.minimum(start + span, high)[ok]
-        for t in dict.fromkeys(terms[k] for k in order[1:]):  # the rarest first
+        for t, times in Counter(terms[k] for k in order).items():  # the rarest first
             own = self.postings(t)
-            j = np.searchsorted(own, start)
+            j = np.searchsorted(own, start) + times - 1
             ok = (j < len(own)) & (own[np.minimum(j, len(own) - 1)] < stop)
             start, stop = start[ok], stop[ok]
             if not len(start):
@@ -193,20 +196,18 @@ def frequencies(index: DataFrame, wanted: set[bytes]) -> dict[bytes, int]:
     return {bytes(r.term): r.n for r in rows}
 
 
-def _block_phrases(index: DataFrame, items: list[tuple[str, bytes]], window: int) -> bytes:
+def _block_phrases(df: dict[bytes, int], items: list[tuple[str, bytes]], window: int) -> bytes:
     """The block's distinct windows under their rarest term, packed for broadcasting."""
     owners: defaultdict[tuple[bytes, ...], list[str]] = defaultdict(list)
     for item, text in items:
         for w in set(item_windows(lower_words(text), window)):
             owners[w].append(item)
-    df = frequencies(index, {t for w in owners for t in w}) if owners else {}
     by_rarest: defaultdict[bytes, list] = defaultdict(list)
     for w, own in owners.items():
         order = sorted(range(len(w)), key=lambda k: (df.get(w[k], 0), w[k], k))
         if df.get(w[order[0]]):  # a term that no document has can't match
             by_rarest[w[order[0]]].append((w, order, own))
-    wanted = {t for x in by_rarest.values() for w, _, _ in x for t in w}
-    return zlib.compress(pickle.dumps((dict(by_rarest), wanted)), 1)
+    return zlib.compress(pickle.dumps(dict(by_rarest)), 1)
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
@@ -234,23 +235,25 @@ def match(
 ) -> DataFrame:
     """Per document: ``n_words``, ``n_hit`` (words inside exact matches), ``items``
     (ids with an exact match) and, with ``slop``, ``n_near`` (spans of window +
-    slop words that hold all words of a window, in any order)."""
+    slop words that hold all words of a window, each as often, in any order);
+    ``text_hash`` tells rows that share an id apart."""
     spark = index.sparkSession
-    sent = [spark.sparkContext.broadcast(_block_phrases(index, x, window)) for x in _blocks(benchmark, item_id, text, block_bytes)]
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_near", pa.int64()), ("items", pa.list_(pa.string()))])
+    wanted = {t for items in _blocks(benchmark, item_id, text, block_bytes) for _, x in items for t in lower_words(x)}
+    df = frequencies(index, wanted) if wanted else {}
+    sent = [spark.sparkContext.broadcast(_block_phrases(df, x, window)) for x in _blocks(benchmark, item_id, text, block_bytes)]
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_near", pa.int64()), ("items", pa.list_(pa.string()))])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, phrases, wanted = -1, {}, set()
+        at, phrases = -1, {}
         for row in (x for batch in batches for k in range(batch.num_rows) for x in batch.slice(k, 1).to_pylist()):
             n = len(row["doc_ids"])
             edge = np.zeros(sum(row["n_words"]) + n + 1, np.int64)
             items_of: defaultdict[int, set[str]] = defaultdict(set)
             near = np.zeros(n, np.int64)
-            seg = Segment(row, set())
+            seg = Segment(row)
             for b in range(len(sent)):
                 if at != b:  # one block in memory at a time
-                    at, (phrases, wanted) = b, pickle.loads(zlib.decompress(sent[b].value))
-                seg = Segment(row, wanted)
+                    at, phrases = b, pickle.loads(zlib.decompress(sent[b].value))
                 for rarest in seg.at.keys() & phrases.keys():
                     for w, order, own in phrases[rarest]:
                         starts = seg.phrase(w, order)
@@ -265,6 +268,7 @@ def match(
             yield arrow(
                 {
                     "doc_id": seg.doc_ids,
+                    "text_hash": seg.text_hashes,
                     "n_words": seg.n_words.tolist(),
                     "n_hit": (hit[seg.starts + seg.n_words] - hit[seg.starts]).tolist(),
                     "n_near": near.tolist(),
@@ -273,7 +277,7 @@ def match(
                 schema,
             )
 
-    return index.mapInArrow(look_up, "doc_id bigint, n_words bigint, n_hit bigint, n_near bigint, items array<string>")
+    return index.mapInArrow(look_up, "doc_id bigint, text_hash bigint, n_words bigint, n_hit bigint, n_near bigint, items array<string>")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None) -> DataFrame:

@@ -75,6 +75,15 @@ def layout_for(docs: DataFrame, text: str = "text", growth: int = 1) -> Layout:
     return Layout(ranges, max(SEGMENT_WORDS, ROW * ranges), min(64, max(40, total.bit_length() + 16)))
 
 
+#: Bits of a map for each thing in it, and the least and most that a map has (128 MB, the bound of its broadcast).
+MAP_SHARE, LEAST_MAP, MOST_MAP = 16, 1 << 22, 1 << 30
+
+
+def map_bits(things: int) -> int:
+    """Bits, a power of two, of a map that few others pass for; past MOST_MAP more do, which an exact join removes."""
+    return min(MOST_MAP, max(LEAST_MAP, 1 << (MAP_SHARE * things).bit_length()))
+
+
 def split(sorted_keys: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:
     """The slice of each range that has keys; keys have 64 bits."""
     bits = ranges.bit_length() - 1

@@ -10,10 +10,14 @@ Slots and documents meet by an equi-join on pages of the line, a page being one
 block long, so no source is gathered in one task. Running sums are taken in
 two levels: within ranges of the hash (or of slots), then over the ranges.
 
+``texts`` puts the words beside the plan, and ``stream`` lays the pieces out in
+the order of their slots.
+
 Defined results: a null text has no words; a null source is a source, the last;
 an empty table gives no rows; a source without words has target 0 and takes
-nothing; rows that repeat lie on the line once each; columns not asked for are
-ignored. Sources are few (a list of them is held on the driver).
+nothing; rows that repeat lie on the line once each; a row without an id is
+placed by its text; columns not asked for are ignored. Sources are few (a list
+of them is held on the driver).
 """
 
 from __future__ import annotations
@@ -60,7 +64,9 @@ def shares(sizes: Sequence[int], weights: Sequence[float], repeats: int = REPEAT
 class Mix:
     #: One row per document: doc_id, size, source_size, target, taken.
     documents: DataFrame
-    #: One row per slot and piece of a document: slot, doc_id, first and last word (end exclusive) of the document.
+    #: The same with ``text_hash``, which tells rows that share an id apart, and ``pieces``, by slot: (slot, first, last), the document's first and last word (end exclusive) there.
+    placed: DataFrame
+    #: One row per slot and piece of a document: slot, doc_id, first and last word.
     pieces: DataFrame
 
 
@@ -85,7 +91,8 @@ def mix(docs: DataFrame, weight: Callable[[int], float] = lambda k: k % 3 + 1, d
             F.col(doc_id).alias("doc_id"),
             F.col(source).cast("string").alias("source"),
             F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
-            F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long").alias("key"),
+            F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.md5(F.coalesce(text, F.lit(""))))), 1, 15), 16, 10).cast("long").alias("key"),
+            F.coalesce(F.xxhash64(text), F.lit(0)).alias("text_hash"),
         ),
         "sizes",
     )
@@ -105,11 +112,36 @@ def mix(docs: DataFrame, weight: Callable[[int], float] = lambda k: k % 3 + 1, d
     met = paged.join(slots, ["s", "page"], "left").withColumn("__low", F.greatest("start", "low")).withColumn("__high", F.least(F.col("start") + F.col("size"), "high", (F.col("page") + 1) * block))
     met = met.withColumn("__low", F.greatest("__low", F.col("page") * block))
     words = F.when(F.col("slot").isNotNull() & (F.col("__high") > F.col("__low")), F.col("__high") - F.col("__low")).otherwise(0)
-    full = met.groupBy("s", "start", "doc_id", "size", "source_size", "target").agg(F.sum(words).alias("taken"))
+    full = met.groupBy("s", "start", "doc_id", "size", "source_size", "target")
     columns = ["doc_id", "size", "source_size", "target", "taken"]
-    documents = full.select(columns).unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(columns))
-    pieces = met.where("slot IS NOT NULL AND __high > __low").select("slot", "doc_id", (F.col("__low") - F.col("start")).alias("first"), (F.col("__high") - F.col("start")).alias("last"))
-    return Mix(documents, pieces)
+    wordless = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    documents = full.agg(F.sum(words).alias("taken")).select(columns).unionByName(wordless.select(columns))
+    own = F.struct(F.col("slot"), (F.col("__low") - F.col("start")).alias("first"), (F.col("__high") - F.col("start")).alias("last"))
+    taken = F.col("slot").isNotNull() & (F.col("__high") > F.col("__low"))
+    with_pieces = full.agg(F.sum(words).alias("taken"), F.first("text_hash").alias("text_hash"), F.array_sort(F.collect_list(F.when(taken, own))).alias("pieces"))
+    none = F.array().cast(with_pieces.schema["pieces"].dataType)
+    columns = [*columns, "text_hash", "pieces"]
+    with_pieces = with_pieces.select(columns).unionByName(wordless.withColumn("pieces", none).select(columns))
+    return Mix(documents, with_pieces, met.where(taken).select("doc_id", own.alias("p")).select("doc_id", "p.*"))
+
+
+def texts(mixed: Mix, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``placed`` with the ``text`` of each document instead of its hash."""
+    key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    rows = docs.select(key.alias("__k"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("text_hash"), F.col(text).alias("text"))
+    placed = stored(mixed.placed.withColumn("__k", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "placed")
+    again = placed.groupBy("__k", "text_hash").count().where("count > 1").drop("count")
+    if again.limit(1).count():  # of rows that repeat each gets the text once
+        rows = rows.join(again, ["__k", "text_hash"], "left_anti").unionByName(rows.join(again, ["__k", "text_hash"], "left_semi").dropDuplicates(["__k", "text_hash"]))
+    return placed.join(rows, ["__k", "text_hash"]).select("doc_id", "size", "source_size", "target", "taken", "pieces", "text")
+
+
+def stream(texts: DataFrame) -> DataFrame:
+    """The mixed training set: slot, doc_id and the words of each piece, in the order of slots. Words are joined by one blank."""
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))
+    rows = texts.select("doc_id", words.alias("words"), F.explode("pieces").alias("p"))
+    cut = F.array_join(F.slice("words", (F.col("p.first") + 1).cast("int"), (F.col("p.last") - F.col("p.first")).cast("int")), " ")
+    return rows.select(F.col("p.slot").alias("slot"), "doc_id", F.col("p.first").alias("first"), cut.alias("text")).orderBy("slot", "doc_id", "first")
 
 
 def _schedule(sources: DataFrame, wanted: list[int], block: int) -> DataFrame:

@@ -17,14 +17,15 @@
    A walk returns a spanning forest and link counts, never pairs of all.
 4. Components come from propagating the smallest id over the forest.
 
-A fixed-size bit map of the ids left, the same size for any input, lets the
-second reading of the texts skip most others; what it lets through in error is
-removed by an exact join.
+A bit map of the ids left, of bounded size, lets the second reading of the
+texts skip most others; what it lets through in error is removed by an exact
+join.
 
 Defined results: a null text, or one without words, has an empty set and links
 with nothing; one of fewer than n words has its whole sequence as its only
-member; equal sets link; repeated rows are copies; a null id gets no component
-of its own (null) unless its copies have one. Columns not asked for are ignored.
+member; equal sets link; repeated rows are copies. A null id is larger than any
+other: a component of rows without an id has a null one. Rows that share an id
+but not their set are judged each. Columns not asked for are ignored.
 """
 
 from __future__ import annotations
@@ -38,15 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import LOWER, chunks, mixed, window_hashes, words_of
-from .fingerprints import Layout, SegmentNumber, home, layout_for, packed, packed_sorted, split, unpacked, unpacked_sorted
+from .fingerprints import Layout, SegmentNumber, home, layout_for, map_bits, packed, packed_sorted, split, unpacked, unpacked_sorted
 from .scratch import stored
 
 #: Sets of a block that one walk takes.
 CHUNK = 2048
 #: Tasks, at least, that the nodes of one hub are dealt to.
 SALTS = 8
-#: Bits of the map of ids that the second reading keeps.
-MAP_BITS = 1 << 26
+#: The number that stands for a null id.
+LAST = np.iinfo(np.int64).max
 _CHUNK_BYTES = 1 << 20
 _EXCHANGE = "`range` int, seg bigint, keys binary, refs binary, meta binary"
 
@@ -75,12 +76,13 @@ def digest(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def _segments(batches: Iterator[pa.RecordBatch], size: int, most: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    ids: list = []
+def _segments(batches: Iterator[pa.RecordBatch], size: int, most: int) -> Iterator[tuple[list[tuple[int, int]], list[np.ndarray]]]:
+    ids: list[tuple[int, int]] = []
     sets: list[np.ndarray] = []
     held = 0
     for batch in chunks(batches, most=_CHUNK_BYTES):
-        for key, own in zip(batch.column("doc_id").to_pylist(), sets_of(batch.column("text"), size), strict=True):
+        keys = zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), strict=True)
+        for key, own in zip(keys, sets_of(batch.column("text"), size), strict=True):
             if ids and held + len(own) > most:
                 yield ids, sets
                 ids, sets, held = [], [], 0
@@ -91,13 +93,13 @@ def _segments(batches: Iterator[pa.RecordBatch], size: int, most: int) -> Iterat
         yield ids, sets
 
 
-_META = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
+_META = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
 
 
-def _meta(ids: list, sets: list[np.ndarray]) -> tuple[bytes, list[bytes]]:
+def _meta(ids: list[tuple[int, int]], sets: list[np.ndarray]) -> tuple[bytes, list[bytes]]:
     digests = [digest(s) for s in sets]
     sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())], schema=_META)
+    batch = pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in ids], pa.int64()) for k in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())], schema=_META)
     with pa.ipc.new_stream(sink, _META) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes(), digests
@@ -128,7 +130,7 @@ def _gathered(table: pa.Table) -> tuple[list[int], list[bytes | None], np.ndarra
 
 
 def _survey(docs: DataFrame, size: int, layout: Layout) -> DataFrame:
-    """Per document: doc_id, n, digest and ``alone``, how many of its n-grams no other set has, at least."""
+    """Per document: doc_id, text_hash, n, digest and ``alone``, how many of its n-grams no other set has, at least."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = SegmentNumber()
@@ -172,21 +174,22 @@ def _survey(docs: DataFrame, size: int, layout: Layout) -> DataFrame:
 
     sent = docs.mapInArrow(send, _EXCHANGE)
     counted = sent.groupBy("range").applyInArrow(count, "seg bigint, alone binary, meta binary")
-    return counted.groupBy("seg").applyInArrow(add, "doc_id bigint, n bigint, digest binary, alone bigint")
+    return counted.groupBy("seg").applyInArrow(add, "doc_id bigint, text_hash bigint, n bigint, digest binary, alone bigint")
 
 
-def _id_map(ids: DataFrame) -> np.ndarray:
-    """A bit map of fixed size of the hashed ids."""
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
+def _id_map(ids: DataFrame, size: int) -> np.ndarray:
+    """A bit map of the hashed ids."""
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(size))
     words = ids.select(F.floor(h / 64).cast("int").alias("w"), F.pmod(h, F.lit(64)).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v")).toArrow()
-    out = np.zeros(MAP_BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     out[words["w"].to_numpy()] = words["v"].to_numpy()
     return out.view(np.uint64)
 
 
 def _sets_left(docs: DataFrame, left: DataFrame, size: int) -> DataFrame:
     """(rep, digest, n, members) of the classes in ``left``, from a second reading."""
-    bits = docs.sparkSession.sparkContext.broadcast(_id_map(left.select(F.col("rep").alias("doc_id"))))
+    many = map_bits(left.count())
+    bits = docs.sparkSession.sparkContext.broadcast(_id_map(left.select(F.col("rep").alias("doc_id")), many))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +202,7 @@ def _sets_left(docs: DataFrame, left: DataFrame, size: int) -> DataFrame:
                     names=["rep", "digest", "members"],
                 )
 
-    h = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)), F.lit(0)).alias("h")
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(many)).alias("h")
     found = docs.select("doc_id", "text", h).mapInArrow(read, "rep bigint, digest binary, members binary")
     return found.join(left.select("rep", "digest", "n"), ["rep", "digest"]).dropDuplicates(["digest"])
 
@@ -220,8 +223,9 @@ def _prefixes(sets: DataFrame, percent: int, layout: Layout) -> DataFrame:
 
         def segment() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, _META) as w:
-                w.write_batch(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(m) for m in members], pa.int64()), pa.array(digests, pa.binary())], schema=_META))
+            table = pa.table({"doc_id": pa.array(ids, pa.int64()), "n": pa.array([len(m) for m in members], pa.int64()), "digest": pa.array(digests, pa.binary())})
+            with pa.ipc.new_stream(sink, table.schema) as w:
+                w.write_table(table)
             keys = np.concatenate(members)
             order = np.argsort(keys, kind="stable")
             keys = keys[order]
@@ -415,16 +419,18 @@ def _join_block(table: pa.Table, percent: int) -> pa.Table:
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """Per document: n_shingles, component_id and ``n_links``, the links of its class to other classes.
+    """Per document: n_shingles, component_id and ``n_links``, the links of its class to other classes;
+    ``text_hash``, which tells rows that share an id apart, ``set_digest``, the class, and ``leads``, whether
+    the row has the id and the set that stand for its component.
 
     Two sets link when 100 * intersection >= percent * union.
     """
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST))).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("text_hash"), F.col(text).alias("text"))
     layout = layout_for(base)
     surveyed = stored(_survey(base, size, layout), "survey")
     full = surveyed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("alone").alias("alone"))
     classes = stored(full, "classes")
-    left = classes.where((F.col("rep").isNotNull()) & (100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")))
+    left = classes.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
     sets = stored(_sets_left(base, left, size), "sets")
     prefixes = _prefixes(sets, percent, layout)
     blocks = components(prefixes.select(F.col("digest").alias("node"), F.col("token").alias("hub"), F.col("rep").alias("label")), "blocks")
@@ -437,10 +443,16 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, doc_id
         .select("block", "rep", "digest", "members", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
     )
     found = stored(paired.groupBy("block", "i", "j").applyInArrow(lambda t: _join_block(t, percent), "node binary, hub binary, label bigint, links bigint"), "links")
-    joined = components(found.select("node", "hub", "label"), "components")
+    # classes that share their smallest id are told apart by their digests too
+    alike = bool(left.groupBy("rep").count().where("count > 1").limit(1).count())
+    joined = components(found.select("node", "hub", F.struct("label", "node").alias("label") if alike else "label"), "components")
+    leader = [F.col("label.label").alias("component"), F.col("label.node").alias("leader")] if alike else [F.col("label").alias("component"), F.lit(None).cast("binary").alias("leader")]
     counts = found.groupBy("node").agg(F.sum("links").alias("n_links"))
-    linked = stored(joined.join(counts, "node").select(F.col("node").alias("digest"), F.col("label").alias("component"), "n_links"), "linked")
-    of_class = stored(classes.join(linked, "digest", "left").select("digest", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "of-class")
+    linked = stored(joined.join(counts, "node").select(F.col("node").alias("digest"), *leader, "n_links"), "linked")
+    leads = F.when(F.col("component").isNull(), True).when(F.col("leader").isNotNull(), F.col("leader") == F.col("digest")).otherwise(F.col("component") == F.col("rep"))
+    of_class = stored(classes.join(linked, "digest", "left").select("digest", "rep", leads.alias("class_leads"), F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "of-class")
     some, none = surveyed.where("n > 0"), surveyed.where("n = 0")
-    out = some.join(of_class, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    return out.unionByName(none.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
+    out = some.join(of_class, "digest").select("doc_id", "n", "component_id", "n_links", "text_hash", "digest", (F.col("class_leads") & (F.col("doc_id") == F.col("rep"))).alias("leads"))
+    alone = none.select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "text_hash", "digest", F.lit(True).alias("leads"))
+    given = lambda c: F.when(F.col(c) != int(LAST), F.col(c)).alias(c)
+    return out.unionByName(alone).select(given("doc_id"), F.col("n").alias("n_shingles"), given("component_id"), "n_links", "text_hash", F.col("digest").alias("set_digest"), "leads")

@@ -1,7 +1,11 @@
 """Tables that cut lineage, in the folder that driver and executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only a session without
-one (tests, a laptop) gets a temporary folder, set once.
+The folder is the session's ``spark.checkpoint.dir``. Only a local session
+without one (tests, a laptop) gets a temporary folder; on a cluster its lack
+is an error, as no other folder is known to be shared.
+
+A table lives until the process ends, or, if it was made within
+``temporary``, until that block is left.
 """
 
 from __future__ import annotations
@@ -12,60 +16,79 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import cache
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
-#: Application, owner and path of each table.
-_KEPT: list[tuple[str, str, str]] = []
-_OWNER = [""]
+#: The Hadoop path of each table, by its name.
+_MADE: dict[str, tuple] = {}
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
-@contextmanager
-def owned(by: str) -> Iterator[None]:
-    """Tables made inside belong to ``by``, who can release them."""
-    _OWNER.append(by)
-    try:
-        yield
-    finally:
-        _OWNER.pop()
+@cache
+def _own_folder() -> str:
+    own = tempfile.mkdtemp(prefix="mnemoflow-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return f"file://{own}"
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's shared folder, as Spark reads it."""
     where = spark.conf.get("spark.checkpoint.dir", "")
-    if not where:
-        own = tempfile.mkdtemp(prefix="mnemoflow-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        where = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return _own_folder()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own under the shared folder."""
     path = f"{shared_folder(spark)}/mnemoflow/{name}-{uuid.uuid4().hex}"
-    _KEPT.append((spark.sparkContext.applicationId, _OWNER[-1], path))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _MADE[path] = (at.getFileSystem(spark._jsc.hadoopConfiguration()), at)
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(path)
     return path
 
 
+def write(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written once to ``path`` and read again."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read again, so that a lost
     executor costs a re-read and not the whole lineage."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write(df, new_path(df.sparkSession, name))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(conf).delete(at, True)
+def delete(path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    if made := _MADE.pop(path, None):
+        made[0].delete(made[1], True)
 
 
-def release(spark: SparkSession, owner: str) -> None:
-    """Delete the owner's tables of this application, when all results that read them are written."""
-    mine = spark.sparkContext.applicationId
-    for kept in [x for x in _KEPT if x[:2] == (mine, owner)]:
-        _delete(spark, kept[2])
-        _KEPT.remove(kept)
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Tables made inside are deleted at the end: what is needed after it must be written to a path made before."""
+    own: list[str] = []
+    token = _SCOPE.set(own)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for path in own:
+            delete(path)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in list(_MADE):
+        try:
+            delete(path)
+        except (Py4JError, OSError):  # the session's JVM has gone
+            return

@@ -18,8 +18,11 @@ same ranges. ``ingest`` takes a batch:
 3. Words inside repeating windows are removed.
 4. ``compact`` merges runs by size, each range on its own.
 
-Which documents to join is told by a fixed-size bit map, the same size for any
-input; the join is exact, so what the map lets through in error only costs time.
+Which documents to join is told by a bit map of bounded size; the join is
+exact, so what the map lets through in error only costs time.
+
+``deduplicate`` takes a whole table in batches of ascending ids, so that each
+meets the runs of those before.
 
 Defined results: a null text has no words; one of fewer words than a window
 keeps all; windows of equal ids aren't smaller, so a repeated row keeps its
@@ -29,24 +32,26 @@ own; a null id is larger than any other; columns not asked for are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import Words, chunks, window_hashes, words_of
-from .fingerprints import Layout, SegmentNumber, home, layout_for, packed, packed_sorted, split, unpacked, unpacked_sorted
+from .fingerprints import Layout, SegmentNumber, home, layout_for, map_bits, packed, packed_sorted, split, unpacked, unpacked_sorted
 from .scratch import new_path, stored
 
 SIZE = 13
 GRAM = 7
-MAP_BITS = 1 << 26
 #: Runs that an index holds before the smaller ones are merged.
 RUNS = 4
+#: Shares of the ids after which ``deduplicate`` cuts a table into batches.
+CUTS = (0.25, 0.5)
 _LAST = np.iinfo(np.int64).max
 _CHUNK = 1 << 20
 _SENT = "`range` int, seg bigint, keys binary, refs binary, docs binary"
@@ -76,7 +81,7 @@ def new_index(docs: DataFrame, text: str = "text", size: int = SIZE, growth: int
 
 def _base(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(int(_LAST)))
-    return docs.select(key.alias("k"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("h"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(key), F.lit(MAP_BITS)).alias("bit"))
+    return docs.select(key.alias("k"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("h"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
 
 def anchors(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,33 +215,36 @@ def _by_document(rows: DataFrame, name: str) -> DataFrame:
     return stored(rows.groupBy("seg").applyInArrow(_of_documents, "k bigint, h bigint, places binary").dropDuplicates(["k", "h"]), name)
 
 
-def _gathered_map(words: DataFrame) -> np.ndarray:
-    """The bit map of fixed size from rows (w, v) of its 64-bit words."""
+def _gathered_map(words: DataFrame, size: int) -> np.ndarray:
+    """The bit map from rows (w, v) of its 64-bit words."""
     rows = words.groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
-    out = np.zeros(MAP_BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     out[rows["w"].to_numpy()] = rows["v"].to_numpy()
     return out.view(np.uint64)
 
 
-def _map_of_ids(rows: DataFrame) -> np.ndarray:
-    bit = F.pmod(F.xxhash64("k"), F.lit(MAP_BITS))
-    return _gathered_map(rows.select(F.floor(bit / 64).cast("int").alias("w"), F.pmod(bit, F.lit(64)).cast("int").alias("b")).select("w", F.expr("shiftleft(1L, b)").alias("v")))
+def _bit(size: int) -> Column:
+    return F.pmod(F.xxhash64("k"), F.lit(size))
+
+
+def _map_of_ids(rows: DataFrame, size: int) -> np.ndarray:
+    return _gathered_map(rows.select(F.floor(_bit(size) / 64).cast("int").alias("w"), F.pmod(_bit(size), F.lit(64)).cast("int").alias("b")).select("w", F.expr("shiftleft(1L, b)").alias("v")), size)
 
 
-def _map_of_keys(rows: DataFrame) -> np.ndarray:
+def _map_of_keys(rows: DataFrame, size: int) -> np.ndarray:
     """The map of packed fingerprints."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column("keys").to_pylist():
-                bit = _key_bit(unpacked_sorted(x))
+                bit = _key_bit(unpacked_sorted(x), size)
                 yield pa.RecordBatch.from_arrays([pa.array((bit >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (bit & np.uint64(63))).view(np.int64))], names=["w", "v"])
 
-    return _gathered_map(rows.select("keys").mapInArrow(spread, "w int, v bigint"))
+    return _gathered_map(rows.select("keys").mapInArrow(spread, "w int, v bigint"), size)
 
 
-def _key_bit(key: np.ndarray) -> np.ndarray:
-    return key & np.uint64(MAP_BITS - 1)
+def _key_bit(key: np.ndarray, size: int) -> np.ndarray:
+    return key & np.uint64(size - 1)
 
 
 def _in_map(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -351,7 +359,7 @@ def _historical_windows(history: DataFrame, index: Index, bits: np.ndarray, text
         for batch in chunks(batches, most=_CHUNK):
             words = words_of(batch.column("text"))
             grams, windows, own = anchors(words, size)
-            at = windows[_in_map(sent.value, _key_bit(grams[own] >> layout.shift))]
+            at = windows[_in_map(sent.value, _key_bit(grams[own] >> layout.shift, 64 * len(sent.value)))]
             least = np.full(len(words.count), np.iinfo(np.int64).min)
             sender.add(words, at, least, least, size)
             if sender.many > layout.segment_words:
@@ -380,7 +388,9 @@ def ingest(docs: DataFrame, index: Index, history: DataFrame | None = None, doc_
     run = _read(spark, f"{path}/kind=1", rest)
     grown = Index(index.layout, size, [*index.runs, (f"{path}/kind=1", run.agg(F.sum("seg")).first()[0])] if run.head(1) else index.runs)
 
-    bits = spark.sparkContext.broadcast(_map_of_ids(places))
+    many = map_bits(places.count())
+    bits = spark.sparkContext.broadcast(_map_of_ids(places, many))
+    base = base.withColumn("bit", _bit(many))
 
     def with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -417,7 +427,9 @@ def ingest(docs: DataFrame, index: Index, history: DataFrame | None = None, doc_
     affected = stored(base.select("k", "h", "doc_id", "text", "bit").mapInArrow(with_text, "k bigint, h bigint, doc_id bigint, z binary, bytes bigint").join(places, ["k", "h"], "left"), "affected")
     windows = _candidate_windows(affected, index)
     if index.runs:
-        windows = windows.unionByName(_historical_windows(history, index, _map_of_keys(_read(spark, f"{path}/kind=2", rest)), text))
+        matched = _read(spark, f"{path}/kind=2", rest)
+        seen = _map_of_keys(matched, map_bits(matched.agg(F.sum("seg")).first()[0] or 0))
+        windows = windows.unionByName(_historical_windows(history, index, seen, text))
     repeats = _by_document(windows.groupBy("range").applyInArrow(_verify, "seg bigint, keys binary, docs binary"), "repeats").withColumnRenamed("places", "repeats")
     changed = affected.drop("places").join(repeats, ["k", "h"], "left").mapInArrow(cut, out_kind)
     return base.select("doc_id", "text", "bit").mapInArrow(untouched, out_kind).unionByName(changed), grown
@@ -460,6 +472,18 @@ def compact(spark: SparkSession, index: Index, most: int = RUNS) -> Index:
     return Index(index.layout, index.size, [*large, (path, spark.read.parquet(path).agg(F.sum("seg")).first()[0] or 0)])
 
 
-def deduplicate(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """One batch into an empty index."""
-    return ingest(docs, new_index(docs, size=size))[0]
+def deduplicate(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", cuts: Sequence[float] = CUTS) -> DataFrame:
+    """The rows of ``ingest`` of all documents, by batches of ascending ids, those without an id last; after each
+    batch but the last the index is compacted into one run."""
+    spark, key = docs.sparkSession, F.col(doc_id).cast("long")
+    found = docs.agg(F.percentile_approx(key, list(cuts), 1000)).first()[0] if cuts else None
+    ends = sorted(set(found or []))
+    index, out = new_index(docs, size=size), []
+    for k in range(len(ends) + 1):
+        low = F.lit(True) if k == 0 else key >= ends[k - 1] if k < len(ends) else (key >= ends[k - 1]) | key.isNull()
+        batch = docs.where(low & (key < ends[k]) if k < len(ends) else low)
+        kept, index = ingest(batch, index, docs.where(key < ends[k - 1]) if index.runs else None, doc_id)
+        out.append(kept)
+        if k < len(ends):
+            index = compact(spark, index, 1)
+    return reduce(DataFrame.unionByName, out)
