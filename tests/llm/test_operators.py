@@ -102,10 +102,10 @@ def test_query_and_stage_find_edited_passages(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     span, want = 10 + decontaminate.SLOP, {}
     cut = lambda t: WORD.findall((t or "").translate(LOWER))
-    windows = [set(w) for w in windows_of(cut(" ".join(item)), 10)]
+    windows = [Counter(w) for w in windows_of(cut(" ".join(item)), 10)]
     for i, t in enumerate(texts):
         words = cut(t)
-        want[i] = sum(w <= set(words[k : k + span]) for w in windows for k in range(len(words))) > 0
+        want[i] = sum(w <= Counter(words[k : k + span]) for w in windows for k in range(len(words))) > 0
     got = {x.doc_id: x for x in catalog.op1_decontaminate_near(spark, str(tmp_path)).collect()}
     assert {i: x.n_near > 0 for i, x in got.items()} == {i: x.contaminated for i, x in got.items()} == want
     assert want[1] and want[2] and not got[1].n_hit and not got[2].n_hit and len(set(want.values())) == 2
