@@ -51,6 +51,8 @@ class Config:
     capsule_coverage: int = 36
     capsule_top: int = 24
     capsule_pinned: int = 8
+    capsule_reasoning: int = 10
+    capsule_other: int = 8
     snippet_chars: int = 360
     trend: float = 0.005
 

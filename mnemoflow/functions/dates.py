@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: how months are spelt.
 _MONTHS = r"Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
+#: How months begin, in order.
+_SHORT = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 NAMED = rf"\b(?:{_MONTHS})[\s-]+\d{{1,2}},?[\s-]+\d{{4}}\b"
 ISO = r"\b\d{4}-\d{2}-\d{2}\b"
 
@@ -21,11 +23,10 @@ def parse_date(phrase: Column) -> Column:
     """The day; one beyond the month's end runs into the next."""
     part = lambda p, k: F.regexp_extract(phrase, p, k)
     iso, named = r"\b(\d{4})-(\d{2})-(\d{2})\b", r"([A-Za-z]+)[\s-]+(\d{1,2}),?[\s-]+(\d{4})\b"
-    months = F.lit("janfebmaraprmayjunjulaugsepoctnovdec")
-    place = F.instr(months, F.lower(F.substring(part(named, 1), 1, 3)))
+    place = F.array_position(F.array(*map(F.lit, _SHORT)), F.lower(F.substring(part(named, 1), 1, 3)))
     of_iso = F.date_add(F.add_months(F.make_date(part(iso, 1).try_cast("int"), F.lit(1), F.lit(1)), part(iso, 2).try_cast("int") - 1), part(iso, 3).try_cast("int") - 1)
-    of_name = F.date_add(F.make_date(part(named, 3).try_cast("int"), ((place + 2) / 3).cast("int"), F.lit(1)), part(named, 2).try_cast("int") - 1)
-    return F.when(part(iso, 1) != "", of_iso).when((part(named, 3) != "") & (place > 0) & ((place - 1) % 3 == 0), of_name)
+    of_name = F.date_add(F.make_date(part(named, 3).try_cast("int"), place.cast("int"), F.lit(1)), part(named, 2).try_cast("int") - 1)
+    return F.when(part(iso, 1) != "", of_iso).when((part(named, 3) != "") & (place > 0), of_name)
 
 
 def days_between(a: Column, b: Column) -> Column:

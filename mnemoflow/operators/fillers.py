@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import re
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .folds import draws, fnv1a
 
@@ -27,26 +31,35 @@ SWAPS = (
 )
 # What is counted.
 _UNITS = "attempts|seconds|minutes|hours|days|weeks|months|customers|partners|requests|webhooks|engineers|tickets|merchants"
-_COUNT = re.compile(rf"\b(\d+)\s+({_UNITS})\b")
-_DOLLAR = re.compile(r"\$(\d+(?:\.\d+)?)\s*([KkMmBb]?)\b")
-_PERCENT = re.compile(r"\b(\d+(?:\.\d+)?)%")
+# How counts, sums, shares and dates are written; letters and digits are those of ASCII.
+_COUNT = re.compile(rf"\b(\d+)\s+({_UNITS})\b", re.ASCII)
+_DOLLAR = re.compile(r"\$(\d+(?:\.\d+)?)\s*([KkMmBb]?)\b", re.ASCII)
+_PERCENT = re.compile(r"\b(\d+(?:\.\d+)?)%", re.ASCII)
 _MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
-_MONTH_DAY = re.compile(rf"\b({'|'.join(_MONTHS)})\s+(\d{{1,2}})\b")
-_ISO = re.compile(r"\b(\d{4})-(\d{2})-(\d{2})\b")
+_MONTH_DAY = re.compile(rf"\b({'|'.join(_MONTHS)})\s+(\d{{1,2}})\b", re.ASCII)
+_ISO = re.compile(r"\b(202[5-7])-(\d{2})-(\d{2})\b", re.ASCII)
 
 
 def _whole(x: float) -> int:
     return int(x + 0.5)
 
 
-def mutate(content: str, seed: int) -> str:
+def _tenth(x: float) -> str:
+    """To one decimal, exact halves upwards."""
+    return str(Decimal(x).quantize(Decimal("0.1"), ROUND_HALF_UP))
+
+
+def _shift(draw: float) -> dt.timedelta:
+    return dt.timedelta(days=math.floor((draw - 0.5) * 120))
+
+
+def mutate(content: str, stream: Iterator[float]) -> str:
     """One variant: each rule draws from the stream in the order of its matches."""
-    stream = draws(seed)
     draw = lambda: next(stream)
 
     def dollars(m: re.Match) -> str:
         x = float(m[1]) * (0.7 + draw() * 0.6)
-        return f"${x:.1f}{m[2]}" if x < 10 else f"${_whole(x)}{m[2]}"
+        return f"${_tenth(x)}{m[2]}" if x < 10 else f"${_whole(x)}{m[2]}"
 
     def counts(m: re.Match) -> str:
         n = int(m[1])
@@ -55,10 +68,10 @@ def mutate(content: str, seed: int) -> str:
     def percents(m: re.Match) -> str:
         n = float(m[1])
         x = max(0.0, n + (draw() - 0.5) * max(0.5, n * 0.4))
-        return f"{x:.1f}%" if n < 10 else f"{_whole(x)}%"
+        return f"{_tenth(x)}%" if n < 10 else f"{_whole(x)}%"
 
     out = _PERCENT.sub(percents, _COUNT.sub(counts, _DOLLAR.sub(dollars, content)))
-    shift = dt.timedelta(days=int((draw() - 0.5) * 120 // 1))
+    shift = _shift(draw())
 
     def month_day(m: re.Match) -> str:
         day = dt.date(2026, _MONTHS.index(m[1]) + 1, 1) + dt.timedelta(days=int(m[2]) - 1) + shift
@@ -73,7 +86,7 @@ def mutate(content: str, seed: int) -> str:
     out = _ISO.sub(iso, _MONTH_DAY.sub(month_day, out))
     for group in SWAPS:  # one name of each group, the first that stands there
         for name in group:
-            where = re.compile(rf"\b{re.escape(name)}\b")
+            where = re.compile(rf"\b{name}\b", re.ASCII)  # a full stop in a name stands for any character
             if where.search(out):
                 others = [x for x in group if x != name]
                 new = others[int(draw() * len(others))]
@@ -83,16 +96,34 @@ def mutate(content: str, seed: int) -> str:
 
 
 def variants(seeds: DataFrame, factor: int, seed: int, tier: int = 2) -> DataFrame:
-    """``factor`` variants of each seed event, each by a stream of its own id."""
-    schema = "event_id string, shard_id string, token_count long, tier int, changed boolean"
+    """``factor`` variants of each seed event (event_id, shard_id, content, tags, and a timestamp if it has one).
+
+    A stream of each seed's own runs on through its variants, whose dates of their own are shifted last.
+    """
+    schema = "event_id string, shard_id string, content string, token_count long, is_core boolean, tier int, timestamp string, tags array<string>"
 
     def make(frames):
         for rows in frames:
             out = []
-            for event, shard, content in zip(rows["event_id"], rows["shard_id"], rows["content"], strict=True):
-                for k in range(1, factor + 1):
-                    text = mutate(content or "", (fnv1a(f"{event}-{k}") ^ seed) & 0xFFFFFFFF)
-                    out.append((f"f{tier}-{event}-v{k:03d}", shard, -(-len(text) // 4), tier, text != content))
-            yield pd.DataFrame(out, columns=["event_id", "shard_id", "token_count", "tier", "changed"])
-
-    return seeds.select("event_id", "shard_id", "content").mapInPandas(make, schema)
+            for event, shard, content, tags, time in zip(rows["event_id"], rows["shard_id"], rows["content"], rows["tags"], rows["timestamp"], strict=True):
+                stream = draws((fnv1a(event) ^ seed) & 0xFFFFFFFF)
+                name = re.sub(r"^f\d+-", "", event)
+                for k in range(factor):
+                    text = mutate(content or "", stream)
+                    moved = _moved(time, stream) if time else None
+                    out.append((f"f{tier}-{name}-v{k:03d}", shard, text, -(-len(text) // 4), False, tier, moved, tags))
+            yield pd.DataFrame(out, columns=["event_id", "shard_id", "content", "token_count", "is_core", "tier", "timestamp", "tags"])
+
+    time = F.col("timestamp").cast("string") if "timestamp" in seeds.columns else F.lit(None).cast("string")
+    return seeds.select(F.col("event_id").cast("string").alias("event_id"), "shard_id", "content", "tags", time.alias("timestamp")).mapInPandas(make, schema)
+
+
+def _moved(time: str, stream: Iterator[float]) -> str:
+    """The time some days off, in UTC; what isn't one stays, but draws too."""
+    shift = _shift(next(stream))
+    try:
+        at = dt.datetime.fromisoformat(time)
+    except ValueError:
+        return time
+    at = (at if at.tzinfo else at.replace(tzinfo=dt.UTC)).astimezone(dt.UTC) + shift
+    return at.strftime("%Y-%m-%dT%H:%M:%S.") + f"{at.microsecond // 1000:03d}Z"

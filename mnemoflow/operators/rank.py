@@ -34,9 +34,9 @@ def backfill(base: DataFrame, ranked: DataFrame, keys: list[str], k: int) -> Dat
     return base.select(*keys, "event_id", F.col("rank").cast("int").alias("rank"), F.lit("base").alias("via")).unionByName(more)
 
 
-def latest_wins(df: DataFrame, keys: list[str], place: str) -> DataFrame:
-    """Of rows of a key, the one of the largest place."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(place))
+def latest_wins(df: DataFrame, keys: list[str], *place: str) -> DataFrame:
+    """Of rows of a key, the one of the largest place; a null is before all."""
+    w = Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(c) for c in place])
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 

@@ -17,7 +17,7 @@ def directory(corpus: DataFrame) -> DataFrame:
         F.count("*").alias("n_events"),
         F.sum("token_count").alias("tokens"),
         F.sum(F.col("is_core").cast("long")).alias("n_core"),
-        F.array_sort(F.collect_set(F.lower(F.col("tags")[0]))).alias("langs"),
+        F.array_sort(F.collect_set(F.lower(F.get("tags", F.lit(0))))).alias("langs"),
     )
     pct = maths.fullness(F.col("tokens"), F.lit(DEFAULT.context_limit))
     return per.select(
@@ -39,12 +39,31 @@ def _reason(test: Column, *parts: Column | str) -> Column:
     return F.when(test, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
 
 
-def score_entries(questions: DataFrame, entries: DataFrame, ref: Column) -> DataFrame:
-    """Every question against every entry: score and reasons. The directory is a row per shard."""
-    asked = questions.select("query_id", F.array_distinct(text.tokenize_router(F.col("question"))).alias("terms"))
+def _known(entries: DataFrame) -> DataFrame:
     tokens = lambda c: F.array_distinct(text.tokenize_router(F.col(c)))
-    known = entries.select("*", F.transform("tags", F.lower).alias("t"), tokens("description").alias("d"), tokens("name").alias("n"), tokens("summary_short").alias("s"))
-    rows = asked.join(known).select(
+    return entries.select("*", F.transform("tags", F.lower).alias("t"), tokens("description").alias("d"), tokens("name").alias("n"), tokens("summary_short").alias("s"))
+
+
+def _beginnings(words: Column) -> Column:
+    """What two words have in common that match: they are equal, or share their first 4 characters."""
+    return F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 4)))
+
+
+def promising(questions: DataFrame, entries: DataFrame, ref: Column, k: int) -> DataFrame:
+    """(query_id, shard_id) among which each question's first k are: entries that share a word's beginning with it,
+    by an equi-join, and the k that score the most without a match, which all questions share."""
+    asked = questions.select("query_id", F.explode(_beginnings(text.tokenize_router(F.col("question")))).alias("start"))
+    held = _known(entries).select(F.col("id").alias("shard_id"), F.explode(_beginnings(F.flatten(F.array("t", "d", "n", "s")))).alias("start"))
+    idle = score_entries(questions.limit(1).select("query_id", F.lit("").alias("question")), entries, ref).where(_admitted()).orderBy(F.desc("score"), "shard_id").limit(k).select("shard_id")
+    return asked.join(held, "start").select("query_id", "shard_id").unionByName(questions.select("query_id").join(F.broadcast(idle))).distinct()  # k rows
+
+
+def score_entries(questions: DataFrame, entries: DataFrame, ref: Column, pairs: DataFrame | None = None) -> DataFrame:
+    """Score and reasons of each of the ``pairs`` (query_id, shard_id), else of every question and entry."""
+    asked = questions.select("query_id", F.array_distinct(text.tokenize_router(F.col("question"))).alias("terms"))
+    known = _known(entries)
+    both = asked.join(known) if pairs is None else pairs.join(asked, "query_id").join(known, F.col("shard_id") == F.col("id")).drop("shard_id")
+    rows = both.select(
         "*",
         *[text.matched_terms(F.col("terms"), F.col(c)).alias(name) for c, name in (("t", "tag"), ("d", "desc"), ("n", "title"), ("s", "sum"))],
         F.greatest(F.coalesce(dates.recency(F.col("updated_at"), ref, DEFAULT.recency_days), F.lit(0.0)), F.lit(0.0)).alias("recency"),
@@ -73,8 +92,12 @@ def score_entries(questions: DataFrame, entries: DataFrame, ref: Column) -> Data
     return rows.select("query_id", F.col("id").alias("shard_id"), F.col("status"), F.round(score, 6).alias("score"), reasons.alias("reasons"))
 
 
+def _admitted() -> Column:
+    return (F.col("score") > 0) | (F.col("status") == "active")
+
+
 def candidates(questions: DataFrame, entries: DataFrame, ref: Column, k: int = DEFAULT.candidate_shards) -> DataFrame:
-    admitted = score_entries(questions, entries, ref).where((F.col("score") > 0) | (F.col("status") == "active"))
+    admitted = score_entries(questions, entries, ref, promising(questions, entries, ref, k)).where(_admitted())
     return top_k(admitted, ["query_id"], [F.desc("score"), F.asc("shard_id")], k).select("query_id", "shard_id", "score", "rank", "reasons")
 
 
@@ -91,15 +114,20 @@ def term_hits(questions: DataFrame, corpus: DataFrame) -> DataFrame:
     return held.join(asked, "tok").groupBy("query_id", "shard_id", "event_id").agg(F.count("*").alias("hits"))
 
 
-def probes(questions: DataFrame, corpus: DataFrame, entries: DataFrame) -> DataFrame:
-    """What each shard says it knows about each question: a row for every pair."""
+def probes(questions: DataFrame, corpus: DataFrame, entries: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """What shards say they know about questions: a row for each of the ``pairs`` (query_id, shard_id), else for every one."""
     sizes = questions.select("query_id", F.array_distinct(text.tokenize_router(F.col("question"))).alias("terms"))
     found = term_hits(questions, corpus)
+    if pairs is not None:
+        pairs = pairs.select("query_id", "shard_id")
+        found = found.join(pairs, ["query_id", "shard_id"], "left_semi")
     per = found.groupBy("query_id", "shard_id").agg(F.sum("hits").alias("hits"))
     firsts = top_k(found, ["query_id", "shard_id"], [F.asc("event_id")], 6).groupBy("query_id", "shard_id").agg(F.array_sort(F.collect_list("event_id")).alias("relevant"))
     index_hits = F.size(F.filter("tags", lambda t: F.array_contains(F.col("terms"), F.lower(t))))
     summary = F.array_distinct(text.tokenize_router(F.col("summary_short")))
-    rows = sizes.join(entries.select(F.col("id").alias("shard_id"), "tags", "summary_short", "n_events")).join(per, ["query_id", "shard_id"], "left").join(firsts, ["query_id", "shard_id"], "left")
+    known = entries.select(F.col("id").alias("shard_id"), "tags", "summary_short", "n_events")
+    both = sizes.join(known) if pairs is None else pairs.join(sizes, "query_id").join(known, "shard_id")
+    rows = both.join(per, ["query_id", "shard_id"], "left").join(firsts, ["query_id", "shard_id"], "left")
     signal = F.coalesce("hits", F.lit(0)) + index_hits * 2 + F.size(F.array_intersect("terms", summary))
     raw = F.greatest(F.lit(0.0), F.least(F.lit(1.0), signal / F.greatest(F.lit(1.0), F.size("terms") + F.col("n_events") / 3)))
     knows = F.col("signal") > 0
@@ -112,7 +140,7 @@ def probes(questions: DataFrame, corpus: DataFrame, entries: DataFrame) -> DataF
         F.when(~knows, "none").when(c >= 0.5, "direct").when(c >= 0.2, "adjacent").otherwise("vague").alias("memory_type"),
         F.when(~knows, "none").when(c >= 0.6, "high").when(c >= 0.3, "medium").otherwise("low").alias("answer_value"),
         (knows & (c >= 0.25)).alias("needs_recall"),
-        F.coalesce("relevant", F.array().cast("array<bigint>")).alias("relevant"),
+        F.coalesce("relevant", F.array().cast(f"array<{corpus.schema['event_id'].dataType.simpleString()}>")).alias("relevant"),
     )
 
 
@@ -163,12 +191,15 @@ def recalls(questions: DataFrame, corpus: DataFrame, targets: DataFrame) -> Data
     )
 
 
-def _packed_lines(rows: DataFrame, keys: list[str], order: list[Column], cost: Column, budget: int, more: str) -> DataFrame:
-    """Lines in order while they fit, joined, and one that tells how many were left out."""
-    w = Window.partitionBy(*keys)
-    placed = rows.withColumn("__n", F.row_number().over(w.orderBy(*order))).withColumn("__cum", F.sum(cost).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("__all", F.count("*").over(w))
+def _packed_lines(rows: DataFrame, sizes: DataFrame, order: list[Column], cost: Column, least: int, budget: int, more: str) -> DataFrame:
+    """Lines in order while they fit, joined, and one that tells how many were left out. No line costs less than
+    ``least``, so that only the first few of a pair can fit; ``sizes``: (shard_id, n_events)."""
+    keys = ["query_id", "shard_id"]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    first = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= budget // least)
+    placed = first.withColumn("__cum", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     kept = F.sort_array(F.collect_list(F.when(F.col("__cum") <= budget, F.struct("__n", "line"))))
-    out = placed.groupBy(*keys).agg(F.max("__all").alias("n_events"), kept.alias("kept"))
+    out = placed.groupBy(*keys).agg(kept.alias("kept")).join(sizes, "shard_id")
     left = F.col("n_events") - F.size("kept")
     lines = F.concat(F.col("kept.line"), F.when(left > 0, F.array(F.concat(F.lit("- (… "), left.cast("string"), F.lit(more)))).otherwise(F.array().cast("array<string>")))
     return out.select(*keys, F.size("kept").cast("long").alias("n_kept"), "n_events", F.array_join(lines, "\n").alias("digest"))
@@ -177,19 +208,23 @@ def _packed_lines(rows: DataFrame, keys: list[str], order: list[Column], cost: C
 def probe_index(questions: DataFrame, corpus: DataFrame, pairs: DataFrame, budget: int = DEFAULT.probe_index_chars) -> DataFrame:
     """Per question and shard, the shard's events by relevance, as short lines within a budget of characters."""
     terms = questions.select("query_id", F.array_distinct(text.tokenize_router(F.col("question"))).alias("terms"))
-    rows = pairs.select("query_id", "shard_id").join(terms, "query_id").join(corpus.select("shard_id", "event_id", "content", "tags"), "shard_id")
     head = F.substring(F.regexp_replace("content", r"\s+", " "), 1, DEFAULT.probe_head_chars)
     line = F.concat(F.lit("- ["), F.col("event_id").cast("string"), F.lit("]"), F.when(F.size("tags") > 0, F.concat(F.lit(" tags=["), F.array_join("tags", ","), F.lit("]"))).otherwise(""), F.lit(' "'), head, F.when(F.length("content") > DEFAULT.probe_head_chars, "…").otherwise(""), F.lit('"'))
-    scored = rows.select("query_id", "shard_id", "event_id", text.relevance_score(F.col("tags"), F.col("content"), F.col("terms")).alias("score"), line.alias("line"))
-    return _packed_lines(scored, ["query_id", "shard_id"], [F.desc("score"), F.asc("event_id")], F.length("line"), budget, " more events truncated)")
+    # what the score and the line need of a text, not the text, goes through the join
+    held = corpus.select("shard_id", "event_id", "tags", F.substring("content", 1, 200).alias("content"), line.alias("line"))
+    rows = pairs.select("query_id", "shard_id").join(terms, "query_id").join(held, "shard_id")
+    scored = rows.select("query_id", "shard_id", "event_id", text.relevance_score(F.col("tags"), F.col("content"), F.col("terms")).alias("score"), "line")
+    sizes = corpus.groupBy("shard_id").agg(F.count("*").alias("n_events"))
+    return _packed_lines(scored, sizes, [F.desc("score"), F.asc("event_id")], F.length("line"), 7, budget, " more events truncated)")
 
 
 def recall_digest(corpus: DataFrame, targets: DataFrame, budget: int = DEFAULT.recall_tokens) -> DataFrame:
     """Per question and shard, hinted events first, as lines within a budget of tokens."""
-    rows = targets.select("query_id", "shard_id", "relevant").join(corpus.select("shard_id", "event_id", "content", "tags"), "shard_id")
     line = F.concat(F.lit("- ["), F.col("event_id").cast("string"), F.lit("] (user) "), text.truncate(F.col("content"), DEFAULT.recall_body_chars), F.when(F.size("tags") > 0, F.concat(F.lit("  tags=["), F.array_join("tags", ","), F.lit("]"))).otherwise(""))
-    lined = rows.select("query_id", "shard_id", "event_id", (~F.array_contains("relevant", F.col("event_id"))).alias("late"), line.alias("line"))
-    return _packed_lines(lined, ["query_id", "shard_id"], [F.asc("late"), F.asc("event_id")], text.estimate_tokens(F.col("line")), budget, " more events truncated to fit budget)")
+    rows = targets.select("query_id", "shard_id", "relevant").join(corpus.select("shard_id", "event_id", line.alias("line")), "shard_id")
+    lined = rows.select("query_id", "shard_id", "event_id", (~F.array_contains("relevant", F.col("event_id"))).alias("late"), "line")
+    sizes = corpus.groupBy("shard_id").agg(F.count("*").alias("n_events"))
+    return _packed_lines(lined, sizes, [F.asc("late"), F.asc("event_id")], text.estimate_tokens(F.col("line")), 3, budget, " more events truncated to fit budget)")
 
 
 def packets(questions: DataFrame, recalled: DataFrame) -> DataFrame:

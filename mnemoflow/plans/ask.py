@@ -6,19 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import folds, router
+from ..sources.store import MemoryStore
 
 
 def ask(questions: DataFrame, corpus: DataFrame, ref: Column) -> DataFrame:
-    """(query_id, n_routed, n_recalls, summary, context, mutated): route, probe, recall, then one packet per question.
+    """(query_id, n_routed, n_recalls, summary, context): route, probe, recall, then one packet per question.
 
     Questions with two recalls or more are merged; the others need no merging.
     """
     entries = router.directory(corpus)
     routed = router.candidates(questions, entries, ref)
-    targets = router.recall_targets(router.probes(questions, corpus, entries), routed)
+    targets = router.recall_targets(router.probes(questions, corpus, entries, routed), routed)
     recalled = router.recalls(questions, corpus, targets)
     counts = questions.select("query_id").join(routed.groupBy("query_id").agg(F.count("*").alias("n_routed")), "query_id", "left").join(recalled.groupBy("query_id").agg(F.count("*").alias("n_recalls")), "query_id", "left")
     many = recalled.join(counts.where("n_recalls > 1").select("query_id"), "query_id", "left_semi")
     single = router.packets(questions, recalled).select("query_id", "summary", "context")
     packets = single.unionByName(folds.synthesize(many).select("query_id", "summary", "context"))
-    return counts.join(packets, "query_id").select("query_id", F.coalesce("n_routed", F.lit(0)).alias("n_routed"), F.coalesce("n_recalls", F.lit(0)).alias("n_recalls"), "summary", "context", F.lit(False).alias("mutated"))
+    return counts.join(packets, "query_id").select("query_id", F.coalesce("n_routed", F.lit(0)).alias("n_routed"), F.coalesce("n_recalls", F.lit(0)).alias("n_recalls"), "summary", "context")
+
+
+def ask_stored(store: MemoryStore, questions: DataFrame, ref: Column) -> DataFrame:
+    """``ask`` over the store's latest snapshots. The answers go to the run log, beside whether anything else of the store is another than before."""
+    before = store.fingerprint()
+    answered = ask(questions, store.events(), ref).cache()
+    answered.count()
+    after = store.fingerprint()
+    changed = before != after
+    run = answered.withColumn("mutated", F.lit(changed)).withColumn("asked_at", ref)
+    store.append("query_runs", run)
+    answered.unpersist()
+    return store.spark.read.parquet(store.path("query_runs")).join(questions.select("query_id"), "query_id", "left_semi").where(F.col("asked_at") == ref)

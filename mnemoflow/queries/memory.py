@@ -122,7 +122,7 @@ SQL["probe_mock"] = f"WITH {_PROBED} SELECT query_id, shard_id, knows, confidenc
 
 def _targets(spark, sf):
     corpus, questions, entries, routed = _pipeline(spark, sf)
-    return corpus, questions, router.recall_targets(router.probes(questions, corpus, entries), routed)
+    return corpus, questions, router.recall_targets(router.probes(questions, corpus, entries, routed), routed)
 
 
 _TARGETS = f"""{_PROBED}, seen AS (SELECT p.*, r.rank AS route, round(confidence * 0.6 + CASE answer_value WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.6 WHEN 'low' THEN 0.3 ELSE 0 END * 0.25

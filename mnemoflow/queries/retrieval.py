@@ -135,7 +135,7 @@ SQL["last_per_shard"] = f"{_FUSE} SELECT query_id, source AS shard_id, arg_max(e
 
 @query
 def rerank_fallback(spark, sf):
-    return retrieval.rerank_pool(retrieval.bm25(views.events(spark, sf), views.questions(spark, sf)), 5, True).select("query_id", "event_id", "rank", "rerank_score")
+    return retrieval.rerank_pool(retrieval.bm25(views.events(spark, sf), views.questions(spark, sf)), 5).select("query_id", "event_id", "rank", "rerank_score")
 
 
 SQL["rerank_fallback"] = f"WITH {sql.BM25} SELECT query_id, event_id, rank, 0.0::DOUBLE AS rerank_score FROM bm25 WHERE rank <= 5"
@@ -187,11 +187,13 @@ def shard_expansion(spark, sf):
 
 @query
 def longctx_pack(spark, sf):
-    """Each shard's events in a seeded order, packed to the budget."""
-    events = views.events(spark, sf)
-    order = folds.shuffled_order(events, 0x6C6F6E67)
-    lines = order.join(events.select("event_id", text.estimate_tokens(retrieval.context_line(F.col("event_id"), F.col("content"))).alias("tokens")), "event_id")
-    return rank.prefix_pack(lines, ["shard_id"], [F.asc("ordinal")], F.col("tokens"), 8000 - DEFAULT.scaffolding_tokens)
+    """The events of the sampled slice of each size in a seeded order, packed to the budget."""
+    c = views.corpus(spark, sf)
+    core = c.where("is_core").agg(F.sum("token_count")).first()[0] or 0
+    slices = folds.sample_corpus(c, DEFAULT.seed, [core + 10_000, core + 100_000]).where("event_id IS NOT NULL")
+    order = folds.shuffled_order(slices.withColumn("target", F.col("target").cast("string")), 0x6C6F6E67, "target")
+    lines = order.join(c.select("event_id", text.estimate_tokens(retrieval.context_line(F.col("event_id"), F.col("content"))).alias("tokens")), "event_id")
+    return rank.prefix_pack(lines, ["target"], [F.asc("ordinal")], F.col("tokens"), 8000 - DEFAULT.scaffolding_tokens)
 
 
 @query
@@ -211,4 +213,5 @@ def filler_variants(spark, sf):
     """Variants of core events whose numbers are jittered by a stream of their own."""
     from ..operators.fillers import variants
 
-    return variants(views.corpus(spark, sf).where("is_core"), 2, DEFAULT.seed)
+    made = variants(views.corpus(spark, sf).where("is_core"), 2, DEFAULT.seed)
+    return made.select("event_id", "shard_id", F.md5("content").alias("content"), "token_count", "tier", F.array_join("tags", ",").alias("tags"))

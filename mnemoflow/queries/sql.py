@@ -9,7 +9,7 @@ CORPUS = """corpus AS (
     coalesce(l.quality = 1, FALSE) AS is_core,
     CAST(CASE WHEN coalesce(l.quality = 1, FALSE) THEN 0 ELSE 1 + d.doc_id % 4 END AS INTEGER) AS tier, [lang, source] AS tags
   FROM documents d LEFT JOIN labels l USING (doc_id))"""
-QUESTIONS = "questions AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:12], ' ') AS question FROM benchmark)"
+QUESTIONS = "questions AS (SELECT item_id AS query_id, text AS question FROM benchmark)"
 _DAY = "CAST(DATE '2024-01-01' + CAST((conv_id * 3 + turn) % 700 AS INTEGER) AS DATE)"
 TURNS = f"""turns AS (
   SELECT 'conv-' || conv_id || '#turn-' || turn AS event_id, conv_id AS shard_id, turn, role,

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..operators.rank import latest_wins, upsert
 
@@ -18,6 +19,12 @@ chosenAnswer STRING, correctAnswer STRING, citedEventIds ARRAY<STRING>, relevant
 citationRecall DOUBLE, citationF1 DOUBLE, inputTokens BIGINT, outputTokens BIGINT, latencyMs BIGINT, meta STRING, timestampIso STRING, error STRING"""
 QUERY = """kind STRING, id STRING, question STRING, options ARRAY<STRING>, correctOption INT, correctAnswer STRING, alternativeAnswers ARRAY<STRING>,
 relevantEventIds ARRAY<STRING>, category STRING, shardHints ARRAY<STRING>"""
+MANIFEST = """shardId STRING, name STRING, description STRING, tags ARRAY<STRING>, status STRING, latestSnapshotId STRING, snapshotIds ARRAY<STRING>,
+nEvents BIGINT, tokens BIGINT, createdAt TIMESTAMP, updatedAt TIMESTAMP"""
+ENTRY = """id STRING, name STRING, description STRING, tags ARRAY<STRING>, status STRING, snapshotId STRING, tokens BIGINT, fullnessPct DOUBLE,
+summaryShort STRING, createdAt TIMESTAMP, updatedAt TIMESTAMP"""
+STORED_EVENT = "shardId STRING, snapshotId STRING, eventId STRING, role STRING, content STRING, importance DOUBLE, tags ARRAY<STRING>, createdAt TIMESTAMP"
+CHRONICLE = "type STRING, createdAt TIMESTAMP, targetShardId STRING, oldSnapshotId STRING, newSnapshotId STRING, reason STRING, actor STRING"
 HAYSTACK = "input STRING, target STRING, question STRING, supporting_facts ARRAY<INT>, supporting_lines ARRAY<INT>"
 
 
@@ -48,16 +55,38 @@ def read_queries(spark: SparkSession, path: str, ids: list[str] | None = None) -
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Result cells; malformed lines are left out, and of a cell's rows the last written wins."""
-    rows = read_json(spark, path, CELL, strict=False).withColumn("__line", F.monotonically_increasing_id())
-    return latest_wins(rows, ["system", "modelContext", "corpusSize", "trial", "queryId"], "__line").drop("__line")
+    """Result cells; malformed lines are left out, and of a cell's rows the last written wins: by its own time, then that of its file, then its place there."""
+    rows = _placed(read_json(spark, path, CELL, strict=False))
+    return latest_wins(rows, ["system", "modelContext", "corpusSize", "trial", "queryId"], "timestampIso", "__time", "__file", "__from", "__line").drop("__time", "__file", "__from", "__line")
 
 
-def read_haystack(spark: SparkSession, path: str, task: str, sentences: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(events, queries): each row of a long-context set is a shard of its own whose sentences are events. JSON lines or Parquet."""
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows of files with the file's time and name, where the part that holds them starts, and their order within that part."""
+    if not rows.inputFiles():
+        return rows.select("*", F.lit(None).cast("timestamp").alias("__time"), F.lit("").alias("__file"), F.lit(0).alias("__from"), F.lit(0).alias("__line"))
+    place = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_modification_time", "__time"), ("file_path", "__file"), ("file_block_start", "__from"))]
+    return rows.select("*", *place, F.monotonically_increasing_id().alias("__line"))
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of files counted from 0, file by file by name, whatever way Spark deals the files to tasks."""
+    placed, part = _placed(rows), ["__file", "__from"]
+    sizes = placed.groupBy(*part).agg(F.count("*").alias("__n"))  # a row per part of a file
+    before = sizes.select(*part, F.coalesce(F.sum("__n").over(Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(*part).orderBy("__line")) - 1
+    return placed.withColumn("__own", own).join(before, part).withColumn(name, F.col("__before") + F.col("__own")).drop(*part, "__time", "__line", "__own", "__before")
+
+
+def read_haystack(spark: SparkSession, path: str, task: str, sentences: Column | None = None, sample: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, queries): each row of a long-context set is a shard of its own whose sentences are events. JSON lines or Parquet.
+
+    ``sample``: the first so many rows, if not all.
+    """
     from ..functions.text import estimate_tokens, split_sentences
 
-    rows = (spark.read.parquet(path) if path.endswith(".parquet") else read_json(spark, path, HAYSTACK)).withColumn("idx", F.monotonically_increasing_id())
+    rows = numbered(spark.read.parquet(path) if path.endswith(".parquet") else read_json(spark, path, HAYSTACK), "idx")
+    if sample is not None:
+        rows = rows.where(F.col("idx") < sample)
     shard = F.concat(F.lit(f"{task}-"), F.col("idx").cast("string"))
     body = split_sentences(F.col("input")) if sentences is None else sentences
     events = rows.select(shard.alias("shard_id"), F.posexplode(body).alias("place", "content")).select(
@@ -104,7 +133,7 @@ def build_corpus(core: DataFrame, fillers: list[DataFrame]) -> DataFrame:
 class MemoryStore:
     """Tables under one folder. Logs are only appended to; a snapshot is written once."""
 
-    LOGS = ("chronicle", "query_runs", "results", "telemetry")
+    LOGS = ("chronicle", "query_runs", "results", "telemetry", "events")
     KEYED = {"directory": "id", "manifests": "shardId", "cache": "key", "embeddings": "text_sha"}
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -156,6 +185,35 @@ class MemoryStore:
         found = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(at)
         return sorted(s.getPath().getName().partition("=")[2] for s in found if s.isDirectory())
 
+    def shard_ids(self) -> list[str]:
+        return sorted(r.shardId for r in self.read("manifests", MANIFEST).select("shardId").collect())
+
+    def events(self, shard_id: str | None = None, snapshot_id: str | None = None) -> DataFrame:
+        """The events of each shard's latest snapshot, or of one snapshot of a shard, as a corpus. A snapshot holds what
+        was written up to it, so rows are stored once and a later commit changes no earlier snapshot."""
+        rows = self.read("events", STORED_EVENT)
+        if shard_id is not None:
+            rows = rows.where(F.col("shardId") == shard_id)
+        if snapshot_id is not None:
+            rows = rows.where(F.col("snapshotId") <= snapshot_id)
+        head = F.concat("shardId", F.lit(":"), "eventId")
+        return rows.select(head.alias("event_id"), F.col("shardId").alias("shard_id"), "content", F.ceil(F.length("content") / 4).cast("long").alias("token_count"), F.col("importance").between(0.8, 1).alias("is_core"), "tags")
+
+    def fingerprint(self) -> dict[str, tuple[int, int]]:
+        """Of each table but the run log, its rows and an order-free checksum of them."""
+        out = {}
+        for table in (*self.LOGS, *self.KEYED):
+            if table != "query_runs" and exists(self.spark, self.path(table)):
+                rows = self.spark.read.parquet(self.path(self._current(table)))
+                n, own = rows.agg(F.count("*"), F.bit_xor(F.xxhash64(*rows.columns))).first()
+                out[table] = (n, own or 0)
+        return out
+
+    def cache_stats(self) -> tuple[int, int]:
+        """Kept responses and the bytes of them."""
+        row = self.read("cache", "key STRING, response STRING").agg(F.count("*"), F.coalesce(F.sum(F.octet_length("response")), F.lit(0))).first()
+        return row[0], row[1]
+
     def cached(self, requests: DataFrame, answer, kind: str = "key STRING, response STRING") -> DataFrame:
         """Each request (key, prompt) with its kept response, else the one that ``answer`` makes of the missing; answers under 5 characters aren't kept."""
         kept = self.read("cache", kind)

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import datetime as dt
+import math
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -186,9 +189,25 @@ def test_dated_pair(spark):
 
 def test_fillers_are_deterministic_and_change_numbers():
     seed = "We paid $40K for 12 engineers, 30% up since Jan 3 and 2024-02-01, on Stripe v1 with P0."
-    once = fillers.mutate(seed, 5)
-    assert once == fillers.mutate(seed, 5) and once != seed and "Stripe" not in once
-    assert fillers.mutate("plain words", 5) == "plain words"
+    once = fillers.mutate(seed, folds.draws(5))
+    assert once == fillers.mutate(seed, folds.draws(5)) and once != seed and "Stripe" not in once
+    assert fillers.mutate("plain words", folds.draws(5)) == "plain words"
+    assert "2024-02-01" in once and fillers.mutate("on 2026-02-01", folds.draws(5)) != "on 2026-02-01"  # years that fillers move
+
+
+def test_variants_share_the_stream_of_their_seed(spark):
+    text = "We paid $40K on 2026-03-01"
+    rows = [("f2-a7", "s", text, ["t"], "2026-01-05T10:00:00Z"), ("b", "s", text, ["t"], None)]
+    seeds = spark.createDataFrame(rows, "event_id string, shard_id string, content string, tags array<string>, timestamp string")
+    got = {r.event_id: r for r in fillers.variants(seeds, 2, 42, 3).collect()}
+    assert sorted(got) == ["f3-a7-v000", "f3-a7-v001", "f3-b-v000", "f3-b-v001"]
+    stream = folds.draws(folds.fnv1a("f2-a7") ^ 42)
+    for k in range(2):
+        r = got[f"f3-a7-v00{k}"]
+        assert r.content == fillers.mutate(text, stream) and r.tags == ["t"] and not r.is_core
+        shift = math.floor((next(stream) - 0.5) * 120)
+        assert r.timestamp == (dt.datetime(2026, 1, 5, 10) + dt.timedelta(days=shift)).strftime("%Y-%m-%dT%H:%M:%S.000Z")
+    assert got["f3-b-v000"].timestamp is None
 
 
 def plain_interval(ys, rounds, seed=42):

@@ -144,3 +144,76 @@ def test_plugged_retrievers(spark, sf):
         got = r.retrieve(questions, corpus)
         assert {"query_id", "event_id", "score", "rank"} <= set(got.columns)
         assert got.groupBy("query_id").agg(F.max("rank").alias("m")).where("m > 10").count() == 0
+
+
+def test_results_and_haystacks_do_not_depend_on_file_sizes(spark, tmp_path):
+    """A large newer file and a small older one: the newer row wins; rows are counted by file and place."""
+    import os
+
+    cell = {"system": "a", "modelContext": 1, "corpusSize": 1, "trial": 0, "queryId": "q"}
+    old, new = tmp_path / "r" / "part-b.json", tmp_path / "r" / "part-a.json"
+    old.parent.mkdir()
+    old.write_text(json.dumps(cell | {"correct": False}) + "\n")
+    os.utime(old, (1_700_000_000, 1_700_000_000))
+    new.write_text("".join(json.dumps(cell | {"queryId": f"q{k}", "correct": False}) + "\n" for k in range(3000)) + json.dumps(cell | {"correct": True}) + "\n")
+    got = {r.queryId: r.correct for r in store.read_results(spark, str(tmp_path / "r")).collect()}
+    assert got["q"] is True and len(got) == 3001
+    old.write_text(json.dumps(cell | {"correct": False, "timestampIso": "2024-01-02"}) + "\n" + json.dumps(cell | {"correct": True, "timestampIso": "2024-01-01"}) + "\n")
+    os.utime(old, (1_700_000_000, 1_700_000_000))
+    assert {r.queryId: r.correct for r in store.read_results(spark, str(tmp_path / "r")).collect()}["q"] is False  # its own time comes first
+    folder = tmp_path / "h"
+    folder.mkdir()
+    for name, n in (("b", 1), ("a", 500), ("c", 2)):
+        (folder / f"{name}.json").write_text("".join(json.dumps({"input": f"{name} {k}.", "target": "t", "question": "q"}) + "\n" for k in range(n)))
+    events, queries = store.read_haystack(spark, str(folder), "1")
+    assert sorted(int(r.query_id[3:]) for r in queries.collect()) == list(range(503))
+    assert events.where("shard_id = '1-500'").first().content == "b 0."
+    assert store.read_haystack(spark, str(folder), "1", sample=7)[1].count() == 7
+
+
+def test_commits_write_and_reads_do_not(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from mnemoflow.plans import ask, commit
+
+    s = store.MemoryStore(spark, str(tmp_path / "store"))
+    now = F.lit("2024-02-01").cast("timestamp")
+    shards = spark.createDataFrame([("a", "Alpha", "of a", ["x"], "sum"), ("b", "Beta", "of b", ["y"], "sum")], "id string, name string, description string, tags array<string>, summary string")
+    commit.create_shards(s, shards, now)
+    assert s.shard_ids() == ["a", "b"]
+    with pytest.raises(ValueError, match="a"):
+        commit.create_shards(s, shards.where("id = 'a'"), now)
+    kind = "decision_id long, action string, target string, content string, tags array<string>, confidence double, reason string, ordinal int"
+    rows = [
+        (1, "write", "a", "the launch is in March", ["Plan", "x"], 0.9, "r1", 2), (2, "update", "a", "the launch moved", None, 0.4, "r2", 1), (3, "write", "gone", "c", None, 0.5, "r", 3),
+        (4, "no_op", None, None, None, None, "r", 4), (5, "freeze", "b", None, None, None, "r5", 5), (6, "split", "a", None, None, None, "r", 6), (7, "write", None, "c", None, 0.5, "r", 7),
+    ]
+    out = {r.decision_id: r.outcome for r in commit.commit(s, spark.createDataFrame(rows, kind), now).collect()}
+    assert out == {1: "written", 2: "written", 3: "unknown_target", 4: "unchanged", 5: "frozen", 6: "not_applied", 7: "unknown_target"}
+    again = {r.decision_id: r.outcome for r in commit.commit(s, spark.createDataFrame([(8, "write", "b", "c", None, 0.5, "r", 1), (9, "write", "a", "third", None, 0.5, "r", 1)], kind), now).collect()}
+    assert again == {8: "rejected", 9: "written"}
+    manifests = {r.shardId: r for r in s.read("manifests", store.MANIFEST).collect()}
+    assert manifests["a"].latestSnapshotId == "S004" and manifests["a"].snapshotIds == ["S001", "S002", "S003", "S004"] and manifests["a"].nEvents == 3
+    assert manifests["a"].tags == ["x", "plan"] and manifests["b"].status == "frozen"
+    entry = {r.id: r for r in s.read("directory", store.ENTRY).collect()}
+    assert entry["a"].snapshotId == "S004" and entry["a"].tokens == manifests["a"].tokens > 0 and entry["b"].status == "frozen"
+    events = {r.eventId: r for r in s.read("events", store.STORED_EVENT).collect()}
+    assert [events[e].content for e in ("e_0001", "e_0002", "e_0003")] == ["the launch moved", "the launch is in March", "third"]
+    assert events["e_0002"].importance == 0.9 and events["e_0002"].role == "commit_note"
+    assert s.events("a", "S002").count() == 1 and s.events("a").count() == 3
+    traces = sorted((r.type, r.targetShardId, r.oldSnapshotId or "", r.newSnapshotId) for r in s.read("chronicle", store.CHRONICLE).collect())
+    assert traces == [("commit_update", "a", "S001", "S002"), ("commit_write", "a", "S002", "S003"), ("commit_write", "a", "S003", "S004"), ("shard_created", "a", "", "S001"), ("shard_created", "b", "", "S001"), ("shard_frozen", "b", "S001", "S001")]
+
+    before = s.fingerprint()
+    questions = spark.createDataFrame([(1, "when is the launch"), (2, "nothing known here")], "query_id long, question string")
+    run = ask.ask_stored(s, questions, now).collect()
+    assert len(run) == 2 and not any(r.mutated for r in run) and s.fingerprint() == before
+    commit.commit(s, spark.createDataFrame([(10, "write", "a", "fourth", None, 0.5, "r", 1)], kind), now)
+    assert s.fingerprint() != before
+
+
+def test_cache_counts_what_it_keeps(spark, tmp_path):
+    s = store.MemoryStore(spark, str(tmp_path))
+    assert s.cache_stats() == (0, 0)
+    s.put("cache", spark.createDataFrame([("k1", "abcde"), ("k2", "fünf!")], "key string, response string"))
+    assert s.cache_stats() == (2, 11)
