@@ -75,8 +75,8 @@ def layout_for(docs: DataFrame, text: str = "text", growth: int = 1) -> Layout:
     return Layout(ranges, max(SEGMENT_WORDS, ROW * ranges), min(64, max(40, total.bit_length() + 16)))
 
 
-#: Bits of a map for each thing in it, and the least and most that a map has (128 MB, the bound of its broadcast).
-MAP_SHARE, LEAST_MAP, MOST_MAP = 16, 1 << 22, 1 << 30
+#: Bits of a map for each thing in it, and the least and most that a map has (8 and 64 MB, the bound of its broadcast).
+MAP_SHARE, LEAST_MAP, MOST_MAP = 64, 1 << 26, 1 << 29
 
 
 def map_bits(things: int) -> int:

@@ -46,7 +46,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own under the shared folder."""
-    path = f"{shared_folder(spark)}/mnemoflow/{name}-{uuid.uuid4().hex}"
+    return _known(spark, f"{shared_folder(spark)}/mnemoflow/{name}-{uuid.uuid4().hex}")
+
+
+def part(spark: SparkSession, path: str, name: str) -> str:
+    """A folder of a table, which can be deleted before it."""
+    return _known(spark, f"{path}/{name}")
+
+
+def _known(spark: SparkSession, path: str) -> str:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     _MADE[path] = (at.getFileSystem(spark._jsc.hadoopConfiguration()), at)
     if (scope := _SCOPE.get()) is not None:

@@ -44,14 +44,14 @@ from pyspark.sql import types as T
 
 from .batches import Words, chunks, window_hashes, words_of
 from .fingerprints import Layout, SegmentNumber, home, layout_for, map_bits, packed, packed_sorted, split, unpacked, unpacked_sorted
-from .scratch import new_path, stored
+from .scratch import delete, new_path, part, stored, write
 
 SIZE = 13
 GRAM = 7
 #: Runs that an index holds before the smaller ones are merged.
 RUNS = 4
 #: Shares of the ids after which ``deduplicate`` cuts a table into batches.
-CUTS = (0.25, 0.5)
+CUTS = (0.5,)
 _LAST = np.iinfo(np.int64).max
 _CHUNK = 1 << 20
 _SENT = "`range` int, seg bigint, keys binary, refs binary, docs binary"
@@ -210,9 +210,9 @@ def _of_documents(table: pa.Table) -> pa.Table:
     return pa.table({"k": pa.array(k[some]), "h": pa.array(h[some]), "places": pa.array([packed_sorted((p - starts[d]).astype(np.uint64)) for d, p in zip(some, parts, strict=True)], _BINARY)})
 
 
-def _by_document(rows: DataFrame, name: str) -> DataFrame:
+def _by_document(rows: DataFrame, path: str) -> DataFrame:
     """(k, h, places), one row for rows that repeat."""
-    return stored(rows.groupBy("seg").applyInArrow(_of_documents, "k bigint, h bigint, places binary").dropDuplicates(["k", "h"]), name)
+    return write(rows.groupBy("seg").applyInArrow(_of_documents, "k bigint, h bigint, places binary").dropDuplicates(["k", "h"]), path)
 
 
 def _gathered_map(words: DataFrame, size: int) -> np.ndarray:
@@ -384,9 +384,12 @@ def ingest(docs: DataFrame, index: Index, history: DataFrame | None = None, doc_
     sent, runs = _send(base, index), index.read(spark)
     sent.groupBy("range").cogroup(runs.groupBy("range")).applyInArrow(_merge, _MERGED).write.partitionBy("kind").option("compression", "zstd").parquet(path)
     rest = T.StructType.fromDDL(_MERGED.removeprefix("kind int, "))
-    places = _by_document(_read(spark, f"{path}/kind=0", rest), "places")
-    run = _read(spark, f"{path}/kind=1", rest)
-    grown = Index(index.layout, size, [*index.runs, (f"{path}/kind=1", run.agg(F.sum("seg")).first()[0])] if run.head(1) else index.runs)
+    found, added, met = (part(spark, path, f"kind={k}") for k in range(3))
+    at = new_path(spark, "places")
+    places = _by_document(_read(spark, found, rest), at)
+    delete(found)
+    run = _read(spark, added, rest)
+    grown = Index(index.layout, size, [*index.runs, (added, run.agg(F.sum("seg")).first()[0])] if run.head(1) else index.runs)
 
     many = map_bits(places.count())
     bits = spark.sparkContext.broadcast(_map_of_ids(places, many))
@@ -425,12 +428,14 @@ def ingest(docs: DataFrame, index: Index, history: DataFrame | None = None, doc_
             yield _kept_rows(batch.column("doc_id"), n_words, n_removed, kept)
 
     affected = stored(base.select("k", "h", "doc_id", "text", "bit").mapInArrow(with_text, "k bigint, h bigint, doc_id bigint, z binary, bytes bigint").join(places, ["k", "h"], "left"), "affected")
+    delete(at)
     windows = _candidate_windows(affected, index)
     if index.runs:
-        matched = _read(spark, f"{path}/kind=2", rest)
+        matched = _read(spark, met, rest)
         seen = _map_of_keys(matched, map_bits(matched.agg(F.sum("seg")).first()[0] or 0))
         windows = windows.unionByName(_historical_windows(history, index, seen, text))
-    repeats = _by_document(windows.groupBy("range").applyInArrow(_verify, "seg bigint, keys binary, docs binary"), "repeats").withColumnRenamed("places", "repeats")
+    repeats = _by_document(windows.groupBy("range").applyInArrow(_verify, "seg bigint, keys binary, docs binary"), new_path(spark, "repeats")).withColumnRenamed("places", "repeats")
+    delete(met)
     changed = affected.drop("places").join(repeats, ["k", "h"], "left").mapInArrow(cut, out_kind)
     return base.select("doc_id", "text", "bit").mapInArrow(untouched, out_kind).unionByName(changed), grown
 
@@ -472,9 +477,9 @@ def compact(spark: SparkSession, index: Index, most: int = RUNS) -> Index:
     return Index(index.layout, index.size, [*large, (path, spark.read.parquet(path).agg(F.sum("seg")).first()[0] or 0)])
 
 
-def deduplicate(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", cuts: Sequence[float] = CUTS) -> DataFrame:
-    """The rows of ``ingest`` of all documents, by batches of ascending ids, those without an id last; after each
-    batch but the last the index is compacted into one run."""
+def deduplicate(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", cuts: Sequence[float] = CUTS, runs: int = RUNS) -> DataFrame:
+    """The rows of ``ingest`` of all documents, by batches of ascending ids, those without an id last; between
+    batches the index is compacted to ``runs`` runs."""
     spark, key = docs.sparkSession, F.col(doc_id).cast("long")
     found = docs.agg(F.percentile_approx(key, list(cuts), 1000)).first()[0] if cuts else None
     ends = sorted(set(found or []))
@@ -485,5 +490,7 @@ def deduplicate(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", cuts:
         kept, index = ingest(batch, index, docs.where(key < ends[k - 1]) if index.runs else None, doc_id)
         out.append(kept)
         if k < len(ends):
-            index = compact(spark, index, 1)
+            before, index = index, compact(spark, index, runs)
+            for path, _ in set(before.runs) - set(index.runs):
+                delete(path)
     return reduce(DataFrame.unionByName, out)
