@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 
 @dataclass(frozen=True)
@@ -56,5 +58,17 @@ class Config:
     snippet_chars: int = 360
     trend: float = 0.005
 
+    @classmethod
+    def read(cls, settings: Mapping[str, str], prefix: str = "MNEMOFLOW_") -> Config:
+        """Settings such as MNEMOFLOW_FLOOR_K over the defaults. A whole number may be followed by other text;
+        what is blank or no number leaves the default. Pass ``os.environ`` for the environment's."""
+        found = {}
+        for f in fields(cls):
+            whole = f.type in ("int", int)
+            said = re.match(r"\s*([+-]?\d+)" if whole else r"\s*([+-]?\d+(?:\.\d*)?)", settings.get(prefix + f.name.upper()) or "")
+            if said:
+                found[f.name] = (int if whole else float)(said[1])
+        return cls(**found)
+
 
 DEFAULT = Config()

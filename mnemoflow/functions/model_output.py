@@ -117,3 +117,11 @@ def transient(message: Column) -> Column:
 def retry_delay(attempt: Column, base_ms: int) -> Column:
     """Doubled with each attempt."""
     return (F.pow(F.lit(2.0), attempt) * base_ms).cast("long")
+
+
+def stable_json(json: Column) -> Column:
+    """The same JSON with the keys of all its objects in order and no blanks; null if it can't be read or repeats a key.
+
+    Numbers with an exponent are written out (1e5 as 100000.0).
+    """
+    return F.to_json(F.try_parse_json(json))

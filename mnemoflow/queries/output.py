@@ -235,3 +235,15 @@ def capsules(spark, sf):
     q = F.element_at(F.array(*map(F.lit, asks)), (F.col("shard_id") % len(asks) + 1).cast("int"))
     asked = turns.select("shard_id").distinct().select(F.col("shard_id").alias("query_id"), "shard_id", q.alias("query"))
     return agent.capsules(turns, asked).select("query_id", "n_lines", F.md5("capsule").alias("capsule"))
+
+
+@query
+def stable_json(spark, sf):
+    """Nested JSON whose keys stand in disorder, with its keys in order."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    inner = F.struct(F.length("html").alias("z"), F.array(F.struct(F.col("url").alias("b"), F.col("page_id").alias("a"))).alias("m"))
+    said = F.to_json(F.struct(F.col("url"), F.col("page_id"), inner.alias("meta")), {"ignoreNullFields": "false"})
+    return pages.select("page_id", model_output.stable_json(said).alias("json"))
+
+
+SQL["stable_json"] = """SELECT page_id, CAST(json_object('meta', json_object('m', json_array(json_object('a', page_id, 'b', url)), 'z', length(html)), 'page_id', page_id, 'url', url) AS VARCHAR) AS json FROM pages"""

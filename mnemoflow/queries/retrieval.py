@@ -185,6 +185,35 @@ def shard_expansion(spark, sf):
     return folds.expand_shards(base, groups, DEFAULT.expand_max, DEFAULT.expand_k)
 
 
+@query
+def lexical_insertion(spark, sf):
+    """The lexical bridge's events put into the order, behind the last event of each shard that it touches."""
+    events, questions = views.events(spark, sf), views.questions(spark, sf)
+    base = retrieval.bm25(events, questions, 6)
+    return folds.expand_shards(base, retrieval.lexical_groups(events, base, questions), DEFAULT.lexical_max, DEFAULT.entity_k)
+
+
+SQL["lexical_insertion"] = f"""WITH {sql.BM25}, base AS (SELECT query_id, event_id, rank, source AS shard_id FROM bm25 JOIN documents ON doc_id = event_id WHERE rank <= 6),
+  anchors AS (SELECT query_id, shard_id, min(rank) AS first, max(rank) AS last FROM base GROUP BY ALL),
+  own AS (SELECT query_id, shard_id, first, last, unnest({sql.bridge_terms('question')}) AS t FROM anchors JOIN questions USING (query_id)),
+  hits AS (SELECT query_id, shard_id, first, last, doc_id AS event_id, count(*) AS score FROM own JOIN documents ON source = shard_id
+    WHERE regexp_matches(lower(text), '\\b' || regexp_escape(t) || '\\b') GROUP BY ALL),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, shard_id ORDER BY score DESC, event_id DESC) AS r FROM hits QUALIFY r <= 16),
+  fresh AS (SELECT query_id, event_id, first, last, row_number() OVER (PARTITION BY query_id, shard_id ORDER BY r) AS m FROM ranked ANTI JOIN base USING (query_id, event_id) QUALIFY m <= 6),
+  room AS (SELECT query_id, 20 - count(*) AS room FROM base GROUP BY ALL),
+  added AS (SELECT query_id, event_id, last, m, row_number() OVER (PARTITION BY query_id ORDER BY first, m) AS n, room FROM fresh JOIN room USING (query_id) QUALIFY n <= room)
+  SELECT query_id, event_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, m) - 1 AS INTEGER) AS place
+  FROM (SELECT query_id, event_id, rank, 0 AS m FROM base UNION ALL SELECT query_id, event_id, last, m FROM added)"""
+
+
+@query
+def entity_insertion(spark, sf):
+    """The entity bridge's events put into the order, behind each event whose terms they share."""
+    events, questions = views.events(spark, sf), views.questions(spark, sf)
+    base = retrieval.bm25(events, questions, 6)
+    return folds.expand_shards(base, retrieval.entity_groups(events, base, questions), DEFAULT.entity_max, DEFAULT.entity_k)
+
+
 @query
 def longctx_pack(spark, sf):
     """The events of the sampled slice of each size in a seeded order, packed to the budget."""
