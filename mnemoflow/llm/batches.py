@@ -92,9 +92,12 @@ BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
 SAME = np.arange(256, dtype=np.uint8)
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
+#: A number for each byte at each of PLACES places, in two independent tables. A word's hash is the sum of those of
+#: its bytes; of bytes further on they're mixed with how far, so no two places have numbers that depend on each other.
+PLACES = 64
 _RANDOM = np.random.Generator(np.random.PCG64(20240101))
-_OF_BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_OF_PLACE = _RANDOM.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+_OF_BYTE = _RANDOM.integers(0, 1 << 64, (2, PLACES * 256), dtype=np.uint64)
+_FURTHER = np.uint64(0xD1B54A32D192ED03)
 
 
 #: Bytes that are hashed at a time.
@@ -120,17 +123,28 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """Words of several texts: where each starts and ends in the bytes, its 64-bit hash, its text's number; how many each text has."""
+    """Words of several texts: where each starts and ends in the bytes, its 64-bit hash, its text's number; how many
+    each text has. ``check`` is a second hash, independent of the first, if asked for."""
 
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
     text: np.ndarray
     count: np.ndarray
+    check: np.ndarray | None = None
 
 
-def words_of(column: pa.Array, fold: np.ndarray = SAME) -> Words:
-    """Runs of bytes that aren't BLANK; ``fold`` maps each byte before it's hashed."""
+def _numbers(data: np.ndarray, place: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The number of each byte at its place in its word."""
+    value = table[(place & (PLACES - 1)) << 8 | data]
+    far = np.flatnonzero(place >= PLACES)
+    if len(far):
+        value[far] = mixed(value[far] + (place[far] // PLACES).astype(np.uint64) * _FURTHER)
+    return value
+
+
+def words_of(column: pa.Array, fold: np.ndarray = SAME, checked: bool = False) -> Words:
+    """Runs of bytes that aren't BLANK; ``fold`` maps each byte before it's hashed. ``checked``: with the second hash."""
     data, offsets = byte_view(column)
     n = len(offsets) - 1
     solid = ~BLANK[data]
@@ -143,32 +157,36 @@ def words_of(column: pa.Array, fold: np.ndarray = SAME) -> Words:
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     text = np.searchsorted(offsets, start, side="right") - 1
     if not len(start):
-        return Words(start, end, np.zeros(0, np.uint64), text, np.zeros(n, np.int64))
-    hashes = np.empty(len(start), np.uint64)
+        none = np.zeros(0, np.uint64)
+        return Words(start, end, none, text, np.zeros(n, np.int64), none)
+    hashes = np.empty((1 + checked, len(start)), np.uint64)
     at = 0
     while at < len(start):  # a few bytes at a time, which bounds the memory and stays in the cache
         stop = max(at + 1, int(np.searchsorted(start, start[at] + _HASHED)))
         low, high, own = start[at], end[stop - 1], start[at:stop] - start[at]
-        place = np.arange(high - low, dtype=np.int32) - np.repeat(own, np.diff(np.append(own, high - low))).astype(np.int32)
-        value = _OF_BYTE[fold[data[low:high]]] * (_OF_PLACE[place & 63] + (place >> 6).astype(np.uint64) * np.uint64(2))
-        value[~solid[low:high]] = 0
-        hashes[at:stop] = np.add.reduceat(value, own)
+        place = np.arange(high - low) - np.repeat(own, np.diff(np.append(own, high - low)))
+        folded = fold[data[low:high]]
+        for row, table in zip(hashes, _OF_BYTE, strict=False):
+            value = _numbers(folded, place, table)
+            value[~solid[low:high]] = 0
+            row[at:stop] = np.add.reduceat(value, own)
         at = stop
-    return Words(start, end, mixed(hashes), text, np.bincount(text, minlength=n))
+    return Words(start, end, mixed(hashes[0]), text, np.bincount(text, minlength=n), mixed(hashes[1]) if checked else None)
 
 
-def window_hashes(words: Words, size: int, everywhere: bool = False, factor: int = 0x9E3779B97F4A7C15):
+def window_hashes(words: Words, size: int, everywhere: bool = False, factor: int = 0x9E3779B97F4A7C15, check: bool = False):
     """Hashes of ``size`` consecutive words of one text, and the number of the word where each starts.
 
-    ``everywhere``: the hashes alone, from every word on, across the ends of texts too.
+    ``everywhere``: the hashes alone, from every word on, across the ends of texts too. ``check``: of the words' second hash.
     """
     n = len(words.hash) - size + 1
     if n <= 0:
         none = np.zeros(0, np.uint64)
         return none if everywhere else (none, np.zeros(0, np.int64))
     out = np.zeros(n, np.uint64)
+    own = words.check if check else words.hash
     for k in range(size):
-        out = out * np.uint64(factor) + words.hash[k : k + n]
+        out = out * np.uint64(factor) + own[k : k + n]
     if everywhere:
         return mixed(out)
     at = np.flatnonzero(words.text[:n] == words.text[size - 1 :])

@@ -46,7 +46,7 @@ from .scratch import stored
 CHUNK = 2048
 #: Tasks, at least, that the nodes of one hub are dealt to.
 SALTS = 8
-#: The number that stands for a null id.
+#: The number that stands for a null id; a row with this id of its own is told apart by ``given``.
 LAST = np.iinfo(np.int64).max
 _CHUNK_BYTES = 1 << 20
 _EXCHANGE = "`range` int, seg bigint, keys binary, refs binary, meta binary"
@@ -76,12 +76,12 @@ def digest(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def _segments(batches: Iterator[pa.RecordBatch], size: int, most: int) -> Iterator[tuple[list[tuple[int, int]], list[np.ndarray]]]:
-    ids: list[tuple[int, int]] = []
+def _segments(batches: Iterator[pa.RecordBatch], size: int, most: int) -> Iterator[tuple[list[tuple[int, int, bool]], list[np.ndarray]]]:
+    ids: list[tuple[int, int, bool]] = []
     sets: list[np.ndarray] = []
     held = 0
     for batch in chunks(batches, most=_CHUNK_BYTES):
-        keys = zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), strict=True)
+        keys = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "given")), strict=True)
         for key, own in zip(keys, sets_of(batch.column("text"), size), strict=True):
             if ids and held + len(own) > most:
                 yield ids, sets
@@ -93,13 +93,13 @@ def _segments(batches: Iterator[pa.RecordBatch], size: int, most: int) -> Iterat
         yield ids, sets
 
 
-_META = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
+_META = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("given", pa.bool_()), ("n", pa.int64()), ("digest", pa.binary())])
 
 
-def _meta(ids: list[tuple[int, int]], sets: list[np.ndarray]) -> tuple[bytes, list[bytes]]:
+def _meta(ids: list[tuple[int, int, bool]], sets: list[np.ndarray]) -> tuple[bytes, list[bytes]]:
     digests = [digest(s) for s in sets]
     sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in ids], pa.int64()) for k in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())], schema=_META)
+    batch = pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in ids], _META.field(k).type) for k in (0, 1, 2)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())], schema=_META)
     with pa.ipc.new_stream(sink, _META) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes(), digests
@@ -130,7 +130,7 @@ def _gathered(table: pa.Table) -> tuple[list[int], list[bytes | None], np.ndarra
 
 
 def _survey(docs: DataFrame, size: int, layout: Layout) -> DataFrame:
-    """Per document: doc_id, text_hash, n, digest and ``alone``, how many of its n-grams no other set has, at least."""
+    """Per document: doc_id, text_hash, given, n, digest and ``alone``, how many of its n-grams no other set has, at least."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = SegmentNumber()
@@ -174,7 +174,7 @@ def _survey(docs: DataFrame, size: int, layout: Layout) -> DataFrame:
 
     sent = docs.mapInArrow(send, _EXCHANGE)
     counted = sent.groupBy("range").applyInArrow(count, "seg bigint, alone binary, meta binary")
-    return counted.groupBy("seg").applyInArrow(add, "doc_id bigint, text_hash bigint, n bigint, digest binary, alone bigint")
+    return counted.groupBy("seg").applyInArrow(add, "doc_id bigint, text_hash bigint, given boolean, n bigint, digest binary, alone bigint")
 
 
 def _id_map(ids: DataFrame, size: int) -> np.ndarray:
@@ -418,6 +418,16 @@ def _join_block(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"node": pa.array(digests, pa.binary()), "hub": pa.array(hubs, pa.binary()), "label": pa.array(reps), "links": pa.array(links)})
 
 
+def _with_names(of_class: DataFrame) -> DataFrame:
+    """The classes with ``named``: whether a row of their component has an id of its own, which counts if the component's is LAST."""
+    last = of_class.where(F.col("component_id") == int(LAST))
+    if not last.where("given").limit(1).count():
+        return of_class.withColumn("named", F.lit(False))
+    key = F.coalesce("leader", "digest").alias("at")
+    named = last.groupBy(key).agg(F.bool_or("given").alias("named"))
+    return of_class.withColumn("at", key).join(named, "at", "left").withColumn("named", F.coalesce("named", F.lit(False))).drop("at")
+
+
 def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """Per document: n_shingles, component_id and ``n_links``, the links of its class to other classes;
     ``text_hash``, which tells rows that share an id apart, ``set_digest``, the class, and ``leads``, whether
@@ -425,10 +435,10 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, doc_id
 
     Two sets link when 100 * intersection >= percent * union.
     """
-    base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST))).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("text_hash"), F.col(text).alias("text"))
+    base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST))).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("text_hash"), F.col(doc_id).isNotNull().alias("given"), F.col(text).alias("text"))
     layout = layout_for(base)
     surveyed = stored(_survey(base, size, layout), "survey")
-    full = surveyed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("alone").alias("alone"))
+    full = surveyed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("alone").alias("alone"), F.bool_or("given").alias("given"))
     classes = stored(full, "classes")
     left = classes.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
     sets = stored(_sets_left(base, left, size), "sets")
@@ -450,9 +460,10 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, doc_id
     counts = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     linked = stored(joined.join(counts, "node").select(F.col("node").alias("digest"), *leader, "n_links"), "linked")
     leads = F.when(F.col("component").isNull(), True).when(F.col("leader").isNotNull(), F.col("leader") == F.col("digest")).otherwise(F.col("component") == F.col("rep"))
-    of_class = stored(classes.join(linked, "digest", "left").select("digest", "rep", leads.alias("class_leads"), F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "of-class")
+    of_class = classes.join(linked, "digest", "left").select("digest", "rep", "given", "leader", leads.alias("class_leads"), F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_class = _with_names(stored(of_class, "of-class"))
     some, none = surveyed.where("n > 0"), surveyed.where("n = 0")
-    out = some.join(of_class, "digest").select("doc_id", "n", "component_id", "n_links", "text_hash", "digest", (F.col("class_leads") & (F.col("doc_id") == F.col("rep"))).alias("leads"))
-    alone = none.select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "text_hash", "digest", F.lit(True).alias("leads"))
-    given = lambda c: F.when(F.col(c) != int(LAST), F.col(c)).alias(c)
-    return out.unionByName(alone).select(given("doc_id"), F.col("n").alias("n_shingles"), given("component_id"), "n_links", "text_hash", F.col("digest").alias("set_digest"), "leads")
+    out = some.join(of_class.drop("given"), "digest").select("doc_id", "n", "component_id", "n_links", "text_hash", "digest", "given", "named", (F.col("class_leads") & (F.col("doc_id") == F.col("rep"))).alias("leads"))
+    alone = none.select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "text_hash", "digest", "given", F.col("given").alias("named"), F.lit(True).alias("leads"))
+    own = lambda c, known: F.when((F.col(c) != int(LAST)) | F.col(known), F.col(c)).alias(c)
+    return out.unionByName(alone).select(own("doc_id", "given"), F.col("n").alias("n_shingles"), own("component_id", "named"), "n_links", "text_hash", F.col("digest").alias("set_digest"), "leads")

@@ -281,7 +281,7 @@ class _WindowSender:
 
     def add(self, words: Words, at: np.ndarray, k: np.ndarray, h: np.ndarray, size: int) -> None:
         hashes = window_hashes(words, size, everywhere=True)[at]
-        checks = window_hashes(words, size, everywhere=True, factor=0xD6E8FEB86659FD93)[at] >> np.uint64(32)
+        checks = window_hashes(words, size, everywhere=True, factor=0xD6E8FEB86659FD93, check=True)[at] >> np.uint64(32)
         self.parts.append((hashes, checks, k[words.text[at]].view(np.uint64), (at + self.held).astype(np.uint64)))
         self.docs.append((k, h, words.count.astype(np.int64)))
         self.held += len(words.hash)
@@ -333,7 +333,7 @@ def _candidate_windows(affected: DataFrame, index: Index) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _WindowSender(layout, SegmentNumber())
         for batch in _text_batches(batches, ["k", "h", "places"]):
-            words = words_of(batch.column("text"))
+            words = words_of(batch.column("text"), checked=True)
             _, windows, own = anchors(words, size)
             starts = np.cumsum(words.count) - words.count
             marked = np.zeros(len(words.hash) + 1, bool)
@@ -357,7 +357,7 @@ def _historical_windows(history: DataFrame, index: Index, bits: np.ndarray, text
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _WindowSender(layout, lambda: -1)
         for batch in chunks(batches, most=_CHUNK):
-            words = words_of(batch.column("text"))
+            words = words_of(batch.column("text"), checked=True)
             grams, windows, own = anchors(words, size)
             at = windows[_in_map(sent.value, _key_bit(grams[own] >> layout.shift, 64 * len(sent.value)))]
             least = np.full(len(words.count), np.iinfo(np.int64).min)
@@ -481,15 +481,19 @@ def deduplicate(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", cuts:
     """The rows of ``ingest`` of all documents, by batches of ascending ids, those without an id last; between
     batches the index is compacted to ``runs`` runs."""
     spark, key = docs.sparkSession, F.col(doc_id).cast("long")
-    found = docs.agg(F.percentile_approx(key, list(cuts), 1000)).first()[0] if cuts else None
-    ends = sorted(set(found or []))
+    share, largest = docs.agg(F.percentile_approx(key, list(cuts or [0.5]), 1000), F.max(key)).first()
+    ends = sorted(set(share or [])) if cuts else []
+    inner = [key < b for b in ends]
+    if largest == _LAST:  # the number that stands for no id is taken: rows without one are a batch of their own
+        batches, earlier = [*inner, key.isNotNull(), key.isNull()], [*inner, key.isNotNull()]
+    else:
+        batches, earlier = [*inner, F.lit(True)], inner
     index, out = new_index(docs, size=size), []
-    for k in range(len(ends) + 1):
-        low = F.lit(True) if k == 0 else key >= ends[k - 1] if k < len(ends) else (key >= ends[k - 1]) | key.isNull()
-        batch = docs.where(low & (key < ends[k]) if k < len(ends) else low)
-        kept, index = ingest(batch, index, docs.where(key < ends[k - 1]) if index.runs else None, doc_id)
+    for k, upto in enumerate(batches):
+        batch = docs.where(upto & ((key >= ends[k - 1]) | key.isNull()) if 0 < k <= len(ends) else upto)
+        kept, index = ingest(batch, index, docs.where(earlier[k - 1]) if index.runs else None, doc_id)
         out.append(kept)
-        if k < len(ends):
+        if k < len(batches) - 1:
             before, index = index, compact(spark, index, runs)
             for path, _ in set(before.runs) - set(index.runs):
                 delete(path)

@@ -320,3 +320,43 @@ def test_scratch_tables_go_with_their_block(spark):
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(inside)
     assert not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def swapped(k, a, b, c, d):
+    """A long word that has four letters 64 places apart from ``k`` on."""
+    letters = list("x" * (k + 256))
+    letters[k], letters[k + 64], letters[k + 128], letters[k + 192] = a, b, c, d
+    return "".join(letters)
+
+
+def test_long_words_that_swap_letters_differ(spark):
+    """Words whose letters stand in other places, 65 to 1,000 bytes long, are other words."""
+    from mnemoflow.llm.batches import words_of
+
+    seen = {}
+    rng = random.Random(7)
+    words = [swapped(k, *order) for k in range(0, 64, 9) for order in {tuple(rng.sample("cdcd", 4)) for _ in range(9)}]
+    words += ["".join("ab"[bin(i).count("1") % 2 ^ s] for i in range(n)) for n in (64, 65, 128, 256, 1000) for s in (0, 1)]
+    words += ["y" * i + "z" + "y" * (999 - i) for i in range(1000)]
+    found = words_of(pa.array(words), checked=True)
+    for word, key in zip(words, zip(found.hash.tolist(), found.check.tolist(), strict=True), strict=True):
+        for part in key:
+            assert seen.setdefault(part, word) == word
+    shared = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{swapped(3, *'cddc')} {shared}"), (2, f"{swapped(3, *'dccd')} {shared}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.n_removed) for r in substrings.deduplicate(docs).collect()} == {(1, 0), (2, 0)}
+    halves = [(1, " ".join([swapped(3, *"cddc"), *shared.split(), swapped(9, *"cddc")])), (2, " ".join([swapped(3, *"dccd"), *shared.split(), swapped(9, *"dccd")]))]
+    joined = ngram_join.jaccard_components(spark.createDataFrame(halves, "doc_id long, text string"), size=3, percent=80)
+    assert {(r.doc_id, r.component_id) for r in joined.collect()} == {(1, 1), (2, 2)}
+
+
+def test_the_largest_id_is_no_null(spark):
+    last = (1 << 63) - 1
+    text = " ".join(f"a{i}" for i in range(30))
+    rows = [(last, text), (None, text), (None, "x y z u"), (None, None), (last, None), (last, "p q r s t"), (5, "k l m n o")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id, r.n_shingles) for r in ngram_join.jaccard_components(docs).collect())
+    assert got == Counter([(last, last, 28), (None, last, 28), (None, None, 2), (None, None, 0), (last, last, 0), (last, last, 3), (5, 5, 3)])
+    removed = Counter((r.doc_id, r.n_words, r.n_removed) for r in substrings.deduplicate(docs, cuts=()).collect())
+    assert removed == Counter([(last, 30, 0), (None, 30, 30), (None, 4, 0), (None, 0, 0), (last, 0, 0), (last, 5, 0), (5, 5, 0)])
