@@ -143,11 +143,11 @@ def _numbers(data: np.ndarray, place: np.ndarray, table: np.ndarray) -> np.ndarr
     return value
 
 
-def words_of(column: pa.Array, fold: np.ndarray = SAME, checked: bool = False) -> Words:
-    """Runs of bytes that aren't BLANK; ``fold`` maps each byte before it's hashed. ``checked``: with the second hash."""
+def words_of(column: pa.Array, fold: np.ndarray = SAME, checked: bool = False, blank: np.ndarray = BLANK) -> Words:
+    """Runs of bytes that aren't ``blank``; ``fold`` maps each byte before it's hashed. ``checked``: with the second hash."""
     data, offsets = byte_view(column)
     n = len(offsets) - 1
-    solid = ~BLANK[data]
+    solid = ~blank[data]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, licenses, mixing, neighbours, ngram_join, oracles, personal_data, quality, substrings, token_counts
+from . import conversations, exact_dedup, importance, language_id, licenses, mixing, neighbours, ngram_join, oracles, personal_data, quality, substrings, token_counts
 from .decontaminate import SLOP, decontaminate
 
 
@@ -110,6 +110,18 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op1_decontaminate_near": op1_decontaminate_near,
@@ -122,6 +134,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_nearest": op9_nearest,
     "op10_ngram_join": op10_ngram_join,
+    "op11_importance": op11_importance,
+    "op12_conversations": op12_conversations,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLES: dict[str, str] = oracles.SQL

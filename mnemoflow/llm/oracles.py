@@ -160,3 +160,49 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
   sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(ks, k)) END, ' ')) AS kept_sha256
 FROM docs LEFT JOIN gone USING (rid)
 """
+
+SQL["op11_importance"] = r"""
+WITH RECURSIVE both_tables AS (
+  SELECT row_number() OVER () AS rid, TRUE AS own, doc_id, text FROM documents
+  UNION ALL SELECT -row_number() OVER (), FALSE, NULL, text FROM benchmark
+), texts AS (
+  SELECT rid, own, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM both_tables
+), words AS (SELECT rid, own, unnest(w) AS word FROM texts),
+crcs AS (
+  SELECT word, hex(encode(word)) AS h, 0 AS k, CAST(4294967295 AS BIGINT) AS c FROM (SELECT DISTINCT word FROM words)
+  UNION ALL
+  SELECT word, h, k + 1, list_reduce([xor(c, CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT)), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, y: xor(x >> 1, (x & 1) * 3988292384))
+  FROM crcs WHERE 2 * k < length(h)
+), buckets AS (SELECT word, CAST(xor(c, 4294967295) % 10000 AS BIGINT) AS b FROM crcs WHERE 2 * k = length(h)),
+counts AS (
+  SELECT b, CAST(count(*) FILTER (WHERE own) AS DOUBLE) AS s, CAST(count(*) FILTER (WHERE NOT own) AS DOUBLE) AS t
+  FROM words JOIN buckets USING (word) GROUP BY b
+), sums AS (SELECT sum(s) AS ss, sum(t) AS tt FROM counts),
+gains AS (
+  SELECT b, CAST(floor(1000 * ln((t + 1) * (ss + 10000) / ((s + 1) * (tt + 10000)))) AS BIGINT) AS gain FROM counts, sums
+), weights AS (
+  SELECT rid, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight
+  FROM words JOIN buckets USING (word) JOIN gains USING (b) WHERE own GROUP BY rid
+), scored AS (
+  SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM texts LEFT JOIN weights USING (rid) WHERE own
+), ranked AS (
+  SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) OVER () AS many
+  FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CAST(CASE WHEN place <= many * 10 // 100 THEN place END AS BIGINT) AS rank
+FROM scored LEFT JOIN ranked USING (rid)
+"""
+
+SQL["op13_exact_dedup"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+  row_number() OVER w = 1 AS kept, sha256(body) AS text_sha256
+FROM docs WINDOW w AS (PARTITION BY body ORDER BY doc_id NULLS LAST, rid)
+"""
