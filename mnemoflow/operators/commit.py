@@ -36,20 +36,22 @@ def dry_run(decisions: DataFrame, manifests: DataFrame) -> DataFrame:
 def apply(decisions: DataFrame, manifests: DataFrame) -> DataFrame:
     """Writes to active shards, in order: event and snapshot numbers and the shard's running tokens.
 
-    ``decisions``: (decision_id, action, target, content, tags, ordinal); ``manifests``: (shard_id, status, n_events, tokens).
+    ``decisions``: (decision_id, action, target, content, tags, ordinal); ``manifests``: (shard_id, status, n_events, tokens)
+    and, if shards have more than their first snapshot, ``snapshot_id``, the latest.
     """
     active = manifests.where("status = 'active'").withColumnRenamed("shard_id", "target")
     rows = decisions.where(F.col("action").isin("write", "update")).join(active, "target")
     w = Window.partitionBy("target").orderBy("ordinal", "decision_id")
     cost = text.estimate_tokens(F.col("content")) + text.estimate_tokens(F.lit("commit_note")) + 8 + text.estimate_tokens(F.array_join("tags", ","))
     place = F.row_number().over(w)
+    latest = F.regexp_extract("snapshot_id", r"(\d+)$", 1).cast("long") if "snapshot_id" in manifests.columns else F.lit(1)
     tokens = F.col("tokens") + F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return rows.select(
         "decision_id",
         F.col("target").alias("shard_id"),
         F.format_string("e_%04d", F.col("n_events") + place).alias("event_id"),
-        F.format_string("S%03d", place + 1).alias("snapshot_id"),
-        F.format_string("S%03d", place).alias("parent_id"),
+        F.format_string("S%03d", latest + place).alias("snapshot_id"),
+        F.format_string("S%03d", latest + place - 1).alias("parent_id"),
         tokens.alias("tokens"),
         F.round(maths.fullness(tokens, F.lit(DEFAULT.context_limit)), 9).alias("fullness_pct"),
         F.when(F.col("action") == "write", "commit_write").otherwise("commit_update").alias("chronicle_type"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,13 +28,11 @@ def ask(questions: DataFrame, corpus: DataFrame, ref: Column) -> DataFrame:
 
 
 def ask_stored(store: MemoryStore, questions: DataFrame, ref: Column) -> DataFrame:
-    """``ask`` over the store's latest snapshots. The answers go to the run log, beside whether anything else of the store is another than before."""
+    """``ask`` over the store's latest snapshots. The answers go to the run log; ``mutated``: whether anything else of the store is another than before."""
     before = store.fingerprint()
-    answered = ask(questions, store.events(), ref).cache()
-    answered.count()
-    after = store.fingerprint()
-    changed = before != after
-    run = answered.withColumn("mutated", F.lit(changed)).withColumn("asked_at", ref)
-    store.append("query_runs", run)
-    answered.unpersist()
-    return store.spark.read.parquet(store.path("query_runs")).join(questions.select("query_id"), "query_id", "left_semi").where(F.col("asked_at") == ref)
+    transaction = uuid.uuid4().hex
+    run = ask(questions, store.events(), ref).withColumn("asked_at", ref).withColumn("run", F.lit(transaction))
+    store.publish(transaction, {"query_runs": run})
+    mutated = before != store.fingerprint()
+    kept = store.spark.read.parquet(store.parts("query_runs")[-1])
+    return kept.drop("run").withColumn("mutated", F.lit(mutated))

@@ -6,12 +6,16 @@ any store that Spark reaches will do. A missing table reads as an empty one.
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..operators.rank import latest_wins, upsert
+from ..operators.rank import latest_wins
 
 EVENT = "id STRING, shardId STRING, content STRING, tokenCount INT, isCore BOOLEAN, tier INT, timestamp STRING, tags ARRAY<STRING>"
 CELL = """system STRING, corpusSize BIGINT, modelContext BIGINT, trial INT, queryId STRING, queryKind STRING, chosenOption INT, correctOption INT,
@@ -25,6 +29,8 @@ ENTRY = """id STRING, name STRING, description STRING, tags ARRAY<STRING>, statu
 summaryShort STRING, createdAt TIMESTAMP, updatedAt TIMESTAMP"""
 STORED_EVENT = "shardId STRING, snapshotId STRING, eventId STRING, role STRING, content STRING, importance DOUBLE, tags ARRAY<STRING>, createdAt TIMESTAMP"
 CHRONICLE = "type STRING, createdAt TIMESTAMP, targetShardId STRING, oldSnapshotId STRING, newSnapshotId STRING, reason STRING, actor STRING"
+CACHED = "key STRING, response STRING"
+EMBEDDED = "text_sha STRING, vec ARRAY<DOUBLE>"
 HAYSTACK = "input STRING, target STRING, question STRING, supporting_facts ARRAY<INT>, supporting_lines ARRAY<INT>"
 
 
@@ -130,8 +136,20 @@ def build_corpus(core: DataFrame, fillers: list[DataFrame]) -> DataFrame:
     return whole.orderBy("tier", "id")
 
 
+def snapshot_number(snapshot_id: Column) -> Column:
+    """The number in a snapshot's id: ids are ordered by it, as S1000 comes after S999."""
+    return F.regexp_extract(snapshot_id, r"(\d+)$", 1).cast("long")
+
+
 class MemoryStore:
-    """Tables under one folder. Logs are only appended to; a snapshot is written once."""
+    """Tables under one folder, changed by transactions.
+
+    A transaction writes the rows of all its tables into folders of its own and is then published by making one
+    file whose name tells its number, its id and its tables. Readers see the tables of published transactions only,
+    so one that failed half way has written nothing, and one that is run again under its id replaces what the
+    failed one left, or, if it had been published, does nothing. Of a keyed table the latest row of a key is read;
+    a transaction costs what it writes, and ``compact`` folds a table into one part when it has many.
+    """
 
     LOGS = ("chronicle", "query_runs", "results", "telemetry", "events")
     KEYED = {"directory": "id", "manifests": "shardId", "cache": "key", "embeddings": "text_sha"}
@@ -142,48 +160,99 @@ class MemoryStore:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def read(self, table: str, kind: str) -> DataFrame:
-        if not exists(self.spark, self.path(table)):
-            return self.spark.createDataFrame([], _schema(kind))
-        return self.spark.read.schema(_schema(kind)).parquet(self.path(self._current(table)))
-
-    def _current(self, table: str) -> str:
-        """The newest version of a keyed table; its number is the folder's name."""
-        if table not in self.KEYED:
-            return table
+    def _names(self, path: str) -> list[str]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+    def transactions(self) -> list[tuple[str, list[str], bool]]:
+        """(number and id, tables, whether it replaces all before it) of each published transaction, in order."""
+        parts = [n.split("~") for n in self._names(self.path("_published")) if n.count("~") == 2]
+        return [(name, tables.split("+"), kind == "whole") for name, tables, kind in parts]
+
+    def published(self, transaction: str) -> bool:
+        return any(name.partition("-")[2] == transaction for name, _, _ in self.transactions())
+
+    def publish(self, transaction: str, tables: dict[str, DataFrame], whole: bool = False) -> bool:
+        """Write the tables' rows as one; False if a transaction of this id was published before. Fails if another was published meanwhile."""
+        done = self.transactions()
+        if any(name.partition("-")[2] == transaction for name, _, _ in done):
+            return False
+        name = f"{int(done[-1][0].partition('-')[0]) + 1 if done else 1:012d}-{transaction}"
+        for table, rows in tables.items():
+            if table not in self.LOGS and table not in self.KEYED:
+                raise ValueError(f"{table} is no table of the store")
+            rows.write.mode("overwrite").parquet(f"{self.path(table)}/part={name}")
         jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path(table))
-        names = [s.getPath().getName() for s in at.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(at)]
-        return f"{table}/{max(n for n in names if n.startswith('v='))}"
+        fs_of = lambda p: p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        number, folder = name.partition("-")[0], jvm.org.apache.hadoop.fs.Path(self.path("_published"))
+        # a number is taken by the one that makes its file; both it and the name are made before the next is
+        lock = jvm.org.apache.hadoop.fs.Path(f"{self.path('_published')}/{number}")
+        owner = self._owner(lock)
+        if owner is None:
+            fs_of(folder).mkdirs(folder)
+            try:
+                out = fs_of(lock).create(lock, False)
+                out.writeBytes(transaction)
+                out.close()
+            except Py4JJavaError as e:
+                raise RuntimeError(f"another transaction took number {int(number)}: read again and repeat") from e
+        elif owner not in ("", transaction):
+            raise RuntimeError(f"another transaction took number {int(number)}: read again and repeat")
+        fs_of(folder).create(jvm.org.apache.hadoop.fs.Path(f"{self.path('_published')}/{name}~{'+'.join(tables)}~{'whole' if whole else 'part'}"), True).close()
+        return True
+
+    def _owner(self, lock) -> str | None:
+        fs = lock.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(lock):
+            return None
+        return self.spark.read.text(lock.toString()).agg(F.first("value")).first()[0] or ""
+
+    def parts(self, table: str) -> list[str]:
+        """The folders of the table's rows, the oldest first."""
+        out: list[str] = []
+        for name, tables, whole in self.transactions():
+            if table in tables:
+                out = [name] if whole else [*out, name]
+        return [f"{self.path(table)}/part={name}" for name in out]
+
+    def read(self, table: str, kind: str) -> DataFrame:
+        schema, paths = _schema(kind), self.parts(table)
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("part", T.StringType())])).option("basePath", self.path(table)).parquet(*paths)
+        if table in self.KEYED and len(paths) > 1:
+            # the newest row of each key, combined before the shuffle
+            own = F.struct(*[F.col(f"`{f.name}`") for f in schema.fields])
+            rows = rows.groupBy(F.col(self.KEYED[table]).alias("__key")).agg(F.max_by(own, "part").alias("row")).select("row.*")
+        return rows.select(*[F.col(f"`{f.name}`") for f in schema.fields])
 
     def append(self, table: str, rows: DataFrame) -> None:
         if table not in self.LOGS:
             raise ValueError(f"{table} isn't a log")
-        rows.write.mode("append").parquet(self.path(table))
+        self.publish(uuid.uuid4().hex, {table: rows})
 
     def put(self, table: str, rows: DataFrame) -> None:
-        """Rows replace those of their key: a new version beside the old, which readers of it can end reading."""
-        key = self.KEYED[table]
-        if exists(self.spark, self.path(table)):
-            current = self._current(table)
-            old = self.spark.read.parquet(self.path(current))
-            number = int(current.rpartition("=")[2]) + 1
-            rows = upsert(old, rows.select(*old.columns), key)
-        else:
-            number = 1
-        rows.write.mode("errorifexists").parquet(f"{self.path(table)}/v={number:06d}")
+        """Rows replace those of their key; only they are written."""
+        if table not in self.KEYED:
+            raise ValueError(f"{table} has no key")
+        self.publish(uuid.uuid4().hex, {table: rows})
+
+    def compact(self, table: str, kind: str) -> None:
+        """The table's rows as one part; older parts stay for those who are reading them."""
+        if len(self.parts(table)) > 1:
+            self.publish(uuid.uuid4().hex, {table: self.read(table, kind)}, whole=True)
 
     def write_snapshot(self, shard_id: str, snapshot_id: str, events: DataFrame) -> None:
-        """Fails if the snapshot is there already."""
+        """A snapshot that is brought in as a whole. Fails if it is there already."""
         events.write.mode("errorifexists").parquet(f"{self.root}/snapshots/shard_id={shard_id}/snapshot_id={snapshot_id}")
 
     def snapshot_ids(self, shard_id: str) -> list[str]:
-        path = f"{self.root}/snapshots/shard_id={shard_id}"
-        if not exists(self.spark, path):
-            return []
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        found = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(at)
-        return sorted(s.getPath().getName().partition("=")[2] for s in found if s.isDirectory())
+        """Snapshots that commits made and those brought in, by number."""
+        own = {n.partition("=")[2] for n in self._names(f"{self.root}/snapshots/shard_id={shard_id}") if n.startswith("snapshot_id=")}
+        latest = self.read("manifests", MANIFEST).where(F.col("shardId") == shard_id).select("latestSnapshotId").first()
+        made = {f"S{n:03d}" for n in range(1, int(latest[0].lstrip("S")) + 1)} if latest else set()
+        return sorted(own | made, key=lambda s: (int("".join(c for c in s if c.isdigit()) or 0), s))
 
     def shard_ids(self) -> list[str]:
         return sorted(r.shardId for r in self.read("manifests", MANIFEST).select("shardId").collect())
@@ -195,7 +264,7 @@ class MemoryStore:
         if shard_id is not None:
             rows = rows.where(F.col("shardId") == shard_id)
         if snapshot_id is not None:
-            rows = rows.where(F.col("snapshotId") <= snapshot_id)
+            rows = rows.where(snapshot_number(F.col("snapshotId")) <= snapshot_number(F.lit(snapshot_id)))
         head = F.concat("shardId", F.lit(":"), "eventId")
         return rows.select(head.alias("event_id"), F.col("shardId").alias("shard_id"), "content", F.ceil(F.length("content") / 4).cast("long").alias("token_count"), F.col("importance").between(0.8, 1).alias("is_core"), "tags")
 
@@ -203,23 +272,47 @@ class MemoryStore:
         """Of each table but the run log, its rows and an order-free checksum of them."""
         out = {}
         for table in (*self.LOGS, *self.KEYED):
-            if table != "query_runs" and exists(self.spark, self.path(table)):
-                rows = self.spark.read.parquet(self.path(self._current(table)))
+            if table != "query_runs" and (paths := self.parts(table)):
+                rows = self.spark.read.parquet(*paths)
                 n, own = rows.agg(F.count("*"), F.bit_xor(F.xxhash64(*rows.columns))).first()
                 out[table] = (n, own or 0)
         return out
 
     def cache_stats(self) -> tuple[int, int]:
         """Kept responses and the bytes of them."""
-        row = self.read("cache", "key STRING, response STRING").agg(F.count("*"), F.coalesce(F.sum(F.octet_length("response")), F.lit(0))).first()
+        row = self.read("cache", CACHED).agg(F.count("*"), F.coalesce(F.sum(F.octet_length("response")), F.lit(0))).first()
         return row[0], row[1]
 
-    def cached(self, requests: DataFrame, answer, kind: str = "key STRING, response STRING") -> DataFrame:
-        """Each request (key, prompt) with its kept response, else the one that ``answer`` makes of the missing; answers under 5 characters aren't kept."""
+    def cached(self, requests: DataFrame, answer, kind: str = CACHED) -> DataFrame:
+        """Each request (key, prompt) with its kept response, else the one that ``answer`` makes of the missing.
+
+        The first answers are written before they are used, so none is asked for twice; those under 5 characters
+        are used once and asked for again the next time.
+        """
         kept = self.read("cache", kind)
         missing = requests.join(kept.select("key"), "key", "left_anti").dropDuplicates(["key"])
-        made = answer(missing).select("key", "response").cache()
+        if not missing.limit(1).count():
+            return requests.join(kept, "key", "left")
+        at = f"{self.root}/_answers/{uuid.uuid4().hex}"
+        answer(missing).select("key", "response").write.parquet(at)
+        made = self.spark.read.schema(_schema(kind)).parquet(at)
         good = made.where("length(trim(response)) >= 5")
         if good.limit(1).count():
             self.put("cache", good)
         return requests.join(kept.unionByName(made), "key", "left")
+
+    def embedded(self, texts: DataFrame, embed, kind: str = EMBEDDED) -> DataFrame:
+        """``texts`` (text) with ``text_sha`` and ``vec``. Texts whose digest has no kept vector go once to ``embed``, a
+        function of a list of texts to a list of vectors that runs over Arrow batches; only their vectors are written."""
+        keyed = texts.withColumn("text_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+        kept = self.read("embeddings", kind)
+        missing = keyed.join(kept.select("text_sha"), "text_sha", "left_anti").groupBy("text_sha").agg(F.any_value("text").alias("text"))
+
+        def run(batches):
+            for batch in batches:
+                made = embed([x or "" for x in batch.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column("text_sha"), pa.array([[float(v) for v in x] for x in made], pa.list_(pa.float64()))], names=["text_sha", "vec"])
+
+        if missing.limit(1).count():
+            self.put("embeddings", missing.mapInArrow(run, kind))
+        return keyed.join(self.read("embeddings", kind), "text_sha")

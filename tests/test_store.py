@@ -217,3 +217,88 @@ def test_cache_counts_what_it_keeps(spark, tmp_path):
     assert s.cache_stats() == (0, 0)
     s.put("cache", spark.createDataFrame([("k1", "abcde"), ("k2", "fünf!")], "key string, response string"))
     assert s.cache_stats() == (2, 11)
+
+
+DECISIONS = "decision_id long, action string, target string, content string, tags array<string>, confidence double, reason string, ordinal int"
+
+
+def _one_shard(spark, tmp_path):
+    from mnemoflow.plans import commit
+
+    s, now = store.MemoryStore(spark, str(tmp_path / "store")), F.lit("2024-02-01").cast("timestamp")
+    commit.create_shards(s, spark.createDataFrame([("a", "A", "d", ["x"], "s")], "id string, name string, description string, tags array<string>, summary string"), now)
+    return s, now
+
+
+def _writes(spark, start, many):
+    return spark.range(start, start + many).select(F.col("id").alias("decision_id"), F.lit("write").alias("action"), F.lit("a").alias("target"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("content"), F.array(F.lit("t")).alias("tags"), F.lit(0.5).alias("confidence"), F.lit("r").alias("reason"), F.col("id").cast("int").alias("ordinal"))
+
+
+def test_snapshots_past_999(spark, tmp_path):
+    """2,000 writes in three commits make 2,001 snapshots; a snapshot holds what was written up to it."""
+    from mnemoflow.plans import commit
+
+    s, now = _one_shard(spark, tmp_path)
+    for start, many in ((0, 997), (997, 3), (1000, 1000)):
+        commit.commit(s, _writes(spark, start, many), now)
+    manifest = s.read("manifests", store.MANIFEST).first()
+    assert manifest.latestSnapshotId == "S2001" and manifest.snapshotIds == [f"S{n:03d}" for n in range(1, 2002)] and manifest.nEvents == 2000
+    events = s.read("events", store.STORED_EVENT)
+    assert events.select("snapshotId").distinct().count() == events.count() == 2000
+    assert [s.events("a", x).count() for x in ("S001", "S999", "S1000", "S2001")] == [0, 998, 999, 2000]
+    assert s.snapshot_ids("a") == manifest.snapshotIds and s.snapshot_ids("none") == []
+
+
+def test_a_transaction_counts_once_and_as_a_whole(spark, tmp_path, monkeypatch):
+    from mnemoflow.plans import commit
+
+    s, now = _one_shard(spark, tmp_path)
+    first = sorted(map(tuple, commit.commit(s, _writes(spark, 0, 3), now, "t1").collect()))
+    before = s.fingerprint()
+    assert sorted(map(tuple, commit.commit(s, _writes(spark, 0, 3), now, "t1").collect())) == first and s.fingerprint() == before
+    whole = store.MemoryStore.publish
+
+    def broken(self, transaction, tables, **more):  # it fails after the first of its tables
+        list(tables.values())[0].write.mode("overwrite").parquet(f"{self.path('events')}/part={3:012d}-{transaction}")
+        raise OSError("lost")
+
+    monkeypatch.setattr(store.MemoryStore, "publish", broken)
+    with pytest.raises(OSError, match="lost"):
+        commit.commit(s, _writes(spark, 3, 2), now, "t2")
+    monkeypatch.setattr(store.MemoryStore, "publish", whole)
+    assert s.fingerprint() == before
+    commit.commit(s, _writes(spark, 3, 2), now, "t2")
+    assert s.events("a").count() == 5 and s.read("manifests", store.MANIFEST).first().latestSnapshotId == "S006"
+    assert s.read("chronicle", store.CHRONICLE).count() == 6
+    monkeypatch.setattr(s, "transactions", lambda: whole_list[:-1])
+    whole_list = store.MemoryStore.transactions(s)
+    with pytest.raises(RuntimeError, match="repeat"):  # a writer that hasn't seen the last transaction
+        s.publish("late", {"telemetry": spark.range(1)})
+
+
+def test_a_stream_commits_each_batch_once(spark, tmp_path):
+    s, now = _one_shard(spark, tmp_path)
+    _writes(spark, 0, 4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(_writes(spark, 0, 1).schema).parquet(str(tmp_path / "in"))
+    for checkpoint in ("c1", "c2"):  # the second has lost its progress and sends the batch again
+        ingest.commit_batches(stream, s, now, "decisions", str(tmp_path / checkpoint)).awaitTermination()
+        assert s.events("a").count() == 4
+
+
+def test_parts_are_folded_and_misses_alone_are_written(spark, tmp_path):
+    s, calls = store.MemoryStore(spark, str(tmp_path)), spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        calls.add(len(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    texts = lambda *t: spark.createDataFrame([(x,) for x in t], "text string")
+    assert sorted(r.vec[0] for r in s.embedded(texts("a", "bb", "bb", None), embed).collect()) == [0.0, 1.0, 2.0, 2.0]
+    assert calls.value == 3
+    assert sorted(r.vec[0] for r in s.embedded(texts("bb", "ccc"), embed).collect()) == [2.0, 3.0]
+    assert calls.value == 4 and spark.read.parquet(s.parts("embeddings")[-1]).count() == 1
+    s.put("embeddings", s.read("embeddings", store.EMBEDDED).where("vec[0] = 3").withColumn("vec", F.array(F.lit(9.0))))
+    for _ in range(2):
+        assert sorted(r.vec[0] for r in s.read("embeddings", store.EMBEDDED).collect()) == [0.0, 1.0, 2.0, 9.0]
+        s.compact("embeddings", store.EMBEDDED)
+    assert len(s.parts("embeddings")) == 1
