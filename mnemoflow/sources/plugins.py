@@ -5,8 +5,9 @@ from __future__ import annotations
 from typing import Protocol
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import retrieval
+from ..operators import graph, retrieval
 
 
 class Retriever(Protocol):
@@ -46,26 +47,20 @@ class Hybrid:
 
 
 class EntityGraph:
-    """Events that share entities with a question's best hits: walks of a few steps on the graph of events and entities."""
+    """Walks with restarts from a question's entities over the graph of events and entities."""
 
-    def __init__(self, steps: int = 2, k: int = 10, damping: float = 0.5) -> None:
-        self.steps, self.k, self.damping = steps, k, damping
+    def __init__(self, k: int = 10, damping: float = graph.DAMPING, eps: float = graph.EPS) -> None:
+        self.k, self.damping, self.eps = k, damping, eps
 
     def retrieve(self, queries: DataFrame, corpus: DataFrame) -> DataFrame:
-        from pyspark.sql import functions as F
-
-        from ..functions.text import bridge_terms
-        from ..operators.rank import top_k
-
-        held = corpus.select("event_id", F.explode(bridge_terms(F.col("content"))).alias("entity"))
-        degree = held.groupBy("entity").agg(F.count("*").alias("d_entity")).where("d_entity > 1")
-        links = held.join(degree, "entity").join(held.groupBy("event_id").agg(F.count("*").alias("d_event")), "event_id")
-        seeds = queries.select("query_id", F.explode(bridge_terms(F.col("question"))).alias("entity"))
-        mass = seeds.join(links, "entity").groupBy("query_id", "event_id").agg(F.sum(1 / F.col("d_entity")).alias("m"))
-        total = mass
-        for _ in range(self.steps):
-            to_entity = mass.join(links, "event_id").groupBy("query_id", "entity").agg(F.sum(F.col("m") / F.col("d_event")).alias("m"))
-            mass = to_entity.join(links, "entity").groupBy("query_id", "event_id").agg((self.damping * F.sum(F.col("m") / F.col("d_entity"))).alias("m"))
-            total = total.unionByName(mass)
-        scored = total.groupBy("query_id", "event_id").agg(F.round(F.sum("m"), 9).alias("score"))
-        return top_k(scored, ["query_id"], [F.desc("score"), F.asc("event_id")], self.k)
+        return graph.ppr(corpus, queries, self.k, self.damping, self.eps)
+
+
+class DualLevelGraph:
+    """A question's entities and the relations between them, in turns."""
+
+    def __init__(self, k: int = 10, mode: str = "hybrid") -> None:
+        self.k, self.mode = k, mode
+
+    def retrieve(self, queries: DataFrame, corpus: DataFrame) -> DataFrame:
+        return graph.dual_level(corpus, queries, self.k, self.mode).withColumn("score", 1.0 / F.col("rank"))
