@@ -1,8 +1,10 @@
-"""Queries over the graph of events and entities."""
+"""Queries over the graph of events and entities, and the memory of facts."""
 
 from __future__ import annotations
 
-from ..operators import graph
+from pyspark.sql import functions as F
+
+from ..operators import facts, graph
 from ..sources import views
 from . import sql
 
@@ -68,3 +70,25 @@ SQL["graph_dual_level"] = f"""WITH {_EDGES},
   merged AS (SELECT query_id, event_id, min(place) AS place FROM placed GROUP BY ALL)
   SELECT query_id, event_id, CASE WHEN place % 2 = 1 THEN 'entity' ELSE 'relation' END AS level, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place) AS INTEGER) AS rank
   FROM merged QUALIFY rank <= 10"""
+
+
+@query
+def fact_memory(spark, sf):
+    """What all events say, consolidated: versions of a fact are one memory."""
+    events = views.events(spark, sf).withColumn("ordinal", F.col("event_id"))
+    rows, _ = facts.consolidate(events, spark.createDataFrame([], facts.FACT), spark.createDataFrame([], facts.TAIL))
+    return facts.memories(rows)
+
+
+SQL["fact_memory"] = f"""WITH RECURSIVE spoken AS (SELECT source AS shard_id, doc_id AS event_id, text AS said, {sql.bridge_terms('text')} AS terms FROM documents WHERE text IS NOT NULL),
+  statements AS (SELECT shard_id, said, min(event_id) AS event_id, count(*) AS n, any_value(terms) AS terms FROM spoken WHERE len(terms) > 0 GROUP BY shard_id, said),
+  listed AS (SELECT shard_id, event_id, terms, unnest(list_transform(list_sort(list_transform(terms, lambda t: {{'n': -length(t), 't': t}}))[1:3], lambda x: x.t)) AS term FROM statements),
+  met AS (SELECT *, lag(event_id) OVER w AS previous, lag(terms) OVER w AS other FROM listed WINDOW w AS (PARTITION BY shard_id, term ORDER BY event_id)),
+  near AS (SELECT event_id, previous FROM (
+      SELECT event_id, previous, len(list_intersect(terms, other))::DOUBLE / len(list_distinct(list_concat(terms, other))) AS share FROM met WHERE previous IS NOT NULL)
+    WHERE share >= 0.5 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY share DESC, previous DESC) = 1),
+  chains AS (
+    SELECT event_id, event_id AS memory_id FROM statements ANTI JOIN near USING (event_id)
+    UNION ALL SELECT near.event_id, memory_id FROM near JOIN chains ON near.previous = chains.event_id)
+  SELECT shard_id, CAST(memory_id AS VARCHAR) AS memory_id, CAST(max(event_id) AS VARCHAR) AS event_id, count(*) AS n_versions, CAST(sum(n) AS BIGINT) AS n_said
+  FROM statements JOIN chains USING (event_id) GROUP BY shard_id, memory_id"""

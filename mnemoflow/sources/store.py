@@ -151,8 +151,8 @@ class MemoryStore:
     a transaction costs what it writes, and ``compact`` folds a table into one part when it has many.
     """
 
-    LOGS = ("chronicle", "query_runs", "results", "telemetry", "events")
-    KEYED = {"directory": "id", "manifests": "shardId", "cache": "key", "embeddings": "text_sha"}
+    LOGS = ("chronicle", "query_runs", "results", "telemetry", "events", "facts")
+    KEYED = {"directory": "id", "manifests": "shardId", "cache": "key", "embeddings": "text_sha", "fact_tails": "key"}
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
