@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import text
-from ..operators import folds, rank, retrieval
+from ..operators import folds, lexical_index, rank, retrieval
 from ..sources import views
+from ..sources.cut import cut, scratch_path
 from . import sql
 
 QUERIES, SQL = {}, {}
@@ -46,6 +47,16 @@ def bm25_topk(spark, sf):
 SQL["bm25_topk"] = f"WITH {sql.BM25} SELECT query_id, event_id, score, rank FROM bm25"
 
 
+@query
+def bm25_indexed(spark, sf):
+    """The same hits from a stored index that reads few postings of frequent words."""
+    index = lexical_index.extend(lexical_index.LexicalIndex(spark), views.events(spark, sf), scratch_path(spark, "lexical-index"))
+    return lexical_index.search(index, views.questions(spark, sf), kept=cut).select("query_id", "event_id", "score", "rank")
+
+
+SQL["bm25_indexed"] = SQL["bm25_topk"]
+
+
 @query
 def cosine_topk(spark, sf):
     return retrieval.knn(views.vectors(spark, sf), _asked(spark, sf)).select("query_id", "event_id", "score", "rank")

@@ -7,7 +7,8 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, retrieval
+from ..operators import graph, lexical_index, retrieval
+from .cut import cut
 
 
 class Retriever(Protocol):
@@ -28,6 +29,16 @@ class Lexical:
         return retrieval.bm25(corpus, queries, self.k)
 
 
+class StoredLexical:
+    """Hits of a stored index, which has been built of the corpus; the corpus given is not read."""
+
+    def __init__(self, index: lexical_index.LexicalIndex, k: int = 20) -> None:
+        self.index, self.k = index, k
+
+    def retrieve(self, queries: DataFrame, corpus: DataFrame) -> DataFrame:
+        return lexical_index.search(self.index, queries, self.k, cut)
+
+
 class Vector:
     def __init__(self, vectors: DataFrame, query_vectors: DataFrame, k: int = 20) -> None:
         self.vectors, self.query_vectors, self.k = vectors, query_vectors, k
