@@ -86,13 +86,11 @@ def _terms(index: LexicalIndex, questions: DataFrame) -> DataFrame:
     return terms.join(bounds, "tok").select("query_id", "tok", "weight", "average", (F.col("weight") * F.col("top")).alias("bound"))
 
 
-def _scored(index: LexicalIndex, terms: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(query_id, event_id, score) of candidates (query_id, event_id), from the events' own words."""
-    asked = terms.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("tok", "weight"))).alias("weights"), F.first("average").alias("average"))
-    rows = candidates.join(index.table("events"), "event_id").join(asked, "query_id")
-    known = F.filter("words", lambda w: F.map_contains_key(F.col("weights"), w["tok"]))
-    total = F.aggregate(known, F.lit(0.0), lambda s, w: s + F.col("weights")[w["tok"]] * _impact(w["tf"], F.col("length"), F.col("average")))
-    return rows.select("query_id", "event_id", F.round(total, 6).alias("score"))
+def _added(index: LexicalIndex, candidates: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, event_id, added): what the terms (query_id, tok, weight, average) add to the candidates (query_id, event_id), from the events' own words."""
+    own = candidates.join(index.table("events"), "event_id").select("query_id", "event_id", "length", F.explode("words").alias("w")).select("query_id", "event_id", "length", "w.tok", "w.tf")
+    met = own.join(terms.select("query_id", "tok", "weight", "average"), ["query_id", "tok"])
+    return met.groupBy("query_id", "event_id").agg(F.sum(F.col("weight") * _impact(F.col("tf"), F.col("length"), F.col("average"))).alias("added"))
 
 
 def plan(index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame:
@@ -100,7 +98,8 @@ def plan(index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame:
     first = index.table("blocks").where("no = 0").join(terms, "tok")
     partial = first.select("query_id", "weight", "average", F.explode("postings").alias("p")).groupBy("query_id", "p.event_id").agg(F.sum(F.col("weight") * _impact(F.col("p.tf"), F.col("p.length"), F.col("average"))).alias("part"))
     likely = top_k(partial, ["query_id"], [F.desc("part"), F.asc("event_id")], 2 * k)
-    best = top_k(_scored(index, terms, likely.select("query_id", "event_id")), ["query_id"], [F.desc("score"), F.asc("event_id")], k)
+    full = _added(index, likely.select("query_id", "event_id"), terms).select("query_id", "event_id", F.round("added", 6).alias("score"))
+    best = top_k(full, ["query_id"], [F.desc("score"), F.asc("event_id")], k)
     floors = best.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(0.0).alias("floor"))
     whole = Window.partitionBy("query_id")  # the terms of one question
     upward = whole.orderBy("bound", "tok").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -119,9 +118,14 @@ def search(index: LexicalIndex, questions: DataFrame, k: int = DEFAULT.k_lexical
     blocks = index.table("blocks").join(needed, "tok")
     bound = F.col("weight") * _impact(F.col("most"), F.col("shortest"), F.col("average"))
     read = blocks.where(bound + F.col("others") >= F.col("floor") - _SLACK)
-    postings = read.select("query_id", "weight", "average", "floor", F.coalesce("unread", F.lit(0.0)).alias("unread"), F.explode("postings").alias("p"))
+    postings = read.select("query_id", "weight", "average", "floor", "unread", F.explode("postings").alias("p"))
     part = F.sum(F.col("weight") * _impact(F.col("p.tf"), F.col("p.length"), F.col("average")))
     met = postings.groupBy("query_id", "p.event_id").agg(part.alias("part"), F.first("floor").alias("floor"), F.first("unread").alias("unread"))
-    candidates = met.where(F.col("part") + F.col("unread") >= F.col("floor") - _SLACK).select("query_id", "event_id")
-    scored = _scored(index, terms, candidates).where("score > 0")
+    # an event in a block that wasn't read can't be among the best; the others' sums lack only what the unread terms add
+    whole = met.where(F.col("unread").isNull()).select("query_id", "event_id", F.round("part", 6).alias("score"))
+    short = met.where(F.col("unread").isNotNull() & (F.col("part") + F.col("unread") >= F.col("floor") - _SLACK)).select("query_id", "event_id", "part")
+    short = kept(short)
+    more = short.join(_added(index, short.select("query_id", "event_id"), planned.where(~F.col("needed"))), ["query_id", "event_id"], "left")
+    total = F.col("part") + F.coalesce("added", F.lit(0.0))
+    scored = whole.unionByName(more.select("query_id", "event_id", F.round(total, 6).alias("score"))).where("score > 0")
     return top_k(scored, ["query_id"], [F.desc("score"), F.asc("event_id")], k)
