@@ -105,7 +105,7 @@ def mix(docs: DataFrame, weight: Callable[[int], float] = lambda k: k % 3 + 1, d
     n = _parts(max([r.n for r in totals], default=0))
     placed = sized.join(sources, sized.source.eqNullSafe(sources.source)).drop("source")
     line = placed.where("size > 0").withColumn("part", F.shiftright("key", 60 - n.bit_length() + 1))
-    line = _running(line, "s", "part", ["key", "doc_id", "size"], "size", "start")
+    line = _running(line, "s", "part", ["key", "doc_id", "size", "text_hash"], "size", "start")
     paged = line.select("*", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("page"))
 
     slots = _schedule(sources, wanted, block)
