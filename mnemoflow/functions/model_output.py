@@ -107,11 +107,13 @@ def source_event(source: Column) -> Column:
     return F.when(F.contains(source, F.lit(":")), F.nullif(F.trim(F.substring_index(source, ":", -1)), F.lit("")))
 
 
+# What a fault that passes by itself says.
+PASSING_CODES = r"HTTP (408|409|429|500|502|503|504)\b"
+PASSING = "(?i)timed out|fetch failed|overloaded|RESOURCE_EXHAUSTED|ECONNRESET|ETIMEDOUT|UND_ERR"
+
+
 def transient(message: Column) -> Column:
-    # What a fault that passes by itself says.
-    return F.regexp_like(message, F.lit(r"HTTP (408|409|429|500|502|503|504)\b")) | F.regexp_like(
-        message, F.lit("(?i)timed out|fetch failed|overloaded|RESOURCE_EXHAUSTED|ECONNRESET|ETIMEDOUT|UND_ERR")
-    )
+    return F.regexp_like(message, F.lit(PASSING_CODES)) | F.regexp_like(message, F.lit(PASSING))
 
 
 def retry_delay(attempt: Column, base_ms: int) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import model_output, prompts
 from ..operators import answers, context
+from ..sources.cut import cut
 from ..sources.plugins import StageModel
 
 
@@ -19,7 +20,7 @@ def complete_valid(model: StageModel, asked: DataFrame, schema: str, required: l
         data = model_output.conforming(model_output.extract_json(F.col("response")), schema, required)
         return got.select("key", data.alias("data"), F.lit(attempt).alias("attempts"))
 
-    first = tried(asked, 1).cache()  # a model isn't asked twice for the same answer
+    first = cut(tried(asked, 1))  # written, as a model isn't asked twice for the same answer, whatever machine is lost
     failed = asked.join(first.where("data IS NULL").select("key"), "key", "left_semi")
     again = tried(failed.select("key", prompts.reminded(F.col("prompt"), name).alias("prompt")), 2)
     return first.where("data IS NOT NULL").unionByName(again)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import model_output, prompts, text
 from ..operators import agent, context, evaluate, report, retrieval, validate
 from ..sources import views
+from ..sources.cut import scratch_path
+from ..sources.model import Calls
+from ..sources.store import EMBEDDED, MemoryStore
 from . import sql
 from .agent import _SCORED, TERMS
 
@@ -90,6 +93,54 @@ def retry_plan(spark, sf):
 SQL["retry_plan"] = "SELECT doc_id AS event_id, list_contains([0, 2, 4, 6], doc_id % 7) AS transient, CAST(500 * 2 ** (doc_id % 5) AS BIGINT) AS delay_ms FROM documents"
 
 
+def _counting():
+    """A model that says how long the prompt is. It fails twice, and then answers, or fails for good, by the length."""
+    tried: dict[str, int] = {}
+
+    async def call(prompt: str) -> str:
+        tried[prompt] = tried.get(prompt, 0) + 1
+        if len(prompt) % 13 == 0:
+            raise ValueError("HTTP 400 refused")
+        if len(prompt) % 7 == 0 and tried[prompt] % 3:
+            raise OSError("HTTP 503 busy")
+        return f"length {len(prompt)}"
+
+    return call
+
+
+@query
+def model_calls(spark, sf):
+    """Every event is asked about, a few calls at a time; faults that pass by themselves are tried again."""
+    asked = views.events(spark, sf).select(F.col("event_id").cast("string").alias("key"), F.concat(F.col("event_id").cast("string"), F.lit(" "), F.coalesce("content", F.lit(""))).alias("prompt"))
+    return Calls(_counting, limit=4, base_ms=1).complete(asked)
+
+
+SQL["model_calls"] = """SELECT CAST(doc_id AS VARCHAR) AS key, CASE WHEN n % 13 <> 0 THEN 'length ' || n END AS response,
+  CAST(CASE WHEN n % 13 = 0 THEN 1 WHEN n % 7 = 0 THEN 3 ELSE 1 END AS INTEGER) AS attempts, CASE WHEN n % 13 = 0 THEN 'HTTP 400 refused' END AS error
+  FROM (SELECT doc_id, length(doc_id || ' ' || coalesce(text, '')) AS n FROM documents)"""
+
+
+def _measures(texts: list[str]) -> list[list[float]]:
+    return [[float(len(t)), float(t.count(" "))] for t in texts]
+
+
+@query
+def embedding_cache(spark, sf):
+    """Vectors of the questions' texts, then of all texts: the second time those that are there aren't made again."""
+    store = MemoryStore(spark, scratch_path(spark, "store"))
+    texts = views.events(spark, sf).select(F.coalesce("content", F.lit("")).alias("text"))
+    store.embedded(views.questions(spark, sf).select(F.col("question").alias("text")), _measures)
+    store.embedded(texts, _measures)
+    first, second = (spark.read.parquet(p).select("text_sha") for p in store.parts("embeddings"))
+    made = first.withColumn("made", F.lit("first")).unionByName(second.withColumn("made", F.lit("second")))
+    vectors = store.read("embeddings", EMBEDDED)
+    return made.join(vectors, "text_sha").select("text_sha", "made", F.col("vec")[0].alias("length"), F.col("vec")[1].alias("blanks"))
+
+
+SQL["embedding_cache"] = f"""WITH {sql.QUESTIONS}, texts AS (SELECT question AS t, 'first' AS made FROM questions UNION ALL SELECT coalesce(text, ''), 'second' FROM documents)
+  SELECT sha256(t) AS text_sha, min(made) AS made, CAST(length(t) AS DOUBLE) AS length, CAST(length(t) - length(replace(t, ' ', '')) AS DOUBLE) AS blanks FROM texts GROUP BY t"""
+
+
 @query
 def choice_prompts(spark, sf):
     """Prompts over all nations as options."""
