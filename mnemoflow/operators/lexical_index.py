@@ -54,7 +54,8 @@ def _impact(tf: Column, length: Column, average: Column) -> Column:
 
 def extend(index: LexicalIndex, corpus: DataFrame, path: str) -> LexicalIndex:
     """The index with a segment of events that it doesn't have yet, written to ``path``."""
-    held = corpus.select("event_id", text.tokenize_bm25(F.col("content")).alias("toks"))
+    # dealt by event once, before the words are taken apart: both groupings keep to it
+    held = corpus.select("event_id", text.tokenize_bm25(F.col("content")).alias("toks")).repartition("event_id")
     counted = held.select("event_id", F.size("toks").alias("length"), F.explode("toks").alias("tok")).groupBy("event_id", "length", "tok").agg(F.count("*").cast("int").alias("tf"))
     own = counted.groupBy("event_id", "length").agg(F.collect_list(F.struct("tok", "tf")).alias("words"))
     # an event without content is counted but has no length
@@ -69,7 +70,7 @@ def extend(index: LexicalIndex, corpus: DataFrame, path: str) -> LexicalIndex:
     order = Window.partitionBy("tok", "salt").orderBy(_impact(F.col("tf"), F.col("length"), F.col("average")).desc(), "event_id")
     numbered = dealt.withColumn("no", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
     blocks = numbered.groupBy("tok", "salt", "no").agg(F.max("tf").alias("most"), F.min("length").alias("shortest"), F.count("*").alias("n"), F.collect_list(F.struct("event_id", "tf", "length")).alias("postings"))
-    blocks.repartitionByRange("tok").sortWithinPartitions("tok", "salt", "no").write.parquet(f"{path}/blocks")
+    blocks.sortWithinPartitions("tok", "salt", "no").write.parquet(f"{path}/blocks")
     return replace(index, segments=(*index.segments, path))
 
 
