@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from ..config import DEFAULT
 from ..functions import maths
+from ..sources.cut import cut
+from . import resample
 from .rank import latest_wins
 
 CELL = ["system", "model_context", "corpus_size", "trial", "query_id"]
@@ -56,21 +58,11 @@ def not_stopped(grid: DataFrame, stops: DataFrame) -> DataFrame:
 def bootstrap(cells: DataFrame, keys: list[str], rounds: int, seed: int = DEFAULT.seed) -> DataFrame:
     """95 % interval of the accuracy: means of seeded resamples, in order, by index without interpolation.
 
-    A group's outcomes travel as one array, in the order of their questions; a draw is
-    a function of seed and number, so rounds are independent rows and no resample is stored.
+    Outcomes, in the order of their questions and trials, are bits in blocks (``resample``); an outcome that is null counts as wrong.
     """
-    outcome = F.struct("query_id", "trial", F.col("correct").cast("int").alias("y"))
-    per = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(outcome)).alias("all")).select(*keys, F.col("all.y").alias("ys"))
-    n = F.size("ys")
-    rows = per.select("*", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    draws = maths.mulberry32_draws(F.lit(seed), F.sequence(F.col("round").cast("long") * n + 1, F.col("round").cast("long") * n + n))
-    hits = F.aggregate(F.transform(draws, lambda x: F.get("ys", F.floor(x * n).cast("int"))), F.lit(0), lambda s, y: s + y)
-    means = rows.select(*keys, n.cast("long").alias("n"), (hits / n).alias("mean"))
-    w = Window.partitionBy(*keys).orderBy("mean")
-    placed = means.withColumn("at", F.row_number().over(w) - 1)
-    low, high = int(0.025 * rounds), min(int(0.975 * rounds), rounds - 1)
-    pick = lambda k: F.round(F.max(F.when(F.col("at") == k, F.col("mean"))), 6)
-    return placed.groupBy(*keys).agg(F.max("n").alias("n"), pick(low).alias("ci_low"), pick(high).alias("ci_high"))
+    right = F.coalesce(F.col("correct").cast("int"), F.lit(0))
+    packed = resample.blocks(resample.numbered(cells, keys, ["query_id", "trial"], right, cut), keys)
+    return resample.interval(resample.round_hits(packed, keys, rounds, seed), keys, rounds)
 
 
 def paired(cells: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemoflow import queries
 from mnemoflow.functions import dates, maths, text
-from mnemoflow.operators import agent, answers, evaluate, fillers, folds, rank, router
+from mnemoflow.operators import agent, answers, evaluate, fillers, folds, rank, resample, router
 from mnemoflow.sources import views
 
 
@@ -235,3 +235,18 @@ def test_full_bootstrap_takes_all_resamples(spark, tmp_path):
     got = {key(r): (r.n, r.ci_low, r.ci_high) for r in queries.QUERIES["bootstrap_ci_full"](spark, str(tmp_path)).collect()}
     assert got == {k: plain_interval(ys, 10_000) for k, ys in groups.items()}
     assert got != {k: plain_interval(ys, 200) for k, ys in groups.items()}
+
+
+def test_bootstrap_of_several_blocks_slices_and_null_keys(spark, monkeypatch):
+    """Small blocks, slices and chunks, so that a group is several of each; null keys and null outcomes."""
+    monkeypatch.setattr(resample, "BLOCK_WORDS", 2)
+    monkeypatch.setattr(resample, "DRAWS", 100)
+    monkeypatch.setattr(resample, "_CHUNK", 32)
+    rows = [(None if o % 3 == 0 else f"s{o % 3}", f"q{o % 50:03}", o // 50, None if o % 11 == 0 else o * 7 % 5 < 2) for o in range(700)]
+    cells = spark.createDataFrame(rows, "system string, query_id string, trial int, correct boolean").repartition(7)
+    groups = {}
+    for s, _, _, y in sorted(rows, key=lambda r: (r[1], r[2])):
+        groups.setdefault(s, []).append(int(bool(y)))
+    got = {r.system: (r.n, r.ci_low, r.ci_high) for r in evaluate.bootstrap(cells, ["system"], 60).collect()}
+    assert got == {s: plain_interval(ys, 60) for s, ys in groups.items()}
+    assert evaluate.bootstrap(cells.where("false"), ["system"], 60).count() == 0
