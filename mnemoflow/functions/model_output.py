@@ -77,11 +77,13 @@ def _all(tests: list[Column]) -> Column:
 CLAIM = "claim string, support array<string>, confidence double"
 
 
-def tolerant_claims(json: Column) -> Column:
-    """The claims of an array that are whole; a faulty one is left out and spoils none of the others."""
+def tolerant_claims(json: Column, support: str = "support") -> Column:
+    """The claims of an array that are whole; a faulty one is left out and spoils none of the others. ``support``: what its sources are called."""
     items = F.from_json(json, T.ArrayType(T.StringType()))
-    read = F.transform(items, lambda x: F.from_json(x, T.StructType.fromDDL(CLAIM)))
-    return F.coalesce(F.filter(read, lambda c: c["claim"].isNotNull() & c["support"].isNotNull() & c["confidence"].isNotNull() & F.forall(c["support"], lambda s: s.isNotNull())), F.array().cast(f"array<struct<{CLAIM.replace(' string', ':string').replace(' array', ':array').replace(' double', ':double')}>>"))
+    kind = T.StructType.fromDDL(CLAIM.replace("support", support))
+    read = F.transform(items, lambda x: F.from_json(x, kind))
+    whole = lambda c: c["claim"].isNotNull() & c[support].isNotNull() & c["confidence"].isNotNull() & F.forall(c[support], lambda s: s.isNotNull())
+    return F.coalesce(F.filter(read, whole), F.array().cast(T.ArrayType(kind)))
 
 
 def unfence(text: Column) -> Column:

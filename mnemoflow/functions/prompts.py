@@ -33,9 +33,9 @@ def reminded(prompt: Column, schema: str) -> Column:
 
 # Own wording; each stage names the JSON that it wants.
 STAGES = {
-    "probe": "Does this shard know anything about the query? Give JSON: knows, confidence (0 to 1), memory_type, answer_value, needs_recall, relevant.",
-    "recall": "What does this shard say about the query? Give JSON: shard_id, snapshot_id, confidence, answer, claims (claim, support, confidence), unknowns, conflicts.",
-    "synthesis": "Merge these recalls. Give JSON: query, summary, key_claims (claim, sources, confidence), conflicts, caveats, context.",
+    "probe": "Does this shard know anything about the query? Give JSON: knows, confidence (0 to 1), memory_type (direct, adjacent, conflicting, vague or none), answer_value (none, low, medium or high), needs_recall, relevant (event ids).",
+    "recall": "What does this shard say about the query? Give JSON: confidence (0 to 1), answer, claims (claim, support, confidence), unknowns, conflicts.",
+    "synthesis": "Merge these recalls. Give JSON: summary, key_claims (claim, sources, confidence), conflicts, caveats, context.",
     "commit": "Should anything of this exchange be kept? Give JSON: action, target_shard_id, content, tags, confidence, reason.",
 }
 

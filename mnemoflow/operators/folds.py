@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,9 +122,9 @@ def merge_claims(claims: list[tuple[str, list[str], float]]) -> list[tuple[str,
     return [tuple(b) for b in sorted(buckets, key=lambda b: -b[2])]
 
 
-def synthesize(recalls: DataFrame) -> DataFrame:
+def synthesize(recalls: DataFrame, as_json: bool = False) -> DataFrame:
     """(query_id, summary, key_claims, n_claims, context). ``recalls``: (query_id, place, source, answer, confidence, claims);
-    a query has a handful of recalls."""
+    a query has a handful of recalls. ``as_json``: key claims as an array in JSON, confidences to two decimals."""
     schema = "query_id long, summary string, key_claims string, n_claims int, context string"
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
@@ -134,6 +135,8 @@ def synthesize(recalls: DataFrame) -> DataFrame:
         best = rows.sort_values("confidence", ascending=False, kind="stable").head(2)
         context = "\n\n".join(f"{s}: {a}" for s, a in zip(best["source"], best["answer"], strict=True))
         text = "\n".join(f"{c} <- {','.join(s)}" for c, s, _ in merged)
+        if as_json:
+            text = json.dumps([{"claim": c, "sources": s, "confidence": int(x * 100 + 0.5) / 100} for c, s, x in merged], ensure_ascii=False)
         return pd.DataFrame({"query_id": [rows["query_id"].iloc[0]], "summary": [summary], "key_claims": [text], "n_claims": [len(merged)], "context": [context]})
 
     return recalls.groupBy("query_id").applyInPandas(fold, schema)

@@ -25,6 +25,21 @@ class Deterministic:
         return prompts.select("key", self.answer(F.col("prompt")).alias("response"))
 
 
+class Baked(Deterministic):
+    """Gives back the answer that the prompt carries: the deterministic model of each stage (see ``baked``)."""
+
+    def __init__(self) -> None:
+        super().__init__(lambda prompt: F.regexp_extract(prompt, f"(?s)^.*\n\n{_FENCE[0]}(.*){_FENCE[1]}$", 1))
+
+
+_FENCE = ("<ANSWER IS>", "</ANSWER IS>")  # behind a blank line, which JSON on one line can't hold
+
+
+def baked(answer: Column) -> Column:
+    """The end of a prompt that a ``Baked`` model answers."""
+    return F.concat(F.lit("\n\n" + _FENCE[0]), answer, F.lit(_FENCE[1]))
+
+
 class Calls:
     """A model behind an asynchronous function of a prompt, such as a request to a service.
 
