@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import maths
-from ..operators import evaluate, report
+from ..operators import costs, evaluate, report
 from ..sources import views
 from . import sql
 
@@ -211,6 +211,39 @@ SQL["accounting_fix"] = f"""WITH {sql.CELLS}, f AS (SELECT system, input_tokens
 SELECT system, CAST(sum(a) AS BIGINT) AS before, CAST(sum(b) AS BIGINT) AS after, CAST(count_if(a <> b) AS BIGINT) AS changed FROM f GROUP BY system"""
 
 
+def _with_meta(cells):
+    """Cells with an open map each: a packet's cost, one and the mark, something else, what can't be read, or none."""
+    packet = F.struct(F.col("line_no").alias("inputTokensEstimate"), (F.col("line_no") % 40).alias("latencyMs"))
+    marked = F.struct(packet.alias("packetCost"), (F.col("input_tokens") - F.col("line_no") % 3).alias("finalCallInputTokens"), (F.col("line_no") % 2).alias("pipelineInputTokens"), F.col("latency_ms").alias("finalCallLatencyMs"))
+    other = F.struct(F.array("query_id").alias("cited"), F.lit("none").alias("packetCost"))
+    json = F.when(F.col("line_no") % 5 < 2, F.to_json(F.struct(packet.alias("packetCost"), F.col("query_id").alias("note")))).when(F.col("line_no") % 5 == 2, F.to_json(marked)).when(F.col("line_no") % 5 == 3, F.to_json(other)).when(F.col("line_no") % 7 < 3, "[1, {")
+    return cells.withColumn("meta", F.try_parse_json(json))
+
+
+@query
+def accounting_meta(spark, sf):
+    """Cells of one system whose totals lack their pipeline's cost are mended; the mark's balance is checked before and after."""
+    before = _with_meta(_cells(spark, sf))
+    after = costs.mend(before, "memory")
+    off = lambda df, name: costs.unbalanced(df).groupBy("system").agg(F.count("*").alias(name))
+    note = F.try_variant_get("meta", "$.note", "string")
+    share = F.try_variant_get("meta", "$.pipelineInputTokens", "long")
+    sums = after.groupBy("system").agg(
+        F.count("*").alias("n"), F.sum(F.col("mended").cast("long")).alias("mended"), F.sum("input_tokens").alias("input_tokens"), F.sum("latency_ms").alias("latency_ms"),
+        F.sum(share).alias("pipeline_tokens"), F.count(note).alias("notes"),
+    )
+    rows = sums.join(off(before, "off_before"), "system", "left").join(off(after, "off_after"), "system", "left")
+    return rows.select(*sums.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("off_before", "off_after")])
+
+
+SQL["accounting_meta"] = f"""WITH {sql.CELLS}, m AS (SELECT *, line_no % 5 AS kind, coalesce(input_tokens, 0) AS i, coalesce(latency_ms, 0) AS l FROM current),
+  f AS (SELECT *, system = 'memory' AND kind <> 2 AS fix, CASE WHEN kind < 2 THEN line_no ELSE 0 END AS pi, CASE WHEN kind < 2 THEN line_no % 40 ELSE 0 END AS pl,
+    kind = 2 AND (input_tokens <> input_tokens - line_no % 3 + line_no % 2) AS off FROM m)
+  SELECT system, count(*) AS n, CAST(count_if(fix) AS BIGINT) AS mended, CAST(sum(CASE WHEN fix THEN i + pi ELSE input_tokens END) AS BIGINT) AS input_tokens,
+    CAST(sum(CASE WHEN fix THEN l + pl ELSE latency_ms END) AS BIGINT) AS latency_ms, CAST(sum(CASE WHEN fix THEN pi WHEN kind = 2 THEN line_no % 2 END) AS BIGINT) AS pipeline_tokens,
+    CAST(count_if(kind < 2) AS BIGINT) AS notes, CAST(count_if(off) AS BIGINT) AS off_before, CAST(count_if(off) AS BIGINT) AS off_after FROM f GROUP BY system"""
+
+
 @query
 def rescore_delta(spark, sf):
     """Citation scores before and after wrapped ids are stripped, from orders of a customer and their wrapped copies."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import maths, text
-from ..operators import commit, folds, router
+from ..operators import commit, costs, folds, router
 from ..sources import views
 from . import sql
 
@@ -216,6 +216,16 @@ def ask_pipeline(spark, sf):
     return ask(views.questions(spark, sf), views.corpus(spark, sf), _ref())
 
 
+@query
+def ask_stages(spark, sf):
+    """Every question through the stages with a model each, the deterministic ones, and what its calls cost by stage."""
+    from ..plans.ask_models import ask_models
+
+    packets, calls = ask_models(views.questions(spark, sf), views.corpus(spark, sf), _ref())
+    said = packets.select("query_id", "n_routed", "n_recalls", "n_failed", F.md5("summary").alias("summary"), F.size("key_claims").alias("n_claims"), F.md5("context").alias("context"))
+    return said.join(costs.by_stage(calls), "query_id", "left")
+
+
 def _log(spark, sf):
     """Commit decisions from the event log: some lack a target, some aim at shards that aren't there or aren't open."""
     e = views.table(spark, sf, "events")
