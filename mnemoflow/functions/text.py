@@ -43,10 +43,14 @@ def matched_terms(terms: Column, vocabulary: Column) -> Column:
     return F.size(F.filter(terms, lambda t: F.exists(vocabulary, lambda v: prefix_match(t, v))))
 
 
-def relevance_score(tags: Column, content: Column, terms: Column) -> Column:
-    """2 for each tag that a term equals or (from 4 characters on) shares a beginning with; 1 for each term in the first 200 characters."""
-    tag_hits = F.size(F.filter(tags, lambda g: F.exists(terms, lambda t: (t == F.lower(g)) | ((F.length(t) >= 4) & (F.startswith(t, F.lower(g)) | F.startswith(F.lower(g), t))))))
-    head = F.lower(F.substring(content, 1, 200))
+def relevance_parts(tags: Column, content: Column) -> tuple[Column, Column]:
+    """What ``relevance`` needs of an event: its tags and first 200 characters in lower case, made once for all questions."""
+    return F.transform(tags, F.lower), F.lower(F.substring(content, 1, 200))
+
+
+def relevance(tags: Column, head: Column, terms: Column) -> Column:
+    """2 for each tag that a term equals or (from 4 characters on) shares a beginning with; 1 for each term in the head."""
+    tag_hits = F.size(F.filter(tags, lambda g: F.exists(terms, lambda t: (t == g) | ((F.length(t) >= 4) & (F.startswith(t, g) | F.startswith(g, t))))))
     return tag_hits * 2 + F.size(F.filter(terms, lambda t: F.contains(head, t)))
 
 

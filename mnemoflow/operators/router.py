@@ -211,9 +211,10 @@ def probe_index(questions: DataFrame, corpus: DataFrame, pairs: DataFrame, budge
     head = F.substring(F.regexp_replace("content", r"\s+", " "), 1, DEFAULT.probe_head_chars)
     line = F.concat(F.lit("- ["), F.col("event_id").cast("string"), F.lit("]"), F.when(F.size("tags") > 0, F.concat(F.lit(" tags=["), F.array_join("tags", ","), F.lit("]"))).otherwise(""), F.lit(' "'), head, F.when(F.length("content") > DEFAULT.probe_head_chars, "…").otherwise(""), F.lit('"'))
     # what the score and the line need of a text, not the text, goes through the join
-    held = corpus.select("shard_id", "event_id", "tags", F.substring("content", 1, 200).alias("content"), line.alias("line"))
+    low, start = text.relevance_parts(F.col("tags"), F.col("content"))
+    held = corpus.select("shard_id", "event_id", low.alias("low"), start.alias("start"), line.alias("line"))
     rows = pairs.select("query_id", "shard_id").join(terms, "query_id").join(held, "shard_id")
-    scored = rows.select("query_id", "shard_id", "event_id", text.relevance_score(F.col("tags"), F.col("content"), F.col("terms")).alias("score"), "line")
+    scored = rows.select("query_id", "shard_id", "event_id", text.relevance(F.col("low"), F.col("start"), F.col("terms")).alias("score"), "line")
     sizes = corpus.groupBy("shard_id").agg(F.count("*").alias("n_events"))
     return _packed_lines(scored, sizes, [F.desc("score"), F.asc("event_id")], F.length("line"), 7, budget, " more events truncated)")
 
