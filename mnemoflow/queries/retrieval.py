@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import text
-from ..operators import folds, lexical_index, rank, retrieval
+from ..operators import best, folds, lexical_index, rank, retrieval
 from ..sources import views
 from ..sources.cut import cut, scratch_path
 from . import sql
@@ -123,8 +123,10 @@ def rag_floor(spark, sf):
     """Orders of under 8 events filled up in corpus order from the shard of the best hit, if it scores above the floor."""
     events = views.events(spark, sf)
     base = retrieval.bm25(events, views.questions(spark, sf), 3)
-    top = base.where((F.col("rank") == 1) & (F.col("score") > DEFAULT.rag_floor_score)).join(events.select("event_id", "shard_id"), "event_id").select("query_id", "shard_id")
-    of_shard = rank.top_k(top.join(events.select("shard_id", "event_id"), "shard_id"), ["query_id"], [F.asc("event_id")], DEFAULT.rag_floor_events + 3)
+    top = base.where((F.col("rank") == 1) & (F.col("score") > DEFAULT.rag_floor_score)).join(best.of_events(events.select("event_id", "shard_id"), base), "event_id").select("query_id", "shard_id")
+    # a shard's first events are the same for all questions: they are taken before the join
+    first = rank.top_k(events.select("shard_id", "event_id"), ["shard_id"], [F.asc("event_id")], DEFAULT.rag_floor_events + 3)
+    of_shard = top.join(first, "shard_id")
     return rank.backfill(base, of_shard, ["query_id"], DEFAULT.rag_floor_events)
 
 
@@ -153,7 +155,7 @@ SQL["rerank_fallback"] = f"WITH {sql.BM25} SELECT query_id, event_id, rank, 0.0:
 
 
 def _footholds(spark, sf):
-    return retrieval.last_per_shard(retrieval.bm25(views.events(spark, sf), views.questions(spark, sf), 3), views.events(spark, sf))
+    return cut(retrieval.last_per_shard(retrieval.bm25(views.events(spark, sf), views.questions(spark, sf), 3), views.events(spark, sf)))
 
 
 @query
@@ -176,7 +178,7 @@ SQL["lexical_bridge"] = f"WITH {sql.BM25}, {_SEEDS}, own AS (SELECT query_id, sh
 def entity_bridge(spark, sf):
     """As the lexical bridge, with the terms of the question and of the foothold's own text."""
     events, seeds = views.events(spark, sf), _footholds(spark, sf)
-    own = seeds.join(events.select("event_id", "content"), "event_id").join(views.questions(spark, sf), "query_id")
+    own = seeds.join(best.of_events(events.select("event_id", "content"), seeds), "event_id").join(views.questions(spark, sf), "query_id")
     terms = own.select("query_id", "shard_id", text.bridge_terms(F.concat("question", F.lit("\n"), "content")).alias("terms"))
     return retrieval.bridge(events, seeds, terms, DEFAULT.entity_k)
 
@@ -191,7 +193,8 @@ def shard_expansion(spark, sf):
     events = views.events(spark, sf)
     base = retrieval.bm25(events, views.questions(spark, sf), 6)
     anchors = retrieval.last_per_shard(base, events).select("query_id", "shard_id", F.col("event_id").alias("anchor"), F.col("rank").alias("anchor_rank"))
-    siblings = retrieval.knn(views.vectors(spark, sf), _question_vectors(spark, sf), 4 * DEFAULT.expand_k + 4).join(events.select("event_id", "shard_id"), "event_id")
+    near = cut(retrieval.knn(views.vectors(spark, sf), _question_vectors(spark, sf), 4 * DEFAULT.expand_k + 4))
+    siblings = near.join(best.of_events(events.select("event_id", "shard_id"), near), "event_id")
     groups = siblings.join(anchors, ["query_id", "shard_id"]).select("query_id", "anchor", "anchor_rank", "event_id", "rank")
     return folds.expand_shards(base, groups, DEFAULT.expand_max, DEFAULT.expand_k)
 
