@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.model_output import source_event
 from ..functions.text import estimate_tokens
+from .best import of_events
 from .rank import prefix_pack
 from .retrieval import context_line
 
@@ -43,7 +44,7 @@ def assemble(packets: DataFrame, orders: DataFrame, corpus: DataFrame, budget: i
     """
     heads = packets.select("query_id", "header", estimate_tokens(F.col("header")).alias("head_tokens"))
     line = context_line(F.col("event_id"), F.col("content"))
-    lines = orders.join(corpus.select("event_id", line.alias("line"), estimate_tokens(line).alias("tokens")), "event_id").join(heads.select("query_id", "head_tokens"), "query_id")
+    lines = orders.join(of_events(corpus, orders).select("event_id", line.alias("line"), estimate_tokens(line).alias("tokens")), "event_id").join(heads.select("query_id", "head_tokens"), "query_id")
     fitting = prefix_pack(lines, ["query_id"], [F.asc("place")], F.col("tokens"), budget - F.col("head_tokens"))
     packed = fitting.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "event_id", "line"))).alias("p"), F.sum("tokens").alias("used"))
     rows = heads.join(packed, "query_id", "left")
