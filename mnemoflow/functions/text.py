@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,6 +120,11 @@ def strong_terms(content: Column, terms: Column) -> Column:
     return F.array_distinct(F.filter(terms, lambda t: (signal_weight(t) >= 50) & has_word(content, words, t)))
 
 
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once a row, however often it stands there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def flat(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -126,13 +133,13 @@ def excerpt(content: Column, terms: Column, most: int) -> Column:
     """A window about the strongest term (the earliest of equals), a third of it before the hit."""
     from .dates import date_phrases
 
-    clean = flat(content)
-    low = F.lower(clean)
-    needles = F.array_distinct(F.concat(F.filter(terms, lambda t: F.length(t) > 0), F.transform(date_phrases(clean), F.lower)))
-    hits = F.filter(F.transform(needles, lambda t: F.struct(signal_weight(t).alias("w"), (-F.instr(low, F.lower(t))).alias("p"))), lambda x: x["p"] < 0)
-    best = F.array_max(hits)
-    center = F.coalesce(-best["p"] - 1, F.lit(0))
-    return _window(clean, center - most // 3, most)
+    def about(clean: Column, low: Column) -> Column:
+        needles = F.array_distinct(F.concat(F.filter(terms, lambda t: F.length(t) > 0), F.transform(date_phrases(clean), F.lower)))
+        hits = F.filter(F.transform(needles, lambda t: F.struct(signal_weight(t).alias("w"), (-F.instr(low, F.lower(t))).alias("p"))), lambda x: x["p"] < 0)
+        center = F.coalesce(-F.array_max(hits)["p"] - 1, F.lit(0))
+        return named(center - most // 3, lambda start: _window(clean, start, most))
+
+    return named(flat(content), lambda clean: named(F.lower(clean), lambda low: about(clean, low)))
 
 
 def _window(clean: Column, start: Column, most: int) -> Column:
