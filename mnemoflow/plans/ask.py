@@ -8,18 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import folds, router
+from ..sources.cut import cut
 from ..sources.store import MemoryStore
 
 
-def ask(questions: DataFrame, corpus: DataFrame, ref: Column) -> DataFrame:
+def ask(questions: DataFrame, corpus: DataFrame, ref: Column, events: DataFrame | None = None) -> DataFrame:
     """(query_id, n_routed, n_recalls, summary, context): route, probe, recall, then one packet per question.
 
-    Questions with two recalls or more are merged; the others need no merging.
+    Questions with two recalls or more are merged; the others need no merging. ``events`` may be the corpus as the directory
+    needn't have it, without its labels. What several steps read, a few rows a question, is written once.
     """
-    entries = router.directory(corpus)
-    routed = router.candidates(questions, entries, ref)
-    targets = router.recall_targets(router.probes(questions, corpus, entries, routed), routed)
-    recalled = router.recalls(questions, corpus, targets)
+    entries = cut(router.directory(corpus))
+    corpus = corpus if events is None else events
+    routed = cut(router.candidates(questions, entries, ref))
+    targets = cut(router.recall_targets(router.probes(questions, corpus, entries, routed), routed))
+    recalled = cut(router.recalls(questions, corpus, targets))
     counts = questions.select("query_id").join(routed.groupBy("query_id").agg(F.count("*").alias("n_routed")), "query_id", "left").join(recalled.groupBy("query_id").agg(F.count("*").alias("n_recalls")), "query_id", "left")
     many = recalled.join(counts.where("n_recalls > 1").select("query_id"), "query_id", "left_semi")
     single = router.packets(questions, recalled).select("query_id", "summary", "context")

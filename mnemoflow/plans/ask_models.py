@@ -66,7 +66,7 @@ def _stage(name: str, model: StageModel, rows: DataFrame, schema: str, required:
     return asked.drop("prompt").join(got.select("key", "data"), "key").drop("key"), facts
 
 
-def ask_models(questions: DataFrame, corpus: DataFrame, ref: Column, models: Models | None = None, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+def ask_models(questions: DataFrame, corpus: DataFrame, ref: Column, models: Models | None = None, config: Config = DEFAULT, events: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Packets and calls.
 
     Packets: (query_id, n_routed, n_recalls, n_failed, summary, key_claims, caveats, conflicts, context), one for each question; calls:
@@ -76,11 +76,13 @@ def ask_models(questions: DataFrame, corpus: DataFrame, ref: Column, models: Mod
     merging model is asked where there are two recalls or more only. An answer that isn't what its stage asks for is asked
     for once more; a probe or a recall that fails then is left out and counted; where merging fails the packet is null.
     Questions are told by their ``query_id``, which must be unique and not null; a null text is an empty question.
+    ``events`` may be the corpus without its labels, which only the directory needs.
     Each stage's answers are written before the next one starts, so that a lost executor asks no model twice for a stage that has ended.
     """
     models = models or Models()
     questions = questions.select("query_id", F.coalesce("question", F.lit("")).alias("question"))
-    entries = router.directory(corpus)
+    entries = cut(router.directory(corpus))
+    corpus = corpus if events is None else events
     routed = cut(router.candidates(questions, entries, ref))
 
     pairs = routed.where(F.col("rank") <= config.probe_shards).select("query_id", "shard_id")
@@ -93,8 +95,8 @@ def ask_models(questions: DataFrame, corpus: DataFrame, ref: Column, models: Mod
         found = router.probes(questions, corpus, entries, pairs)
         said = found.select("query_id", "shard_id", F.to_json(F.struct("knows", "confidence", "memory_type", "answer_value", "needs_recall", F.col("relevant").cast(_NONE).alias("relevant"))).alias("answer"))
     probed, probe_calls = _stage("probe", models.probe, rows, PROBE, ["knows", "confidence", "memory_type", "answer_value", "needs_recall"], said, _probe_fits)
-    events = f"array<{corpus.schema['event_id'].dataType.simpleString()}>"
-    relevant = F.filter(F.coalesce(F.col("data.relevant"), F.array().cast(_NONE)).try_cast(events), lambda e: e.isNotNull())
+    ids = f"array<{corpus.schema['event_id'].dataType.simpleString()}>"
+    relevant = F.filter(F.coalesce(F.col("data.relevant"), F.array().cast(_NONE)).try_cast(ids), lambda e: e.isNotNull())
     answers = probed.where("data IS NOT NULL").select("query_id", "shard_id", "data.knows", "data.confidence", "data.memory_type", "data.answer_value", "data.needs_recall", relevant.alias("relevant"))
 
     targets = cut(router.recall_targets(answers, routed, config.recall_shards))

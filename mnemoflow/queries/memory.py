@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import maths, text
 from ..operators import commit, costs, folds, router
 from ..sources import views
+from ..sources.cut import cut
 from . import sql
 
 QUERIES, SQL = {}, {}
@@ -25,9 +26,9 @@ def _ref():
 
 def _pipeline(spark, sf):
     corpus, questions = views.corpus(spark, sf), views.questions(spark, sf)
-    entries = router.directory(corpus)
-    routed = router.candidates(questions, entries, _ref())
-    return corpus, questions, entries, routed
+    entries = cut(router.directory(corpus))
+    routed = cut(router.candidates(questions, entries, _ref()))
+    return views.events(spark, sf), questions, entries, routed
 
 
 @query
@@ -122,7 +123,7 @@ SQL["probe_mock"] = f"WITH {_PROBED} SELECT query_id, shard_id, knows, confidenc
 
 def _targets(spark, sf):
     corpus, questions, entries, routed = _pipeline(spark, sf)
-    return corpus, questions, router.recall_targets(router.probes(questions, corpus, entries, routed), routed)
+    return corpus, questions, cut(router.recall_targets(router.probes(questions, corpus, entries, routed), routed))
 
 
 _TARGETS = f"""{_PROBED}, seen AS (SELECT p.*, r.rank AS route, round(confidence * 0.6 + CASE answer_value WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.6 WHEN 'low' THEN 0.3 ELSE 0 END * 0.25
@@ -213,7 +214,7 @@ def ask_pipeline(spark, sf):
     """Every question through routing, probing, recall and packets."""
     from ..plans.ask import ask
 
-    return ask(views.questions(spark, sf), views.corpus(spark, sf), _ref())
+    return ask(views.questions(spark, sf), views.corpus(spark, sf), _ref(), views.events(spark, sf))
 
 
 @query
@@ -221,7 +222,7 @@ def ask_stages(spark, sf):
     """Every question through the stages with a model each, the deterministic ones, and what its calls cost by stage."""
     from ..plans.ask_models import ask_models
 
-    packets, calls = ask_models(views.questions(spark, sf), views.corpus(spark, sf), _ref())
+    packets, calls = ask_models(views.questions(spark, sf), views.corpus(spark, sf), _ref(), events=views.events(spark, sf))
     said = packets.select("query_id", "n_routed", "n_recalls", "n_failed", F.md5("summary").alias("summary"), F.size("key_claims").alias("n_claims"), F.md5("context").alias("context"))
     return said.join(costs.by_stage(calls), "query_id", "left")
 
