@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import maths, text
-from ..operators import commit, costs, folds, router
+from ..operators import commit, costs, folds, retrieval, router
 from ..sources import views
 from ..sources.cut import cut
 from . import sql
@@ -322,8 +322,7 @@ def router_recall_at_3(spark, sf):
 
 
 def _gold(spark, sf):
-    items, docs = views.table(spark, sf, "benchmark"), views.table(spark, sf, "documents")
-    return items.join(docs.select("doc_id", F.col("source").alias("shard_id"), F.col("text").alias("body")), F.contains("body", F.col("text"))).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("event_id"), "shard_id")
+    return retrieval.holding(views.events(spark, sf), views.questions(spark, sf).withColumnRenamed("question", "passage"))
 
 
 _GOLD = "gold AS (SELECT item_id AS query_id, doc_id AS event_id, source AS shard_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -336,11 +335,12 @@ def citation_prf(spark, sf):
     """Cited: the ten fused hits of a question. Relevant: the documents that hold its item."""
     from .retrieval import _fused
 
-    cited = _fused(spark, sf).groupBy("query_id").agg(F.collect_set("event_id").alias("cited"))
-    relevant = _gold(spark, sf).groupBy("query_id").agg(F.collect_set("event_id").alias("relevant"))
-    none = F.array().cast("array<bigint>")
-    rows = views.questions(spark, sf).select("query_id").join(cited, "query_id", "left").join(relevant, "query_id", "left")
-    s = maths.citation_scores(F.coalesce("cited", none), F.coalesce("relevant", none))
+    cited = _fused(spark, sf).select("query_id", "event_id", F.lit(1).alias("c"), F.lit(0).alias("r"))
+    relevant = _gold(spark, sf).where("event_id IS NOT NULL").select("query_id", "event_id", F.lit(0).alias("c"), F.lit(1).alias("r"))
+    pairs = cited.unionByName(relevant).groupBy("query_id", "event_id").agg(F.max("c").alias("c"), F.max("r").alias("r"))
+    counts = pairs.groupBy("query_id").agg(F.sum("c").alias("c"), F.sum("r").alias("r"), F.sum(F.col("c") * F.col("r")).alias("both"))
+    rows = views.questions(spark, sf).select("query_id").join(counts, "query_id", "left").fillna(0, ["c", "r", "both"])
+    s = maths.citation_rates(F.col("c"), F.col("r"), F.col("both"))
     return rows.select("query_id", s.alias("s")).select("query_id", *[F.round(f"s.{c}", 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
