@@ -192,10 +192,8 @@ def shard_expansion(spark, sf):
     """Nearest siblings put behind the last event of each shard that the order touches."""
     events = views.events(spark, sf)
     base = retrieval.bm25(events, views.questions(spark, sf), 6)
-    anchors = retrieval.last_per_shard(base, events).select("query_id", "shard_id", F.col("event_id").alias("anchor"), F.col("rank").alias("anchor_rank"))
-    near = cut(retrieval.knn(views.vectors(spark, sf), _question_vectors(spark, sf), 4 * DEFAULT.expand_k + 4))
-    siblings = near.join(best.of_events(events.select("event_id", "shard_id"), near), "event_id")
-    groups = siblings.join(anchors, ["query_id", "shard_id"]).select("query_id", "anchor", "anchor_rank", "event_id", "rank")
+    # of a shard's nearest the order can have no more than its own 6 already
+    groups = retrieval.sibling_groups(events, base, views.vectors(spark, sf), _question_vectors(spark, sf), DEFAULT.expand_k + 6)
     return folds.expand_shards(base, groups, DEFAULT.expand_max, DEFAULT.expand_k)
 
 
